@@ -55,8 +55,8 @@ _FREQUENCIES = """WITH cells AS (SELECT 'predicate' AS field, predicate AS term_
 f AS (SELECT field, term_id, count(*) AS occurrences, count(DISTINCT subject) AS records FROM cells GROUP BY field, term_id)
 """
 
-_WINDOWS = """WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), x -> lower(x)) AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), x -> lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+_WINDOWS = """WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM d, unnest(range(1, len(w) - 8)) t(k)),
 iw AS (SELECT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM i, unnest(range(1, len(w) - 8)) t(k))
 """
