@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrel.operators.orphans import INLINE_BASE
-from quadrel.runtime import small
+from quadrel.runtime import Scratch, small
 
 _TRIM = " \t\r\n"
 _INT = re.compile(r"[+-]?[0-9]+\Z")
@@ -193,7 +193,8 @@ def _columns(attributes: DataFrame) -> tuple[list[tuple[str, str, bool]], dict[i
 def registers(quads: DataFrame, attributes: DataFrame, terms: DataFrame):
     """(columns, RDD of (subject, register))."""
     columns, slots = _columns(attributes)
-    cells = cells_of(quads, attributes, terms)
+    # the looked-up cells are written once, so that a lost executor repeats neither the scans nor the join
+    cells = Scratch(quads.sparkSession).stage(cells_of(quads, attributes, terms))
     ops = Registers(columns)
 
     def keyed(rows):
