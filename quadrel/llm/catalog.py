@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.llm.leaks import leaks
+from quadrel.llm.sentences import sentences
 from quadrel.llm.spellings import collapsed, duplicate_ids
 from quadrel.llm.term_frequency import marked_terms, term_frequencies
 from quadrel.llm.tokenizer import decode_ids, encode_texts
@@ -46,8 +47,12 @@ def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), reworded=True)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_frequencies, p4_found, p4_collapsed, p7_ids, p7_decoded, p8_found, p8_reworded)}
+    return {f.__name__: f for f in (p1_found, p1_frequencies, p4_found, p4_collapsed, p7_ids, p7_decoded, p8_found, p8_reworded, p9_found)}
 
 
 _FREQUENCIES = """WITH cells AS (SELECT 'predicate' AS field, predicate AS term_id, subject FROM quads WHERE predicate IS NOT NULL
