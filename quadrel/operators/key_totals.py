@@ -37,7 +37,8 @@ def distinct_profile(rows: DataFrame, keys: list[str], counted: dict[str, str])
     its values, a hot value collapses on the map side), then sums per key. Null keys are groups.
     """
     cols = list(counted)
-    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("string" if not _integral(rows, c) else "long").alias("_v")) for i, c in enumerate(cols)])
+    kind = "long" if all(_integral(rows, c) for c in cols) else "string"
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast(kind).alias("_v")) for i, c in enumerate(cols)])
     states = rows.select(*keys, F.inline(cells)).groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
     aggs = [F.sum(F.when(F.col("_c") == 0, F.col("_n"))).alias("n")]
     aggs += [F.count(F.when(F.col("_c") == i, F.col("_v"))).alias(counted[c]) for i, c in enumerate(cols)]

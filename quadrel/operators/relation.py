@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ _SERIAL = itertools.count()
 
 def fresh(hint: str = "c") -> str:
     """A column name that no other relation uses."""
-    return f"{hint}__{next(_SERIAL)}"
+    return f"{re.sub(r'[^A-Za-z0-9_]', '', hint)}__{next(_SERIAL)}"
 
 
 def put(df: DataFrame, hint: str, v: Val) -> tuple[DataFrame, Val]:
