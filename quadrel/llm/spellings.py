@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quadrel.runtime import Scratch, small
 
 IRI, LITERALS = 2, (16, 17, 22)
-#: Letters and digits; a single non-space character between two digits; a sign before a digit and not after a word.
-WORD = r"((?U)(?:[\p{L}\p{N}]|(?<=\p{N})\S(?=\p{N})|(?<![\p{L}\p{N}])[+-](?=\p{N}))+)"
+#: One character that separates words: no letter or digit, no single non-space character between two digits, no sign
+#: before a digit and not after a word. It matches single characters, so texts of any length need no stack.
+SEPARATOR = r"(?U)(?!(?<=\p{N})\S(?=\p{N}))(?!(?<![\p{L}\p{N}])[+-](?=\p{N}))[^\p{L}\p{N}]"
 
 
 def canonical_iri(value):
@@ -25,7 +26,7 @@ def canonical_iri(value):
 def canonical_literal(value):
     """The words of each field between `;` and `|`, fields sorted; a value without letter or digit stays, trimmed."""
     fields = F.split(F.lower(value), "[;|]", -1)
-    words = F.transform(fields, lambda f: F.array_join(F.regexp_extract_all(f, F.lit(WORD), F.lit(1)), " "))
+    words = F.transform(fields, lambda f: F.trim(F.regexp_replace(F.regexp_replace(f, SEPARATOR, " "), " +", " ")))
     text = F.array_join(F.sort_array(F.filter(words, lambda w: w != "")), "|")
     bare = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     return F.when(value.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.concat(F.lit("\u0001"), bare))
