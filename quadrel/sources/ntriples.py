@@ -13,7 +13,8 @@ from quadrel.plans.parser import SyntaxProblem, unescape
 
 _IRI = r"<([^<>\"{}|^`\x00-\x20]*)>"
 _BLANK = r"_:([\w](?:[\w.\-]*[\w\-])?)"
-_LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
+# possessive loops: Java runs them without recursion, so long literals need no stack
+_LITERAL = r'"((?:[^"\\\n\r]++|\\.)*+)"(?:\^\^<([^<>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 _ANY = rf"(?:{_IRI}|{_BLANK}|{_LITERAL})"
 #: Groups 1-2 subject, 3 predicate, 4-8 object, 9-10 graph.
 LINE = rf"(?U)^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*{_ANY}\s*(?:(?:{_IRI}|{_BLANK})\s*)?\.\s*(?:#.*)?$"
