@@ -1,4 +1,7 @@
-"""python -m quadrel [-D data files] [-g graph] COMMAND: query, explain, dataset, graphs, load, dump, parse."""
+"""python -m quadrel [-d data file] [-g graph] COMMAND [TEXT]
+
+query, explain, stack: evaluate; dataset, graphs: what the data holds; load, dump: stored quads; parse, simplify,
+tokens: how a query is read; sort: terms in order; test: run a manifest."""
 
 from __future__ import annotations
 
@@ -8,10 +11,12 @@ from functools import reduce
 
 from pyspark.sql import SparkSession
 
+from quadrel import conformance
 from quadrel.plans import stack
-from quadrel.plans.algebra import show
+from quadrel.plans.algebra import Term, show
 from quadrel.plans.compiler import Engine
-from quadrel.plans.parser import parse
+from quadrel.plans.parser import parse, tokens
+from quadrel.plans.rewrite import simplify
 from quadrel.sources import ntriples, results, turtle
 from quadrel.sources.mapping import MappedStore
 from quadrel.sources.service import Client, EndpointStore
@@ -29,11 +34,20 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--named-graph", action="append")
     p.add_argument("--language", help="preferred languages, as in en,de;q=0.5")
     p.add_argument("-f", "--format", default="text/tab-separated-values")
-    p.add_argument("command", choices=["query", "explain", "dataset", "graphs", "load", "dump", "parse", "stack"])
+    p.add_argument("command", choices=["query", "explain", "dataset", "graphs", "load", "dump", "parse", "simplify", "tokens", "sort", "stack", "test"])
     p.add_argument("text", nargs="?", default="", help="a query, a file with one (@file), or for load the folder to write")
     return p
 
 
+def term_key(t: Term) -> tuple:
+    """Blank nodes, IRIs, literals; numbers by value."""
+    try:
+        number = float(t.value) if t.kind == "literal" and t.datatype and t.datatype.rsplit("#", 1)[-1] in ("integer", "decimal", "float", "double") else float("-inf")
+    except ValueError:
+        number = float("-inf")
+    return turtle.KIND[t.kind], number, t.value, t.datatype or "", t.language or ""
+
+
 def languages(text: str) -> dict[str, float]:
     out = {}
     for part in text.split(","):
@@ -66,7 +80,21 @@ def run(o: argparse.Namespace, out=None) -> None:
     if o.command == "parse":
         out.write(show(parse(text)))
         return
+    if o.command == "simplify":
+        out.write(show(simplify(parse(text).plan)))
+        return
+    if o.command == "tokens":
+        out.write("".join(f"{kind}\t{value}\n" for kind, value, _ in tokens(text)))
+        return
+    if o.command == "sort":
+        terms = [ntriples.parse_nodes(line, 1)[0][0] for line in text.splitlines() if line.strip()]
+        out.write("".join(ntriples.format_term(t, False) + "\n" for t in sorted(terms, key=term_key)))
+        return
     spark = SparkSession.builder.appName("quadrel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if o.command == "test":
+        outcomes = conformance.run(spark, text)
+        out.write("".join(f"{'ok' if x.passed else 'FAILED'}\t{x.name}\t{x.why}\n" for x in outcomes))
+        return
     if o.command == "load":
         quads(spark, o).dropDuplicates().write.mode("append").partitionBy().parquet(text)
         return

@@ -19,6 +19,7 @@ from quadrel.plans.algebra import (
     BGP, Aggregate, Distinct, Expr, Extend, Filter, Graph, Join, LeftJoin, Minus, Nothing, Order, Path, PathPattern, Plan, Project, QuadPattern, Query, Reduced, Service, Slice, Table, Term, Union, Unit, Var, Windows, variables,
 )
 from quadrel.plans.parser import parse
+from quadrel.plans.rewrite import simplify
 from quadrel.sources.base import Active, Source
 
 
@@ -436,12 +437,12 @@ class Compiler:
 
     # ------------------------------------------------------------ query forms
     def solutions(self, q: Query) -> Solutions:
-        rel = self.compile(q.plan)
+        rel = self.compile(simplify(q.plan))
         return Solutions(self.source.materialise(rel, [n for n in q.names if n in rel.vals]), q.names)
 
     def ask(self, q: Query) -> DataFrame:
         """One row with one boolean column, `result`."""
-        rel = self.compile(q.plan)
+        rel = self.compile(simplify(q.plan))
         return rel.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
 
     def construct(self, q: Query) -> DataFrame:

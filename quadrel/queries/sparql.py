@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrel.plans.algebra import Var, iri
 from quadrel.plans.compiler import Engine
 from quadrel.runtime import table
 from quadrel.sources.mapping import MappedStore
@@ -222,14 +223,43 @@ def graph_description(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("graph", "predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _store(spark: SparkSession, d: str) -> DictionaryStore:
+    return DictionaryStore(table(spark, d, "quads"), table(spark, d, "terms"))
+
+
+def effective_version(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).effective_version([(Var("s"), iri("foaf:knows"), Var("o")), (Var("s"), iri("skos:broader"), Var("o"))])
+
+
+def characteristic_sets(spark: SparkSession, d: str) -> DataFrame:
+    sets = _store(spark, d).characteristic_sets()
+    return sets.select(F.array_join(F.transform("predicates", lambda p: p.cast("string")), " ").alias("predicates"), "subjects")
+
+
+def star_count(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).star_count([iri("rdf:type"), iri("foaf:name")])
+
+
+def language_best(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).best_language({"en": 1.0, "de": 0.9, "fr": 0.8, "*": 0.5}, {"fr": 0.5})
+
+
 def queries() -> dict:
     out = {n: _mapped(q) for n, (q, _) in MAPPED.items()} | {n: _stored(q) for n, (q, _) in STORED.items()}
-    return out | {f.__name__: f for f in (construct, describe, graph_description)}
+    return out | {f.__name__: f for f in (construct, describe, graph_description, effective_version, characteristic_sets, star_count, language_best)}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: sql for n, (_, sql) in (MAPPED | STORED).items() if sql}
     out["construct"] = "SELECT 'http://tables.example/region/' || n_regionkey AS s, 'http://tables.example/has' AS p, 'http://tables.example/nation/' || n_nationkey AS o FROM nation UNION SELECT 'http://tables.example/nation/' || n_nationkey, 'http://tables.example/in', 'http://tables.example/region/' || n_regionkey FROM nation"
     out["describe"] = "SELECT 'http://tables.example/region/' || r_regionkey AS s, p, o FROM (SELECT r_regionkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://tables.example/region' AS o FROM region WHERE r_name = 'ASIA' UNION ALL SELECT r_regionkey, 'http://tables.example/r_regionkey', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_name = 'ASIA' UNION ALL SELECT r_regionkey, 'http://tables.example/r_name', r_name FROM region WHERE r_name = 'ASIA') x"
+    out["effective_version"] = "SELECT max(dataset_version) AS version FROM quads WHERE predicate IN (SELECT id FROM terms WHERE value IN ('foaf:knows', 'skos:broader') AND type = 2)"
+    out["characteristic_sets"] = f"SELECT predicates, count(*) AS subjects FROM (SELECT subject, string_agg(CAST(predicate AS VARCHAR), ' ' ORDER BY predicate) AS predicates FROM (SELECT DISTINCT subject, predicate FROM {_NODUP} x) y GROUP BY subject) z GROUP BY predicates"
+    out["star_count"] = f"SELECT count(*) AS n FROM (SELECT DISTINCT subject FROM {_NODUP} x WHERE predicate IN {_P.format('rdf:type')}) a JOIN (SELECT DISTINCT subject FROM {_NODUP} x WHERE predicate IN {_P.format('foaf:name')}) b USING (subject)"
+    out["language_best"] = """WITH q AS (SELECT DISTINCT subject, predicate, object, graph FROM quads WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL),
+      l AS (SELECT q.*, lower(replace(trim(language), '_', '-')) AS lang FROM q LEFT JOIN terms t ON t.id = q.object AND t.type = 16),
+      w AS (SELECT *, CASE WHEN lang IS NULL THEN 1.0 WHEN lang = 'en' OR lang LIKE 'en-%' THEN 1.0 WHEN lang = 'de' OR lang LIKE 'de-%' THEN 0.9 WHEN lang = 'fr' OR lang LIKE 'fr-%' THEN 0.8 * 0.5 ELSE 0.5 END AS v FROM l),
+      r AS (SELECT *, rank() OVER (PARTITION BY subject, predicate, graph, lang IS NULL ORDER BY v DESC, lang) AS k FROM w)
+      SELECT subject, predicate, object, graph FROM r WHERE lang IS NULL OR k = 1"""
     out["graph_description"] = "SELECT graph, predicate, count(*) AS n FROM quads GROUP BY graph, predicate"
     return out

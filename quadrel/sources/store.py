@@ -140,7 +140,8 @@ class DictionaryStore(Source):
 
     def __init__(self, quads: DataFrame, terms: DataFrame, default_graphs: list[str] | None = None):
         self.spark = quads.sparkSession
-        self.quads = quads.select("subject", "predicate", "object", "graph").where("subject is not null and predicate is not null and object is not null").distinct()
+        self.raw = quads
+        self.quads = quads.select("subject", "predicate", "object", "graph").where("subject is not null and predicate is not null and object is not null")
         self.terms = terms.where("id is not null")
         self._default = default_graphs
 
@@ -180,8 +181,8 @@ class DictionaryStore(Source):
                 df = df.where(F.col(column) == F.col(names[x.name]))
             else:
                 names[x.name] = column
-        if active.graph is None:  # the default graph is a merge of graphs
-            df = df.select("subject", "predicate", "object").distinct()
+        # a store is a set, and the default graph a merge of graphs; constants need not be compared again
+        df = df.select(*[c for c, x in parts if isinstance(x, Var)] or ["predicate"]).distinct()
         vals, cols = {}, []
         for n, column in names.items():
             c = fresh(n.strip("."))
@@ -189,6 +190,42 @@ class DictionaryStore(Source):
             vals[n] = Val("id", F.col(c))
         return Rel(df.select(*cols) if cols else df.select(F.lit(1).alias(fresh())), vals, frozenset(vals))
 
+    def effective_version(self, triples) -> DataFrame:
+        """One row, `version`: the latest dataset_version of the quads that match any of the patterns; null if none does."""
+        parts = []
+        for t in triples:
+            df = self.raw
+            for column, x in zip(("subject", "predicate", "object"), t):
+                if isinstance(x, Term):
+                    df = self._match(df, column, x)
+            parts.append(df.agg(F.max("dataset_version").alias("version")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.agg(F.max("version").alias("version"))
+
+    def characteristic_sets(self) -> DataFrame:
+        """(predicates, subjects): how many subjects have exactly these predicates; counts of stars come from it."""
+        pairs = self.quads.select("subject", "predicate").distinct()
+        sets = pairs.groupBy("subject").agg(F.array_sort(F.collect_list("predicate")).alias("predicates"))
+        return sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"))
+
+    def star_count(self, predicates: list[Term]) -> DataFrame:
+        """One row, `n`: subjects that have all these predicates, answered from the characteristic sets."""
+        sets = self.characteristic_sets()
+        for p in predicates:
+            ids = self.ids(p)
+            sets = sets.where(F.arrays_overlap("predicates", F.array(*[F.lit(i).cast("long") for i in ids])) if ids else F.lit(False))
+        return sets.agg(F.coalesce(F.sum("subjects"), F.lit(0)).alias("n"))
+
+    def best_language(self, accept: dict[str, float], site: dict[str, float] | None = None) -> DataFrame:
+        """(subject, predicate, object, graph) with the objects of the best language; see best_language()."""
+        tags = self.terms.where("type = 16").select(F.col("id").alias("object"), F.replace(F.trim("language"), F.lit("_"), F.lit("-")).alias("lang"))
+        rows = self.quads.distinct().join(tags, "object", "left")
+        shaped = rows.select(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("graph").alias("g"), F.struct("object", "lang").alias("o"))
+        kept = best_language(shaped, accept, site)
+        return kept.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o.object").alias("object"), F.col("g").alias("graph"))
+
     def term_table(self) -> DataFrame:
         """(id, t): every dictionary row as a term struct."""
         used = self.terms.where("datatype is not null").select(F.col("datatype").alias("used")).distinct()

@@ -125,6 +125,9 @@ def test_cli(spark, tmp_path, capsys):
     assert call(*base, "dataset") == "default\thttp://g\n"
     assert "Physical Plan" in call(*base, "explain", "SELECT * { ?s ?p ?o }")
     assert call("parse", "SELECT * { ?s ?p ?o }").startswith("Query(")
+    assert call("simplify", "SELECT * { ?s ?p ?o FILTER(true) }").startswith("Project") and "Filter" not in call("simplify", "SELECT * { ?s ?p ?o FILTER(true) }")
+    assert call("tokens", "ASK {}").splitlines()[0] == "word\tASK"
+    assert call("sort", '"b"\n<http://a>\n_:x\n"a"\n10\n9').split("\n")[:3] == ["_:x", "<http://a>", '"a"']
     assert call(*base, "stack", "triple ?s ?p ?o\ncountall n") == "?n\n2\n"
     stored = str(tmp_path / "store")
     call(*base, "load", stored)
