@@ -13,7 +13,7 @@ distance), never a list in one cell: one root may hold a third of all nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrel.runtime import Scratch
@@ -47,7 +47,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     edges = links.select(F.col("child").cast("long"), F.col("parent").cast("long")).dropna().groupBy("child").agg(F.min("parent").alias("parent"))
     first = scratch.write(edges.select("child", "parent", F.lit(1).cast("long").alias("w"), F.lit(None).cast("long").alias("lo"), *([via.alias("via")] if paths else [])))
     extra = ["via"] if paths else []
-    alive, records, loops = first, [], []
+    alive, records = first, []
     for turn in range(MAX_ROUNDS):
         edge = scratch.read(alive)
         # peel: an edge stays if its child is a parent of a living edge
@@ -60,13 +60,12 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
         contracted = (F.col("kids") == 1) & F.col("deep") & _coin("child", turn) & ~_coin("parent", turn)
         act = F.when(F.col("child") == F.col("parent"), 3).when(F.col("inner").isNull(), 1).when(contracted, 2).otherwise(0)
         seen = marked.join(only, "child", "left").withColumn("act", act)
-        path = scratch.write(seen.select("child", "parent", "w", "lo", *extra, F.when(F.col("act") == 2, F.col("k")).alias("k"), "act"))
+        told = Observation()
+        tally = [F.count_if(F.col("act") == n).alias(f"n{n}") for n in (0, 2)]
+        path = scratch.write(seen.select("child", "parent", "w", "lo", *extra, F.when(F.col("act") == 2, F.col("k")).alias("k"), "act").observe(told, *tally))
         done = scratch.read(path)
         records.append(path)
-        counts = {r["act"]: r["n"] for r in done.groupBy("act").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most four rows
-        if 3 in counts:
-            loops.append(path)
-        if not counts.get(0, 0) and not counts.get(2, 0):
+        if not any(told.get.values()):
             break
         # a contracted node's child is tied to the node above; the child's own edge goes
         tied = done.where("act = 2").select(

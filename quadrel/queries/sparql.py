@@ -200,8 +200,20 @@ STORED: dict[str, tuple[str, str]] = {
 }
 
 
+_STORES: dict[tuple[str, str], MappedStore] = {}
+
+
+def _mapped_store(spark: SparkSession, d: str) -> MappedStore:
+    """One store per session and folder, so that schemas are read once."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = MappedStore(spark, d)
+    return _STORES[key]
+
+
 def _mapped(text: str):
-    return lambda spark, d: Engine(MappedStore(spark, d)).query(PREFIX + text)
+    return lambda spark, d: Engine(_mapped_store(spark, d)).query(PREFIX + text)
 
 
 def _stored(text: str):
@@ -209,12 +221,12 @@ def _stored(text: str):
 
 
 def construct(spark: SparkSession, d: str) -> DataFrame:
-    out = Engine(MappedStore(spark, d)).query(PREFIX + "CONSTRUCT { ?r t:has ?n . ?n t:in ?r } WHERE { ?n t:n_regionkey ?r }")
+    out = Engine(_mapped_store(spark, d)).query(PREFIX + "CONSTRUCT { ?r t:has ?n . ?n t:in ?r } WHERE { ?n t:n_regionkey ?r }")
     return out.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
 def describe(spark: SparkSession, d: str) -> DataFrame:
-    out = Engine(MappedStore(spark, d)).query(PREFIX + "DESCRIBE ?r { ?r t:r_name 'ASIA' }")
+    out = Engine(_mapped_store(spark, d)).query(PREFIX + "DESCRIBE ?r { ?r t:r_name 'ASIA' }")
     return out.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
