@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,8 @@ _ITEM = regex.compile(r"\s*[\n\r]\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p
 ITEM = "<item>"
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _DIGITS = regex.compile(r"\p{N}")
+#: The last character that can't be part of a word before a mark.
+_BREAKS = regex.compile(r"(?r)[\s\"“„«»‹「『(（\[【”]")
 _TOKEN = regex.compile(r"\S+")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 
@@ -71,6 +74,7 @@ CLASSES = 11
 _RARE_INSIDE = {END: 0.004, OPENS: 0.02, QUOTE: 0.02}
 
 
+@lru_cache(maxsize=200_000)
 def _key(token: str) -> str:
     """A token as the model knows it: without quotes and brackets before, commas and the like after; digits alike."""
     token = token.lstrip(_OPENING).rstrip(",;:!?،؛؟…" + _CLOSERS)[:24]
@@ -79,13 +83,12 @@ def _key(token: str) -> str:
 
 def _word_before(block: str, at: int) -> str:
     """The token that ends at a mark; two characters in scripts without spaces."""
-    start = at
-    while start > 0 and at - start < 24 and not block[start - 1].isspace() and block[start - 1] not in "\"“„«»‹「『(（[【”":
-        start -= 1
-    word = block[start:at]
-    if word and _WIDE.match(word[-1]):
+    word = block[max(0, at - 24) : at]
+    cut = _BREAKS.search(word)
+    word = word[cut.end() :] if cut else word
+    if word and not word.isascii() and _WIDE.match(word[-1]):
         return ""
-    return _DIGITS.sub("0", word)
+    return word if word.isalpha() else _DIGITS.sub("0", word)
 
 
 def _pair(block: str, at: int, word: str) -> str:
@@ -228,14 +231,15 @@ def places(block: str, first: bool = True) -> list[Place]:
         while k < len(pairs) and pairs[k][0] < at:
             inside.append(pairs[k])
             k += 1
-        inside = [p for p in inside if p[1] >= at]
-        around = sorted((p for p in inside if p[1] < len(block) or p[0] >= 0), key=lambda p: p[1])
+        if inside:
+            inside = [p for p in inside if p[1] >= at]
+        around = sorted((p for p in inside if p[1] < len(block) or p[0] >= 0), key=lambda p: p[1]) if inside else []
         if thai:
             if not around and _thai(block, at - 1, -1) and _thai(block, end, 1):
                 found.append(Place(at, "<th>", _word_after(block, end), "thai"))
             continue
         opened = None
-        while True:  # the quotes and brackets that close right after the mark belong to it
+        while around or end < len(block) and not block[end].isspace():  # the quotes and brackets that close right after the mark belong to it
             gap = 0
             while end + gap < len(block) and gap < 2 and block[end + gap] in " \xa0 ":
                 gap += 1
@@ -250,10 +254,11 @@ def places(block: str, first: bool = True) -> list[Place]:
                 break
         if around:
             continue
-        strong = any(x in STRONG for x in c)
+        strong = c != "." and any(x in STRONG for x in c)
         pause = not strong and (len(c) > 1 or c in "…‥")
         tight = end < len(block) and not block[end].isspace()
-        script = _script(block, at)
+        before = block[at - 1] if at else " "
+        script = "c" if "a" <= before <= "z" else _script(block, at)
         word = "<...>" if pause else _word_before(block, at)
         if not any(x.isalpha() for x in word):
             word += script
@@ -263,8 +268,7 @@ def places(block: str, first: bool = True) -> list[Place]:
         place.tight, place.script, place.wide = tight, script, c[0] in "。｡！？．।॥"
         if opened is not None:
             place.opened = opened
-            before = block[:opened].rstrip() if opened > 0 else ""
-            place.colon = before.endswith((":", "：", "︰"))
+            place.colon = opened > 0 and block[max(0, opened - 8) : opened].rstrip().endswith((":", "：", "︰"))
         elif place.kind == "dot":
             start = at - len(_word_before(block, at))
             place.listed = bool(_LIST.match(block[start:at])) and (start == 0 or block[start - 1].isspace())
@@ -293,8 +297,8 @@ def _count(texts: list[str | None], counts: Counter) -> None:
                 continue
             if n or not text[0].isspace():
                 counts["i", head, ""] += 1
-            for token in _TOKEN.findall(block):
-                if _WIDE.search(token):
+            for token in block.split():
+                if not token.isascii() and _WIDE.search(token):
                     for a, b in zip(token, token[1:]):
                         if _WIDE.match(a):
                             counts["t", a + b, ""] += 1
@@ -547,7 +551,7 @@ def posteriors(block: str, found: list[Place], model: Model) -> list[float]:
     # forward-backward over (no event, event) at the place before; the block begins with a boundary
     steps = []
     for i, (no, yes, alone) in enumerate(moves):
-        short = ONE_WORD if i and found[i].script != "w" and len(_TOKEN.findall(block, found[i - 1].end, found[i].end)) < 2 else 1.0
+        short = ONE_WORD if i and found[i].script != "w" and len(block[found[i - 1].end : found[i].end].split()) < 2 else 1.0
         steps.append((((1 - no) * alone, no * alone), (1 - yes, yes * short)))
     forward = [(0.0, 1.0)]
     for step in steps:
