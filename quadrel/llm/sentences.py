@@ -63,7 +63,7 @@ ITEM = "<item>"
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _DIGITS = regex.compile(r"\p{N}")
 #: The last character that can't be part of a word before a mark.
-_BREAKS = regex.compile(r"(?r)[\s\"“„«»‹「『(（\[【”]")
+_BREAKS = regex.compile(rf"(?r)[\s\"“„«»‹「『(（\[【”{STRONG}]")
 _TOKEN = regex.compile(r"\S+")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 
@@ -457,25 +457,34 @@ def _to_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shape(a) for a in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2)], names=["a", "b", "n"])
 
 
+def _settled(rate: float) -> float:
+    """Most words either end sentences wherever their mark stands or never do."""
+    return float(max(rate, 0.99) if rate > 0.75 else min(rate, 0.01) if rate < 0.03 else rate)
+
+
 def estimate(known: dict[str, int], sure: dict[str, np.ndarray], tables: dict[str, np.ndarray], shapes: dict[str, np.ndarray]) -> Model:
     """The model from class counts: after sure events by script, and after places by word and by shape."""
     before: dict[str, tuple[float, np.ndarray]] = {}
     after_event: dict[str, np.ndarray] = {}
     for x in SCRIPTS:
-        for name in [x + "<>", *{shape(w) for w in tables if w[0] == x}]:
+        for name in [x + "<>", *{shape(w) for w in tables if w[0] == x and " " not in w}]:
             shapes.setdefault(name, np.zeros(CLASSES))
         names = sorted(n for n in shapes if n[0] == x)
-        words = sorted(w for w in tables if w[0] == x)
+        every = sorted(w for w in tables if w[0] == x)
+        words, pairs = [w for w in every if " " not in w], [w for w in every if " " in w]
         rows = np.array([shapes[n] for n in names] + [tables[w] for w in words])
-        prior = np.full(len(rows), 0.6)
-        rate, none, after = _mixture(rows, sure[x], x, prior, 4.0)
+        rate, none, after = _mixture(rows, sure[x], x, np.full(len(rows), 0.6), 4.0)
         back = dict(zip(names, rate))
-        prior = np.array([back[n] for n in names] + [back[shape(w)] for w in words])
-        rate, none, after = _mixture(rows, sure[x], x, prior, 1.0)
+        # most words of some length are ordinary ones; an abbreviation has to show it by what follows
+        usual = lambda w: max(back[shape(w)], 0.9) if len(w) > 3 and w[1:].isalpha() else back[shape(w)]
+        rate, none, after = _mixture(rows, sure[x], x, np.array([back[n] for n in names] + [usual(w) for w in words]), 4.0)
         after_event[x] = after
-        # most words either end sentences wherever their mark stands or never do
-        rate = np.where(rate > 0.85, np.maximum(rate, 0.99), np.where(rate < 0.03, np.minimum(rate, 0.01), rate))
-        before |= {n: (float(rate[i]), none[i]) for i, n in enumerate(names + words)}
+        alone = dict(zip(names + words, rate))
+        before |= {n: (_settled(rate[i]), none[i]) for i, n in enumerate(names + words)}
+        if pairs:  # a pair starts from what its second word says
+            last = [x + p.rsplit(" ", 1)[1] for p in pairs]
+            rate, none, _ = _mixture(np.array([tables[p] for p in pairs]), sure[x], x, np.array([alone.get(w, alone.get(shape(w), 0.6)) for w in last]), 4.0)
+            before |= {p: (_settled(rate[i]), none[i]) for i, p in enumerate(pairs)}
     return Model(known, after_event, before)
 
 
