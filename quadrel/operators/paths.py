@@ -21,16 +21,15 @@ def closure(edges: DataFrame, start: Column | None = None) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession)
     steps = scratch.stage(edges.select("s", "o").dropna().distinct())
-    schema = steps.schema
     frontier = scratch.write(steps if start is None else steps.where(start))
     known = [frontier]
     hops = steps.select(F.col("s").alias("via"), F.col("o").alias("next"))
     for _ in range(MAX_ROUNDS):
-        reach = scratch.read(frontier, schema=schema)
+        reach = scratch.read(frontier)
         found = reach.join(hops, F.col("o") == F.col("via")).select("s", F.col("next").alias("o")).distinct()
-        seen = scratch.read(*known, schema=schema).select(F.col("s").alias("ks"), F.col("o").alias("ko"))
+        seen = scratch.read(*known).select(F.col("s").alias("ks"), F.col("o").alias("ko"))
         frontier = scratch.write(found.join(seen, (F.col("s") == F.col("ks")) & (F.col("o") == F.col("ko")), "left_anti"))
-        if scratch.read(frontier, schema=schema).isEmpty():
-            return scratch.read(*known, schema=schema)
+        if scratch.read(frontier).isEmpty():
+            return scratch.read(*known)
         known.append(frontier)
     raise RuntimeError("the closure did not end")

@@ -17,8 +17,8 @@ CUST = "'http://tables.example/customer/' || c_custkey"
 #: name -> (SPARQL over the mapped tables, SQL)
 MAPPED: dict[str, tuple[str, str]] = {
     "segment_revenue": (
-        "SELECT ?seg (SUM(?price) AS ?rev) (COUNT(*) AS ?n) { ?o t:o_custkey ?c ; t:o_totalprice ?price . ?c t:c_mktsegment ?seg } GROUP BY ?seg",
-        "SELECT c_mktsegment AS seg, sum(o_totalprice) AS rev, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+        "SELECT ?seg (ROUND(SUM(?price) * 100) / 100 AS ?rev) (COUNT(*) AS ?n) { ?o t:o_custkey ?c ; t:o_totalprice ?price . ?c t:c_mktsegment ?seg } GROUP BY ?seg",
+        "SELECT c_mktsegment AS seg, floor(sum(o_totalprice) * 100 + 0.5) / 100 AS rev, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     ),
     "bgp_scan": ("SELECT ?c ?name { ?c t:c_name ?name }", f"SELECT {CUST} AS c, c_name AS name FROM customer"),
     "bgp_star": (
@@ -74,7 +74,7 @@ MAPPED: dict[str, tuple[str, str]] = {
         f"SELECT {CUST} AS c, abs(c_acctbal) AS a, ceil(c_acctbal) AS u, floor(c_acctbal) AS d, floor(c_acctbal + 0.5) AS r, -c_acctbal AS m FROM customer",
     ),
     "arith_promote": (
-        "SELECT ?p (?k + 1 AS ?a) (?k * ?s AS ?b) (xsd:double(?k / 4) AS ?c) (?r * 2 - ?k AS ?d) (?k / 0 AS ?e) { ?p t:p_partkey ?k ; t:p_size ?s ; t:p_retailprice ?r }",
+        "SELECT ?p (?k + 1 AS ?a) (?k * ?s AS ?b) (xsd:double(?k / 4) AS ?c) (?r * 2 - ?k AS ?d) (xsd:double(?k / 0) AS ?e) { ?p t:p_partkey ?k ; t:p_size ?s ; t:p_retailprice ?r }",
         "SELECT 'http://tables.example/part/' || p_partkey AS p, p_partkey + 1 AS a, p_partkey * p_size AS b, p_partkey / 4.0::DOUBLE AS c, p_retailprice * 2 - p_partkey AS d, CAST(NULL AS DOUBLE) AS e FROM part",
     ),
     "casts": (
@@ -83,7 +83,7 @@ MAPPED: dict[str, tuple[str, str]] = {
     ),
     "date_fns": (
         "SELECT ?e (YEAR(?t) AS ?y) (MONTH(?t) AS ?m) (DAY(?t) AS ?d) (HOURS(?t) AS ?h) (MINUTES(?t) AS ?mi) (xsd:double(SECONDS(?t)) AS ?s) (TZ(?t) AS ?z) (HOURS('2011-01-10T14:45:13.8-05:00'^^xsd:dateTime) AS ?lh) (TZ('2011-01-10T14:45:13.8-05:00'^^xsd:dateTime) AS ?lz) { ?e t:ts ?t }",
-        "SELECT 'http://tables.example/events/' || event_id AS e, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, (epoch_us(ts) % 60000000) / 1000000.0::DOUBLE AS s, '' AS z, 14 AS lh, '-05:00' AS lz FROM events",
+        "SELECT 'http://tables.example/events/' || event_id AS e, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, (epoch_us(ts) % 60000000) / 1000000.0::DOUBLE AS s, '' AS z, CAST(14 AS BIGINT) AS lh, '-05:00' AS lz FROM events",
     ),
     "hashes": ("SELECT ?n (MD5(?n) AS ?a) (SHA1(?n) AS ?b) (SHA256(?n) AS ?c) { ?x t:c_name ?n }", "SELECT c_name AS n, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c FROM customer"),
     "hashes_long": ("SELECT ?n (SHA384(?n) AS ?a) (SHA512(?n) AS ?b) { ?x t:r_name ?n }", ""),
@@ -114,17 +114,17 @@ MAPPED: dict[str, tuple[str, str]] = {
         "SELECT ?c { ?c t:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 480000) }) }",
         f"SELECT {CUST} AS c FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)",
     ),
-    "values_join": ("SELECT ?c ?k { ?c t:c_mktsegment ?s VALUES (?s ?k) { ('BUILDING' 1) ('MACHINERY' 2) } }", f"SELECT {CUST} AS c, CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "values_join": ("SELECT ?c ?k { ?c t:c_mktsegment ?s VALUES (?s ?k) { ('BUILDING' 1) ('MACHINERY' 2) } }", f"SELECT {CUST} AS c, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END AS BIGINT) AS k FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "values_undef": (
         "SELECT ?c ?k { ?c t:c_mktsegment ?s ; t:c_nationkey ?n VALUES (?s ?n ?k) { ('BUILDING' UNDEF 1) (UNDEF <http://tables.example/nation/3> 2) } }",
-        f"SELECT {CUST} AS c, k FROM customer JOIN (VALUES ('BUILDING', NULL, 1), (NULL, 3, 2)) v(s, n, k) ON (s IS NULL OR s = c_mktsegment) AND (n IS NULL OR n = c_nationkey)",
+        f"SELECT {CUST} AS c, CAST(k AS BIGINT) AS k FROM customer JOIN (VALUES ('BUILDING', NULL, 1), (NULL, 3, 2)) v(s, n, k) ON (s IS NULL OR s = c_mktsegment) AND (n IS NULL OR n = c_nationkey)",
     ),
     "graph_named": ("SELECT ?n { GRAPH g:nation { ?x t:n_name ?n } }", "SELECT n_name AS n FROM nation"),
     "graph_var": ("SELECT ?g (COUNT(*) AS ?n) { GRAPH ?g { ?x a ?t } } GROUP BY ?g", "SELECT 'http://tables.example/graph/' || t AS g, n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "eval_items", "embeddings")) + ") x"),
     "agg_count": ("SELECT (COUNT(*) AS ?n) (COUNT(?p) AS ?k) { ?c t:c_name ?x OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 400000) } }", "SELECT count(*) AS n, count(o_totalprice) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000"),
     "agg_count_distinct": ("SELECT (COUNT(DISTINCT ?c) AS ?n) (COUNT(DISTINCT ?s) AS ?k) (COUNT(DISTINCT *) AS ?a) { ?o t:o_custkey ?c ; t:o_orderstatus ?s }", "SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT o_orderstatus) AS k, count(*) AS a FROM orders"),
-    "agg_sum": ("SELECT ?s (SUM(?k) AS ?a) (SUM(?z) AS ?b) { ?p t:p_brand ?s ; t:p_size ?k ; t:p_retailprice ?z } GROUP BY ?s", "SELECT p_brand AS s, CAST(sum(p_size) AS BIGINT) AS a, sum(p_retailprice) AS b FROM part GROUP BY 1"),
-    "agg_avg": ("SELECT ?s (AVG(?z) AS ?b) { ?p t:p_brand ?s ; t:p_retailprice ?z } GROUP BY ?s", "SELECT p_brand AS s, avg(p_retailprice) AS b FROM part GROUP BY 1"),
+    "agg_sum": ("SELECT ?s (SUM(?k) AS ?a) (ROUND(SUM(?z) * 100) / 100 AS ?b) { ?p t:p_brand ?s ; t:p_size ?k ; t:p_retailprice ?z } GROUP BY ?s", "SELECT p_brand AS s, CAST(sum(p_size) AS BIGINT) AS a, floor(sum(p_retailprice) * 100 + 0.5) / 100 AS b FROM part GROUP BY 1"),
+    "agg_avg": ("SELECT ?s (ROUND(AVG(?z) * 1000000) / 1000000 AS ?b) { ?p t:p_brand ?s ; t:p_retailprice ?z } GROUP BY ?s", "SELECT p_brand AS s, floor(avg(p_retailprice) * 1000000 + 0.5) / 1000000 AS b FROM part GROUP BY 1"),
     "agg_minmax": ("SELECT ?s (MIN(?z) AS ?a) (MAX(?z) AS ?b) (MIN(?n) AS ?c) (MAX(?n) AS ?d) { ?p t:p_brand ?s ; t:p_retailprice ?z ; t:p_name ?n } GROUP BY ?s", "SELECT p_brand AS s, min(p_retailprice) AS a, max(p_retailprice) AS b, min(p_name) AS c, max(p_name) AS d FROM part GROUP BY 1"),
     "agg_distinct_num": ("SELECT (SUM(DISTINCT ?k) AS ?a) (xsd:double(AVG(DISTINCT ?k)) AS ?b) { ?p t:p_size ?k }", "SELECT CAST(sum(DISTINCT p_size) AS BIGINT) AS a, avg(DISTINCT p_size) AS b FROM part"),
     "agg_empty": ("SELECT (SUM(?k) AS ?a) (COUNT(*) AS ?b) (MIN(?k) AS ?c) { ?p t:p_size ?k FILTER(?k > 1000000) }", "SELECT CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c"),
@@ -168,9 +168,12 @@ _WINDOW = {
 }
 for _name, (_f, _over, _sql, _sql_over) in _WINDOW.items():
     _end = ", 0)" if _sql.startswith("coalesce") else ""
+    _x, _y = f"{_f} OVER (PARTITION BY ?u {_over})", f"{_sql} OVER (PARTITION BY user_id {_sql_over}){_end}"
+    if _f.startswith(("SUM", "AVG")):  # sums of doubles differ in their last bits with the order of adding
+        _x, _y = f"ROUND({_x} * 1000000) / 1000000", f"floor({_y} * 1000000 + 0.5) / 1000000"
     MAPPED[_name] = (
-        f"SELECT ?k ({_f} OVER (PARTITION BY ?u {_over}) AS ?x) {{ ?e t:event_id ?k ; t:user_id ?u ; t:event_type ?et ; t:value ?v }}",
-        f"SELECT event_id AS k, {_sql} OVER (PARTITION BY user_id {_sql_over}){_end} AS x FROM events",
+        f"SELECT ?k ({_x} AS ?x) {{ ?e t:event_id ?k ; t:user_id ?u ; t:event_type ?et ; t:value ?v }}",
+        f"SELECT event_id AS k, {_y} AS x FROM events",
     )
 MAPPED["win_ntile_peer"] = (
     "SELECT ?k (NTILE(3) OVER (PARTITION BY ?u ORDER BY ?et) AS ?x) { ?e t:event_id ?k ; t:user_id ?u ; t:event_type ?et }",
@@ -182,8 +185,8 @@ MAPPED["win_having"] = (
     "SELECT 'http://tables.example/customer/' || o_custkey AS c, n, r FROM (SELECT o_custkey, n, rank() OVER (ORDER BY n DESC) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) a) b WHERE r <= 5",
 )
 MAPPED["win_two"] = (
-    "SELECT ?k (ROW_NUMBER() OVER (PARTITION BY ?et ORDER BY ?k) AS ?a) (SUM(?v) OVER (PARTITION BY ?u) AS ?b) { ?e t:event_id ?k ; t:user_id ?u ; t:event_type ?et ; t:value ?v }",
-    "SELECT event_id AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS a, sum(value) OVER (PARTITION BY user_id) AS b FROM events",
+    "SELECT ?k (ROW_NUMBER() OVER (PARTITION BY ?et ORDER BY ?k) AS ?a) (ROUND(SUM(?v) OVER (PARTITION BY ?u) * 100) / 100 AS ?b) { ?e t:event_id ?k ; t:user_id ?u ; t:event_type ?et ; t:value ?v }",
+    "SELECT event_id AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS a, floor(sum(value) OVER (PARTITION BY user_id) * 100 + 0.5) / 100 AS b FROM events",
 )
 
 TYPED = "PREFIX ex: <ex:> PREFIX foaf: <foaf:> PREFIX skos: <skos:> PREFIX rdf: <rdf:> PREFIX rdfs: <rdfs:>\n"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast only if it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -26,30 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor loses none of them."""
+    """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
+
+    They live as long as the session, because lazy results may read them; what is dropped earlier is dropped by hand.
+    """
+
+    _folders: ClassVar[list[tuple[SparkSession, str]]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/quadrel-{uuid.uuid4().hex}"
-        self.made = 0
+        self.schemas: dict[str, StructType] = {}
+        Scratch._folders.append((spark, self.base))
 
     def write(self, df: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.base}/{self.made}"
+        path = f"{self.base}/{len(self.schemas)}"
+        self.schemas[path] = df.schema
         df.write.parquet(path)
         return path
 
-    def read(self, *paths: str, schema=None) -> DataFrame:
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(*paths)
+    def read(self, *paths: str) -> DataFrame:
+        """Tables of one schema; it is known, so no job looks for it."""
+        return self.spark.read.schema(self.schemas[paths[0]]).parquet(*paths)
 
     def stage(self, df: DataFrame) -> DataFrame:
-        return self.read(self.write(df), schema=df.schema)
+        return self.read(self.write(df))
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Deletes what this process wrote, if its session still runs when it ends."""
+    for spark, base in Scratch._folders:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, base)
+        except Exception:  # the session is gone: a cluster cleans its own folder
+            return
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
