@@ -382,12 +382,12 @@ class Compiler:
             reach = closure(edges, first)
         if p.op in ("star", "opt"):
             if start is not None:
-                const = self._constant_like(lane.kind, prefix, start)
-                if g:
-                    # in every graph
-                    only = edges.select(F.col("s")["g"].alias("g")).distinct().select(F.struct("g", const.alias("x")).alias("s")) if const is not None else None
+                const = self._constants_like(lane.kind, prefix, start)
+                if const is not None and g:  # in every graph
+                    graphs = edges.select(F.col("s")["g"].alias("g")).distinct()
+                    only = graphs.select("g", F.explode(const).alias("x")).select(F.struct("g", "x").alias("s"))
                 else:
-                    only = self.spark.range(1).select(const.alias("s")) if const is not None else None
+                    only = self.spark.range(1).select(F.explode(const).alias("s")) if const is not None else None
                 if only is not None:
                     reach = reach.unionByName(only.select("s", F.col("s").alias("o"))).distinct()
             else:
@@ -404,17 +404,18 @@ class Compiler:
             vals[g] = step.vals[g].at(F.col(c))
         return Rel(reach.select(*cols), vals, frozenset(vals))
 
-    def _constant_like(self, kind: str, prefix: str | None, t: Term):
+    def _constants_like(self, kind: str, prefix: str | None, t: Term):
+        """An array of a constant in the lane of a path (a term may have several ids); None if it has no place there."""
         v = constant(t)
         if kind == "term":
-            return as_term(v)
+            return F.array(as_term(v))
         if kind == "id":
             ids = self.source.ids(t)
-            return F.lit(ids[0]).cast("long") if ids else None
+            return F.array(*[F.lit(i).cast("long") for i in ids]) if ids else None
         if kind == "iri" and prefix is not None:
             rest = t.value[len(prefix) :] if t.value.startswith(prefix) else ""
-            return F.lit(int(rest)).cast("long") if rest.isdigit() else None
-        return v.col if v.kind == kind else None
+            return F.array(F.lit(int(rest)).cast("long")) if rest.isdigit() else None
+        return F.array(v.col) if v.kind == kind else None
 
     def _nodes(self, active: Active, kind: str, prefix: str | None, g: str | None) -> DataFrame | None:
         """Every subject and object of the active graph, if they have the lane of the path."""

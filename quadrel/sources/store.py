@@ -145,24 +145,30 @@ class DictionaryStore(Source):
         self.terms = terms.where("id is not null")
         self._default = default_graphs
 
+    def _rows_of(self, t: Term) -> DataFrame:
+        """The dictionary's rows that hold a constant."""
+        rows = self.terms.where(F.col("value") == t.value)
+        if t.kind != "literal":
+            return rows.where(F.col("type") == (2 if t.kind == "iri" else 1))
+        rows = rows.where(F.col("type").isin(16, 17, 22))
+        return rows.where(F.lower("language") == t.language) if t.language else rows
+
     def ids(self, t: Term) -> list[int]:
+        """The ids of a constant, for use inside expressions; an error if it has more than IN_LIST copies."""
         if t.kind == "literal" and t.datatype == INTEGER and t.value.isdigit():
             return [INLINE_BASE + int(t.value)]
-        rows = self.terms.where(F.col("value") == t.value)
-        if t.kind == "literal":
-            rows = rows.where(F.col("type").isin(16, 17, 22))
-            if t.language:
-                rows = rows.where(F.lower("language") == t.language)
-        else:
-            rows = rows.where(F.col("type") == (2 if t.kind == "iri" else 1))
-        return [r["id"] for r in rows.select("id").limit(IN_LIST + 1).collect()]
+        ids = [r["id"] for r in self._rows_of(t).select("id").limit(IN_LIST + 1).collect()]
+        if len(ids) > IN_LIST:
+            raise ValueError(f"{t.value!r} has more than {IN_LIST} ids in the dictionary; deduplicate it first")
+        return ids
 
     def _match(self, df: DataFrame, column: str, t: Term) -> DataFrame:
-        ids = self.ids(t)
-        if len(ids) <= IN_LIST:
-            return df.where(F.col(column).isin(*ids) if ids else F.lit(False))
-        hits = self.terms.where(F.col("value") == t.value).select(F.col("id").alias(column))
-        return df.join(small(hits), column, "left_semi")
+        """Rows whose id is one of a constant's: an IN list that reaches the scan, or a semi join for many copies."""
+        try:
+            ids = self.ids(t)
+        except ValueError:
+            return df.join(self._rows_of(t).select(F.col("id").alias(column)), column, "left_semi")
+        return df.where(F.col(column).isin(*ids) if ids else F.lit(False))
 
     def scan(self, s, p, o, active: Active) -> Rel:
         df = self.quads
