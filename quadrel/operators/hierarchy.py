@@ -2,10 +2,10 @@
 
 Bottom-up leaf peeling: each round removes all leaves, which leave a record (node, the node above it, distance). A
 forest of height h would take h rounds; so that a chain of a million links doesn't, each round also contracts an
-independent set of the nodes with a single child (chosen by a hash coin): the child is tied to the grandparent and
-the distance grows. Both kinds of removal leave the same record, and the number of rounds grows with the logarithm of
-the number of links, whatever the depth. The records read in reverse order of removal assign root, depth and path.
-What peeling can't remove lies on a cycle; contraction shrinks each cycle to one node tied to itself.
+independent set of the nodes with a single child (those whose hash is above both neighbours'): the child is tied to the
+grandparent and the distance grows. Both kinds of removal leave the same record, and the number of rounds grows with
+the logarithm of the number of links, whatever the depth. The records read in reverse order of removal assign root,
+depth and path. What peeling can't remove lies on a cycle; contraction shrinks each cycle to one node tied to itself.
 
 All rows stay distributed; each round writes its tables to the shared folder. Descendants are rows (ancestor, node,
 distance), never a list in one cell: one root may hold a third of all nodes.
@@ -29,8 +29,9 @@ def links_of(quads: DataFrame, child_first: int, parent_first: int) -> DataFrame
     return down.unionByName(up).dropna().distinct()
 
 
-def _coin(node: str, turn: int):
-    return F.xxhash64(F.col(node), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+def _above(node, other, turn: int):
+    """Whether a node's hash in this round is above another's; nodes above both neighbours are never neighbours."""
+    return F.xxhash64(node, F.lit(turn)) > F.xxhash64(other, F.lit(turn))
 
 
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
@@ -57,7 +58,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
             F.count(F.lit(1)).alias("kids"), F.max("inner").alias("deep"),
             F.min(F.struct(F.col("child").alias("kid"), F.col("w").alias("kid_w"), F.col("lo").alias("kid_lo"), *[F.col(c).alias(f"kid_{c}") for c in extra])).alias("k"),
         )
-        contracted = (F.col("kids") == 1) & F.col("deep") & _coin("child", turn) & ~_coin("parent", turn)
+        contracted = (F.col("kids") == 1) & F.col("deep") & _above(F.col("child"), F.col("parent"), turn) & _above(F.col("child"), F.col("k.kid"), turn)
         act = F.when(F.col("child") == F.col("parent"), 3).when(F.col("inner").isNull(), 1).when(contracted, 2).otherwise(0)
         seen = marked.join(only, "child", "left").withColumn("act", act)
         told = Observation()
