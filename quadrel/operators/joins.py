@@ -138,15 +138,11 @@ def minus(a: Rel, b: Rel) -> Rel:
 def flagged(a: Rel, b: Rel, condition: Condition | None = None) -> tuple[Rel, Column]:
     """a with a boolean column: whether b has a compatible row."""
     yes, no = _split(a, b, condition, False)
-    name = fresh("exists")
-    parts = [r.select(list(r.vals), {name: F.lit(flag)}) for r, flag in ((yes, True), (no, False)) if r is not None]
-    if len(parts) == 1:
-        return parts[0], F.col(name)
-    names = list(a.vals)
-    first, second = parts
-    cols = [F.col(c) for c in first.df.columns]
-    both = first.df.select(*cols).union(second.df.select(*[F.col(c) for c in second.df.columns]))
-    return Rel(both, first.vals, a.bound & frozenset(names)), F.col(name)
+    name = f".{fresh('exists')}"
+    parts = [r.with_val(name, Val("bool", F.lit(flag)), True) for r, flag in ((yes, True), (no, False)) if r is not None]
+    out = parts[0] if len(parts) == 1 else union(*parts)
+    flag = out.vals[name].col
+    return Rel(out.df, {n: v for n, v in out.vals.items() if n != name}, a.bound), flag
 
 
 def left_outer(a: Rel, b: Rel, condition: Condition | None = None) -> Rel:
