@@ -527,8 +527,8 @@ def _event(p: Place, model: Model, opens: bool) -> float:
         return 0.01
     if p.kind == "pause" and (goes_on or opens):
         return 0.01
-    if p.kind == "pause" and p.after[0].isupper():
-        return max(0.6, model.posterior(p.script, p.pair, p.word, p.after))  # a capital after dots that aren't at the beginning
+    if p.kind == "pause" and (p.after[0].isupper() or c == QUOTE):
+        return max(0.6, model.posterior(p.script, p.pair, p.word, p.after))  # dots not at the beginning, then a capital or quotation
     return model.posterior(p.script, p.pair, p.word, p.after)
 
 
