@@ -4,7 +4,10 @@ Template canonicalisation: numbers, names and units become typed placeholders, e
 template words are hashed and hash-joined with those of the evaluation items; where templates meet, the slots decide:
 
 - `exact`: the slots are equal too, so ten consecutive words are shared;
-- `reworded`: a whole item's template is there, its slots are replaced one to one and consistently, not all equal.
+- `reworded`: a whole item's template or a part of it is there, its slots are replaced one to one and consistently, not
+  all equal. Every window of an item is joined; hits are extended to the longest run of words whose template agrees,
+  and the slots are judged over that run. A part counts if ten of its consecutive words hold at least FIXED that are
+  no slots (rows of numbers or names alone prove nothing); a whole item counts whatever its words.
 
 The evaluation items are the build side. They are counted, and go through in blocks of at most BLOCK_ITEMS items and
 BLOCK_CHARS characters, so the table that each worker holds is bounded whatever their number; each block is one pass
@@ -23,8 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 10
+#: Words other than slots that some window of a reworded part has at least (fixed value).
+FIXED = 5
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
+PAIRS = 1_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _DIGIT = regex.compile(r"\p{N}")
 #: Unit words that become a placeholder right after a number (fixed values).
@@ -61,17 +67,30 @@ class Block:
         self.exact = [np.array([self.ids[w.lower()] for w in words], dtype=np.int64) for _, words in texts]
         self.templates = [self.kinds[x] for x in self.exact]
         self.windows: dict[int, list[tuple[int, int]]] = defaultdict(list)  # exact window hash -> (item, position)
-        self.heads: dict[int, list[int]] = defaultdict(list)  # template hash of an item's first window -> items
         hashes: list[np.ndarray] = []
+        # what starts a reworded run: template hash, item and position of the windows with enough fixed words and of all heads
+        seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for k, words in enumerate(self.exact):
             if len(words) >= WORDS:
                 by_template = window_hashes(self.templates[k])
                 hashes.append(by_template)
-                self.heads[int(by_template[0])].append(k)
+                slots = self.templates[k] <= UNIT
+                if slots.any():  # else nothing can be replaced
+                    starts = strong(slots)
+                    starts[0] = True
+                    where = np.flatnonzero(starts)
+                    seeds.append((by_template[where], np.full(len(where), k), where))
                 for at, h in enumerate(window_hashes(words.astype(np.uint64))):
                     self.windows[int(h)].append((k, at))
         self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.array([], dtype=np.uint64)
-        self.first = np.array(sorted(self.heads), dtype=np.uint64)
+        seed, item, where = (np.concatenate(x) for x in zip(*seeds)) if seeds else (np.array([], dtype=t) for t in (np.uint64, np.int64, np.int64))
+        order = np.argsort(seed, kind="stable")
+        self.seeds, self.seed_items, self.seed_at = seed[order], item[order], where[order]
+
+
+def strong(slots: np.ndarray) -> np.ndarray:
+    """Whether each window of WORDS words has at least FIXED that are no slots."""
+    return np.convolve(~slots, np.ones(WORDS, dtype=np.int64), "valid") >= FIXED
 
 
 def window_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -105,8 +124,8 @@ def _consistent(mine: list[str], theirs: list[str], slots: np.ndarray) -> bool:
     return any(a != b for a, b in there.items())
 
 
-def _leaks(texts: list[str | None], block: Block, reworded: bool) -> Iterator[tuple[int, int, str]]:
-    """(row, item index, kind), each once per row."""
+def _leaks(texts: list[str | None], block: Block, reworded: bool) -> Iterator[tuple[int, int, str, int]]:
+    """(row, item index, kind, words), each kind once per row and item; words is the longest run of a reworded one."""
     ids, exact, template, starts, written = block.ids, [], [], [], []
     gap = [UNKNOWN] * WORDS  # no window reaches into the next text
     for text in texts:
@@ -149,20 +168,45 @@ def _leaks(texts: list[str | None], block: Block, reworded: bool) -> Iterator[tu
         for item, where in block.windows.get(h, ()):
             if (row, item) not in seen and np.array_equal(tokens[at : at + WORDS], block.exact[item][where : where + WORDS]):
                 seen.add((row, item))
-                yield row, item, "exact"
+                yield row, item, "exact", WORDS
     if not reworded:
         return
-    heads = _member(hashes[candidates], block.first)
-    again: set[tuple[int, int]] = set()
+    limits = np.append(ends, len(tokens))
     names: dict[int, str] = {n: w for w, n in ids.items()}
-    for at, row in zip(candidates[heads].tolist(), rows[heads].tolist()):
-        for item in block.heads.get(int(hashes[at]), ()):
-            size = len(block.exact[item])
-            if (row, item) in again or not np.array_equal(kinds[at : at + size], block.templates[item]):
+    longest: dict[tuple[int, int], int] = {}
+    for row, item, shift in _diagonals(candidates, rows, hashes[candidates], block):
+        template, low = block.templates[item], max(shift, int(limits[row]))
+        same = kinds[low : min(shift + len(template), int(limits[row + 1]))]
+        same = same == template[low - shift : low - shift + len(same)]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
+        for start, end in zip((edges[::2] + low).tolist(), (edges[1::2] + low).tolist()):
+            size = end - start
+            if size < WORDS or size <= longest.get((row, item), 0):
+                continue
+            slots = template[start - shift : end - shift] <= UNIT
+            if size < len(template) and not strong(slots).any():
                 continue
-            if _consistent(written[at : at + size], [names[x] for x in block.exact[item].tolist()], block.templates[item] <= UNIT):
-                again.add((row, item))
-                yield row, item, "reworded"
+            if _consistent(written[start:end], [names[x] for x in block.exact[item][start - shift : end - shift].tolist()], slots):
+                longest[row, item] = size
+    for (row, item), size in longest.items():
+        yield row, item, "reworded", size
+
+
+def _diagonals(at: np.ndarray, rows: np.ndarray, hashes: np.ndarray, block: Block) -> Iterator[tuple[int, int, int]]:
+    """(row, item, position in the texts minus position in the item) of all windows that meet a seed, each once."""
+    low, high = np.searchsorted(block.seeds, hashes, "left"), np.searchsorted(block.seeds, hashes, "right")
+    hit = np.flatnonzero(high > low)
+    ends = np.cumsum(high[hit] - low[hit])
+    found, begin = np.empty((0, 3), dtype=np.int64), 0
+    while begin < len(hit):  # a bounded number of pairs at a time
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+        part = hit[begin:stop]
+        n = high[part] - low[part]
+        of = np.repeat(part, n)
+        seed = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
+        found = np.unique(np.concatenate((found, np.stack((rows[of], block.seed_items[seed], at[of] - block.seed_at[seed]), axis=1))), axis=0)
+        begin = stop
+    yield from map(tuple, found.tolist())
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -180,8 +224,9 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 
 
 def leaks(docs: DataFrame, items: DataFrame, reworded: bool = False, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, kind): documents that hold ten consecutive words of an item (`exact`) or, if asked for, a whole
-    item with its numbers, names and units replaced consistently (`reworded`).
+    """(doc_id, item_id, kind[, words]): documents that hold ten consecutive words of an item (`exact`) or, if asked for,
+    an item or a part of it with its numbers, names and units replaced consistently (`reworded`); words, given with
+    these, is the number of words in the longest such run, and 10, the least, for exact ones.
 
     Words are lower-cased runs of letters and digits. Null, empty and short texts leak nothing; repeated documents
     count one by one; an item with several rows under one id counts once per document. Items under ten words can't
@@ -189,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, reworded: bool = False, doc_key: st
     """
     spark = docs.sparkSession
     doc_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"doc_id {doc_type}, item_id {item_type}, kind string"
+    schema = f"doc_id {doc_type}, item_id {item_type}, kind string" + ", words int" * reworded
     out = None
     for rows in _blocks(items, item_key, text):
         shared = spark.sparkContext.broadcast(rows)
@@ -203,7 +248,9 @@ def leaks(docs: DataFrame, items: DataFrame, reworded: bool = False, doc_key: st
                     found = list(_leaks(part.column(1).to_pylist(), block, reworded))
                     if found:
                         docs_ = part.column(0).take(pa.array([f[0] for f in found]))
-                        yield pa.RecordBatch.from_arrays([docs_, pa.array([block.items[f[1]] for f in found]).cast(_arrow(item_type)), pa.array([f[2] for f in found])], names=["doc_id", "item_id", "kind"])
+                        columns = [docs_, pa.array([block.items[f[1]] for f in found]).cast(_arrow(item_type)), pa.array([f[2] for f in found])]
+                        words = [pa.array([f[3] for f in found], pa.int32())] if reworded else []
+                        yield pa.RecordBatch.from_arrays(columns + words, names=["doc_id", "item_id", "kind", "words"][: 3 + reworded])
 
         one = docs.select(F.col(doc_key), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -211,6 +258,8 @@ def leaks(docs: DataFrame, items: DataFrame, reworded: bool = False, doc_key: st
         return spark.createDataFrame([], schema)
     # documents count row by row, but an item with several rows may match one document twice
     repeated = items.groupBy(item_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated and reworded:
+        return out.groupBy("doc_id", "item_id", "kind").agg(F.max("words").alias("words"))
     return out.distinct() if repeated else out
 
 

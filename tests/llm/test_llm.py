@@ -166,6 +166,24 @@ def test_repeated_documents_count_one_by_one(spark):
     assert sorted(r["doc_id"] for r in leaks(d, e).collect()) == [1, 1, 2]
 
 
+def test_reworded_parts_of_items(spark):
+    item = "On page 12 the clerk Adam wrote that the road and the map of Bern had been quiet for 3 days"
+    changed = item.replace("12", "77").replace("Adam", "Zoe").replace("Bern", "Rome").replace(" 3 ", " 9 ").split()
+    broken = item.replace("clerk", "cook").replace("Bern", "Rome")  # the first window is gone
+    twice = item.replace("Adam", "Zoe").split()
+    docs = [
+        (1, " ".join(changed[3:])), (2, " ".join(changed[:16])), (3, "And so: " + " ".join(changed[4:17]) + ". The end"), (4, broken),
+        (5, " ".join(item.split()[3:])), (6, " ".join(changed[5:14])), (7, " ".join(twice[1:14]) + " Zoe had been quiet"), (8, " ".join(changed[6:]) + " . " + " ".join(changed[:12])),
+        (9, "1 2 3 4 5 6 7 8 9 10 11"), (10, "21 22 23 24 25 26 27 28 29 30"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(100, item), (101, "5 6 7 8 9 10 11 12 13 14 15")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["words"] for r in leaks(d, e, reworded=True).where("kind = 'reworded'").collect()}
+    # 5 is exact, 6 has nine words, 7 makes one name of two, 10 is a part with numbers alone
+    assert got == {(1, 100): 18, (2, 100): 16, (3, 100): 13, (4, 100): 16, (8, 100): 15, (9, 101): 11}
+    assert leaks(d, e).columns == ["doc_id", "item_id", "kind"]
+
+
 # ---------------------------------------------------------------- sentences
 
 @pytest.fixture(scope="module")
