@@ -8,7 +8,7 @@ the logarithm of the number of links, whatever the depth. The records read in re
 depth and path. What peeling can't remove lies on a cycle; contraction shrinks each cycle to one node tied to itself.
 
 All rows stay distributed; each round writes its tables to the shared folder. Descendants are rows (ancestor, node,
-distance), never a list in one cell: one root may hold a third of all nodes.
+distance), never a list in one cell: one root may hold a third of all nodes. They are whole on and below cycles too.
 """
 
 from __future__ import annotations
@@ -35,12 +35,15 @@ def _above(node, other, turn: int):
 
 
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
-    """(node, root, depth[, path]) for every id that is a child or parent in `links` (child, parent: integers).
+    """(node, root, depth[, path, walk, spot, around]) for every id that is a child or parent in `links` (child, parent: integers).
 
     depth is the number of links up to the root; path runs from the root to the node, both included. A node on or
     below a cycle has the smallest id on that cycle as root, depth -1 and a null path; a node that is its own parent
     is a cycle. Links with a null end are no links, repeated links count once, a child with several parents keeps the
     smallest, no links give no rows. Other columns of `links` are ignored.
+
+    walk, spot and around are null but on or below a cycle: walk runs from the nearest node on the cycle to the node,
+    both included, spot is that first node's place on the cycle, counted downwards, and around the cycle's length.
     """
     spark = links.sparkSession
     scratch = Scratch(spark)
@@ -84,16 +87,27 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
 
     # reverse order: roots and cycle anchors first, then each round's records find the node above them
     start = scratch.read(first)
-    cycle = scratch.read(*records).where("act = 3").select(F.col("child").alias("node"), F.least("child", "lo").alias("root"), F.lit(-1).cast("long").alias("depth"))
+    anchors = scratch.read(*records).where("act = 3")
+    cycle = anchors.select(F.col("child").alias("node"), F.least("child", "lo").alias("root"), F.lit(-1).cast("long").alias("depth"))
     roots = start.select(F.col("parent").alias("node")).distinct().join(start.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"))
-    if paths:
-        roots, cycle = roots.withColumn("path", F.array("node")), cycle.withColumn("path", F.lit(None).cast("array<bigint>"))
+    walked = ["path", "walk", "spot", "around"] if paths else []
+    loop = None
+    if paths:  # all nodes of a cycle start, those below it follow; an anchor's via and itself are the cycle, downwards
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(walked, ("array<bigint>", "array<bigint>", "long", "long"))]
+        around = F.concat("via", F.array("child"))
+        cycle = anchors.select(F.posexplode(around).alias("spot", "node"), F.least("child", "lo").alias("root"), F.size(around).cast("long").alias("around"))
+        cycle = cycle.select("node", "root", F.lit(-1).cast("long").alias("depth"), nothing[0], F.array("node").alias("walk"), F.col("spot").cast("long").alias("spot"), "around")
+        roots = roots.select("*", F.array("node").alias("path"), *nothing[1:])
+        cycle = scratch.stage(cycle)
+        loop = cycle.select(F.col("node").alias("child"))
     known = [scratch.write(roots.unionByName(cycle))]
     for path in reversed(records):
-        above = scratch.read(*known).select(F.col("node").alias("parent"), "root", "depth", *(["path"] if paths else []))
-        found = scratch.read(path).where("act in (1, 2)").join(above, "parent").select(
+        above = scratch.read(*known).select(F.col("node").alias("parent"), "root", "depth", *walked)
+        taken = scratch.read(path).where("act in (1, 2)")
+        taken = taken if loop is None else taken.join(loop, "child", "left_anti")
+        found = taken.join(above, "parent").select(
             F.col("child").alias("node"), "root", F.when(F.col("depth") < 0, F.lit(-1).cast("long")).otherwise(F.col("depth") + F.col("w")).alias("depth"),
-            *([F.concat("path", "via", F.array("child")).alias("path")] if paths else []),
+            *([*[F.concat(c, "via", F.array("child")).alias(c) for c in ("path", "walk")], "spot", "around"] if paths else []),
         )
         known.append(scratch.write(found))
     for path in records:
@@ -102,6 +116,14 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, node, distance) for every pair on a path of hierarchy(paths=True); the node itself is not listed."""
-    up = tree.where(F.col("path").isNotNull()).select("node", "depth", F.posexplode("path").alias("level", "ancestor"))
-    return up.where(F.col("level") < F.col("depth")).select("ancestor", "node", (F.col("depth") - F.col("level")).alias("distance"))
+    """(ancestor, node, distance) for every pair of hierarchy(paths=True); the node itself is not listed.
+
+    A node on a cycle has all others on the cycle and all below it as descendants, at the least number of links.
+    """
+    # a walk's first node is on the cycle; it comes with the others there
+    up = tree.select("node", F.posexplode(F.coalesce("path", F.slice("walk", 2, F.size("walk")))).alias("level", "ancestor"), (F.size(F.coalesce("path", "walk")) - F.when(F.col("path").isNull(), 2).otherwise(1)).cast("long").alias("last"))
+    off = up.where(F.col("level") < F.col("last")).select("ancestor", "node", (F.col("last") - F.col("level")).alias("distance"))
+    on = tree.where(F.size("walk") == 1).select("root", F.col("node").alias("ancestor"), F.col("spot").alias("place"))
+    links = F.pmod(F.col("spot") - F.col("place"), F.col("around")) + F.size("walk") - 1
+    below = tree.where(F.col("walk").isNotNull()).join(on, "root").where(F.col("ancestor") != F.col("node")).select("ancestor", "node", links.alias("distance"))
+    return off.unionByName(below)

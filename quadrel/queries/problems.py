@@ -39,6 +39,11 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs in trees that hang off no cycle, as its SQL has them; p3_all_descendants has all pairs."""
+    return descendants(hierarchy(_links(spark, d), paths=True).where("depth >= 0"))
+
+
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(_links(spark, d), paths=True))
 
 
@@ -60,7 +65,7 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p3_all_descendants, p5_found, p5_report, p6_found, p6_wide)}
 
 
 _REACH = f"""WITH RECURSIVE l AS (SELECT child, min(parent) AS parent FROM (
@@ -77,6 +82,14 @@ tree AS (SELECT n.node, coalesce(c.root, t.root, n.node) AS root,
   LEFT JOIN (SELECT r.node, count(*) AS depth, max(CASE WHEN l.child IS NULL THEN r.anc END) AS root FROM r LEFT JOIN l ON l.child = r.anc GROUP BY r.node) t ON t.node = n.node)
 """
 
+_PAIRS = f"""WITH RECURSIVE l AS (SELECT child, min(parent) AS parent FROM (
+    SELECT subject AS child, object AS parent FROM quads WHERE predicate = {BROADER}
+    UNION ALL SELECT object, subject FROM quads WHERE predicate = {NARROWER}) x
+  WHERE child IS NOT NULL AND parent IS NOT NULL GROUP BY child),
+r AS (SELECT child AS node, parent AS anc, CAST(1 AS BIGINT) AS distance, [child, parent] AS seen FROM l
+  UNION ALL SELECT r.node, l.parent, r.distance + 1, list_append(r.seen, l.parent) FROM r JOIN l ON l.child = r.anc WHERE NOT list_contains(r.seen, l.parent))
+"""
+
 _REFS = """WITH refs AS (SELECT id AS quad_id, 'subject' AS position, subject AS k, loaded_at FROM quads
     UNION ALL SELECT id, 'object', object, loaded_at FROM quads),
 lost AS (SELECT quad_id, position, k, loaded_at FROM refs WHERE k IS NOT NULL AND k < 1729382256910270464 AND NOT EXISTS (
@@ -109,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_graph_description": "SELECT graph, predicate, count(*) AS quads, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM quads GROUP BY graph, predicate",
         "p3_found": _REACH + "SELECT node, root, CAST(depth AS BIGINT) AS depth FROM tree",
         "p3_descendants": _REACH + ", d AS (SELECT node, CAST(depth AS BIGINT) AS depth FROM tree WHERE depth >= 0) SELECT r.anc AS ancestor, r.node, x.depth - y.depth AS distance FROM r JOIN d x ON x.node = r.node JOIN d y ON y.node = r.anc",
+        "p3_all_descendants": _PAIRS + "SELECT anc AS ancestor, node, distance FROM r WHERE anc <> node",
         "p5_found": _REFS + "SELECT quad_id, position FROM lost",
         "p5_report": _REFS + "SELECT 'quads' AS table_name, position, strftime(loaded_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM lost GROUP BY ALL",
         "p6_found": _CELLS + "SELECT subject, column_name, 'untyped' AS fault FROM cells WHERE bad UNION ALL SELECT subject, column_name, 'conflict' FROM cells WHERE clash",

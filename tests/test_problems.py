@@ -71,6 +71,22 @@ def test_links_and_descendants(spark):
     assert sorted(tuple(r) for r in descendants(tree).collect()) == [(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)]
 
 
+def test_descendants_on_and_below_cycles(spark):
+    links = [(1, 2), (2, 3), (3, 1), (10, 2), (11, 10), (12, 11), (13, 10), (14, 3), (20, 20), (21, 20), (22, 21), (31, 30), (32, 31), (40, 41), (41, 40)]
+    links += [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 104), (201, 200)]
+    parent, want = dict(links), set()
+    for node in parent:
+        above, far, seen = parent[node], 1, {node}
+        while above is not None and above not in seen:
+            seen.add(above)
+            want.add((above, node, far))
+            above, far = parent.get(above), far + 1
+    tree = hierarchy(spark.createDataFrame(links, "child long, parent long"), paths=True)
+    got = [tuple(r) for r in descendants(tree).collect()]
+    assert sorted(got) == sorted(want)
+    assert tree.count() == len(set(parent) | set(parent.values()))
+
+
 # ---------------------------------------------------------------- skewed keys
 
 def test_heavy_values(spark):
