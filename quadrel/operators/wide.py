@@ -22,6 +22,8 @@ from quadrel.operators.orphans import INLINE_BASE
 from quadrel.runtime import Scratch, small
 
 _TRIM = " \t\r\n"
+#: Digits of an integer that int() reads at most, whatever the interpreter's settings (its lowest limit).
+INT_DIGITS = 640
 _INT = re.compile(r"[+-]?[0-9]+\Z")
 _DECIMAL = re.compile(r"[+-]?[0-9]+(\.[0-9]+)?\Z")
 _DOUBLE = re.compile(r"[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\Z")
@@ -55,6 +57,17 @@ def _stamp(text: str):
     return ((day - date(1970, 1, 1)).days * 86400 + h * 3600 + mi * 60 + s - away, int((m[5] or "0").ljust(6, "0")))
 
 
+def _whole(text: str) -> int | Decimal:
+    """The exact number; a Decimal, which compares and hashes like an int, beyond the digits that int() reads."""
+    digits = text.lstrip("+-").lstrip("0")
+    return int(text[: text[0] == "-"] + (digits or "0")) if len(digits) <= INT_DIGITS else Decimal(text)
+
+
+def _exact(text: str) -> Context:
+    """A context in which no digit of a text is rounded."""
+    return Context(prec=len(text), Emax=MAX_EMAX, Emin=MIN_EMIN)
+
+
 def read_value(kind: str, text: str, is_iri: bool):
     """The typed, comparable value of a text, or None if it can't be read as `kind`."""
     if kind == "string":
@@ -65,9 +78,9 @@ def read_value(kind: str, text: str, is_iri: bool):
     if kind == "boolean":
         return _BOOL.get(text.lower()) if text.isascii() else None
     if kind == "int":
-        return int(text) if _INT.match(text) else None
+        return _whole(text) if _INT.match(text) else None
     if kind == "decimal":
-        return Decimal(text).normalize(_EXACT) if _DECIMAL.match(text) else None
+        return Decimal(text).normalize(_exact(text)) if _DECIMAL.match(text) else None
     if kind == "double":
         return float(text) + 0.0 if _DOUBLE.match(text) else None
     if kind == "date":
@@ -77,9 +90,6 @@ def read_value(kind: str, text: str, is_iri: bool):
     raise ValueError(f"unknown value type {kind}")
 
 
-
-_EXACT = Context(prec=10_000, Emax=MAX_EMAX, Emin=MIN_EMIN)
-
 _SPARK = {"string": T.StringType(), "iri": T.StringType(), "boolean": T.BooleanType(), "int": T.LongType(), "decimal": T.DecimalType(38, 18), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType()}
 
 
@@ -88,7 +98,7 @@ def _encode(kind: str, value):
     if kind == "int":
         return value if -(2**63) <= value < 2**63 else None
     if kind == "decimal":
-        return value if abs(value) < Decimal(10) ** 20 and value.as_tuple().exponent >= -18 else None
+        return value if value.copy_abs() < Decimal(10) ** 20 and value.as_tuple().exponent >= -18 else None
     if kind == "timestamp":
         try:
             return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=value[0], microseconds=value[1])

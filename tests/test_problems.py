@@ -159,6 +159,20 @@ def test_equal_values():
     assert read_value("iri", "http://a", True) == "http://a" and read_value("iri", "http://a", False) is None
 
 
+def test_numerals_of_any_length_are_exact(spark):
+    one, other = "1" * 12_000 + "2", "1" * 12_000 + "3"
+    texts = {"int": [one, other, "+00" + one, "-" + one], "decimal": [one + ".50", other + ".5", "0" + one + ".5", "-" + one]}
+    for kind, (a, b, same, minus) in texts.items():
+        x, y, z, m = (read_value(kind, t, False) for t in (a, b, same, minus))
+        assert x == z and hash(x) == hash(z) and m < x < y
+    assert read_value("int", "-" + "0" * 5000 + "7", False) == -7 and read_value("int", "-0", False) == 0
+    assert read_value("decimal", "0." + "0" * 11_000 + "1", False) != 0
+    quads = spark.createDataFrame([(1, 5, 1, 10, None, None), (2, 5, 1, 11, None, None), (3, 6, 1, 10, None, None), (4, 6, 1, 12, None, None), (5, 5, 2, 10, None, None), (6, 5, 2, 11, None, None)], QUAD)
+    attributes = spark.createDataFrame([(1, "n", "int", False), (2, "d", "decimal", False)], "predicate long, column_name string, value_type string, multi_valued boolean")
+    terms = spark.createDataFrame([(10, one, 17), (11, other, 17), (12, "0" + one, 17)], "id long, value string, type int")
+    assert {tuple(r) for r in cell_faults(quads, attributes, terms).collect()} == {(5, "n", "conflict"), (5, "d", "conflict")}
+
+
 def test_mergers_are_associative():
     r = random.Random(3)
     ops = Registers([("a", "int", False), ("b", "string", True), ("c", "date", False)])
