@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from collections import Counter
 from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -18,8 +18,6 @@ from quadrel.sources.store import TermStore, term_frame
 _MF = "http://www.w3.org/2001/sw/DataAccess/tests/test-manifest#"
 _QT = "http://www.w3.org/2001/sw/DataAccess/tests/test-query#"
 _RS = "http://www.w3.org/2001/sw/DataAccess/tests/result-set#"
-#: Blank nodes up to which all assignments are tried.
-MOST_BLANKS = 7
 
 
 @dataclass
@@ -45,27 +43,52 @@ def _rows(result: results.Result) -> list[frozenset]:
 
 
 def equal(a: results.Result, b: results.Result) -> bool:
-    """Same rows, order aside, under some renaming of blank nodes."""
+    """Same rows, order aside, under some renaming of blank nodes; any number of them."""
     if isinstance(a, bool) or isinstance(b, bool):
         return a is b
-    left, right = _rows(a), _rows(b)
-    if len(left) != len(right):
+    return _isomorphic(Counter(_rows(a)), Counter(_rows(b)))
+
+
+def _blanks(rows: Counter) -> set[Term]:
+    return {t for r in rows for _, t in r if t.kind == "bnode"}
+
+
+def _colours(rows: Counter, start: dict[Term, int]) -> dict[Term, int]:
+    """Blank nodes coloured by the rows they stand in, refined until no colour splits any more."""
+    colour = start
+    while True:
+        views: dict[Term, list] = {t: [] for t in colour}
+        for row, n in rows.items():
+            seen = {k: ("", colour[t]) if t.kind == "bnode" else (str(t), 0) for k, t in row}
+            for k, t in row:
+                if t.kind == "bnode":
+                    views[t].append((k, n, sorted((x, seen[x], u == t) for x, u in row)))
+        key = {t: hash((colour[t], str(sorted(v, key=str)))) for t, v in views.items()}
+        if len(set(key.values())) == len(set(colour.values())):
+            return key
+        colour = key
+
+
+def _isomorphic(left: Counter, right: Counter) -> bool:
+    """Colour refinement, then a search that fixes one node of the smallest ambiguous colour at a time."""
+
+    def search(mine: dict[Term, int], theirs: dict[Term, int]) -> bool:
+        mine, theirs = _colours(left, mine), _colours(right, theirs)
+        if Counter(mine.values()) != Counter(theirs.values()):
+            return False
+        sizes = Counter(mine.values())
+        open_ = [c for c, n in sizes.items() if n > 1]
+        if not open_:
+            back = {c: t for t, c in theirs.items()}
+            to = {t: back[c] for t, c in mine.items()}
+            return Counter({frozenset((k, to.get(t, t)) for k, t in r): n for r, n in left.items()}) == right
+        pick = min(open_, key=lambda c: (sizes[c], c))
+        one = min((t for t, c in mine.items() if c == pick), key=str)
+        return any(search({**mine, one: 1}, {**theirs, other: 1}) for other in sorted((t for t, c in theirs.items() if c == pick), key=str))
+
+    if sum(left.values()) != sum(right.values()) or len(_blanks(left)) != len(_blanks(right)):
         return False
-    blanks = lambda rows: sorted({t for r in rows for _, t in r if t.kind == "bnode"})
-    mine, theirs = blanks(left), blanks(right)
-    if len(mine) != len(theirs):
-        return False
-    plain = lambda rows: sorted(str(sorted((k, t if t.kind != "bnode" else "_") for k, t in r)) for r in rows)
-    if plain(left) != plain(right):
-        return False
-    if not mine or len(mine) > MOST_BLANKS:
-        return bool(mine) or set(left) == set(right)
-    goal = set(right)
-    for order in itertools.permutations(theirs):
-        to = dict(zip(mine, order))
-        if {frozenset((k, to.get(t, t)) for k, t in r) for r in left} == goal:
-            return True
-    return False
+    return search(dict.fromkeys(_blanks(left), 0), dict.fromkeys(_blanks(right), 0))
 
 
 def _result_graph(triples: list) -> results.Result:

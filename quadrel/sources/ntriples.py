@@ -17,6 +17,7 @@ _BLANK = r"_:([\w](?:[\w.\-]*[\w\-])?)"
 _LITERAL = r'"((?:[^"\\\n\r]++|\\.)*+)"(?:\^\^<([^<>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 _ANY = rf"(?:{_IRI}|{_BLANK}|{_LITERAL})"
 #: Groups 1-2 subject, 3 predicate, 4-8 object, 9-10 graph.
+_NOTHING = r"^\s*(#.*)?$"
 LINE = rf"(?U)^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*{_ANY}\s*(?:(?:{_IRI}|{_BLANK})\s*)?\.\s*(?:#.*)?$"
 
 
@@ -57,20 +58,27 @@ def _resource(name: Column, blank: Column, document: Column) -> Column:
     return F.when(blank != "", as_blank).otherwise(as_iri)
 
 
-def read_lines(lines: DataFrame, graph: str | None = None, document: Column | None = None, strict: bool = True) -> DataFrame:
+def is_statement(value: Column) -> Column:
+    """Whether a line is a statement, or a comment or empty."""
+    return value.isNull() | value.rlike(_NOTHING) | value.rlike(LINE)
+
+
+def blank_prefix(file: Column) -> Column:
+    """What blank-node labels of a file begin with, so that labels of different files stay apart."""
+    return F.concat(F.md5(file), F.lit("x"))
+
+
+def read_lines(lines: DataFrame, graph: str | None = None, document: Column | None = None) -> DataFrame:
     """(s, p, o, g) from a column `value` of N-Triples or N-Quads lines.
 
-    Comments and empty lines give nothing; another line that is no statement raises an error when the data is read, or
-    is left out if not strict. Blank-node labels get `document` as a prefix, so labels of different files stay apart.
-    Statements without a graph get `graph`.
+    Comments and empty lines give nothing; another line that is no statement raises an error when the data is read.
+    Blank-node labels get `document` as a prefix, so labels of different files stay apart. Statements without a graph
+    get `graph`.
     """
     document = F.lit("") if document is None else document
-    kept = lines.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+    kept = lines.where(F.col("value").isNotNull() & ~F.col("value").rlike(_NOTHING))
     good = F.col("value").rlike(LINE)
-    if strict:
-        kept = kept.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("no N-Quads statement: "), F.col("value"))).cast("boolean")))
-    else:
-        kept = kept.where(good)
+    kept = kept.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("no N-Quads statement: "), F.col("value"))).cast("boolean")))
     none = F.lit(None).cast("string")
     dt = F.when(_group(8) != "", LANG).when(_group(7) != "", _group(7)).otherwise(STRING)
     text = F.struct(F.lit(LITERAL).alias("k"), _unescaped(_group(6)).alias("lex"), dt.alias("dt"), F.when(_group(8) != "", F.lower(_group(8))).alias("lang"))
@@ -81,10 +89,10 @@ def read_lines(lines: DataFrame, graph: str | None = None, document: Column | No
     return kept.select(_resource(_group(1), _group(2), document).alias("s"), _resource(_group(3), F.lit(""), document).alias("p"), o.alias("o"), g.cast(TERM_TYPE).alias("g"))
 
 
-def read(spark: SparkSession, path: str, graph: str | None = None, strict: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
     """Quads of N-Triples or N-Quads files; large files are split among tasks."""
-    lines = spark.read.text(path).select("value", F.concat(F.md5(F.input_file_name()).substr(1, 8), F.lit("x")).alias("doc"))
-    return read_lines(lines, graph, F.col("doc"), strict)
+    lines = spark.read.text(path).select("value", blank_prefix(F.input_file_name()).alias("doc"))
+    return read_lines(lines, graph, F.col("doc"))
 
 
 _BAD_IRI = r"[\x00-\x20<>\"{}|^`\\]"

@@ -79,7 +79,7 @@ def read_whole(spark: SparkSession, path: str, parser, graph: str | None = None)
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                document = hashlib.md5(name.encode()).hexdigest()[:8] + "x"
+                document = hashlib.md5(name.encode()).hexdigest() + "x"
                 g = cells(iri(graph)) if graph else None
                 rows = [{"s": cells(s, document), "p": cells(p), "o": cells(o, document), "g": g} for s, p, o in parser(bytes(content).decode("utf-8"), name)]
                 yield pd.DataFrame(rows, columns=list("spog"))

@@ -15,6 +15,16 @@ def test_results_up_to_blank_nodes():
     assert equal(Triples([(b("a"), iri("p"), literal("1"))]), Triples([(b("z"), iri("p"), literal("1"))]))
 
 
+def test_rings_of_blank_nodes():
+    b = lambda x: Term("bnode", f"n{x}")
+    ring = lambda nodes: [(b(x), iri("p"), b(y)) for x, y in zip(nodes, [*nodes[1:], nodes[0]])]
+    eight, fours = Triples(ring(list(range(8)))), Triples(ring([0, 1, 2, 3]) + ring([4, 5, 6, 7]))
+    assert not equal(eight, fours) and equal(eight, Triples(ring([5, 3, 1, 0, 7, 2, 6, 4]))) and equal(fours, Triples(ring([7, 1, 3, 0]) + ring([2, 4, 6, 5])))
+    many = [(b(x), iri("p"), literal(str(x % 3))) for x in range(40)] + ring(list(range(40)))
+    assert equal(Triples(many), Triples([tuple(b(int(t.value[1:]) + 100) if t.kind == "bnode" else t for t in x) for x in many]))
+    assert not equal(Triples(many), Triples(many[:-1] + [(b(39), iri("p"), b(1))]))
+
+
 def test_manifest(spark, tmp_path):
     files = {
         "manifest.ttl": """@prefix mf: <http://www.w3.org/2001/sw/DataAccess/tests/test-manifest#> . @prefix qt: <http://www.w3.org/2001/sw/DataAccess/tests/test-query#> .

@@ -12,6 +12,7 @@ from quadrel.sources import results
 from quadrel.sources.mapping import MappedStore
 from quadrel.sources.service import Client, EndpointStore, FragmentStore
 from quadrel.sources.store import DictionaryStore, TermStore, best_language, term_frame
+from quadrel.runtime import shared_dir
 from quadrel.streaming.push import load_stream, push
 
 G = iri("http://g")
@@ -141,12 +142,32 @@ def test_push_and_stream(spark, tmp_path):
     assert push(spark.range(5), seen.append) == 5 and len(seen) == 5
     inbox = tmp_path / "in"
     inbox.mkdir()
-    (inbox / "a.nq").write_text('<http://a> <http://p> "1" .\nnonsense\n')
-    out, mark = str(tmp_path / "table"), str(tmp_path / "mark")
-    load_stream(spark, str(inbox), out, mark).awaitTermination(60)
-    (inbox / "b.nq").write_text('<http://b> <http://p> "2" .\n')
-    load_stream(spark, str(inbox), out, mark).awaitTermination(60)
-    assert spark.read.parquet(out).count() == 2
+    (inbox / "a.nq").write_text('<http://a> <http://p> _:x .\nnonsense\n# a comment\n')
+    out, mark, bad = str(tmp_path / "table"), str(tmp_path / "mark"), str(tmp_path / "bad")
+    load_stream(spark, str(inbox), out, mark, rejects=bad).awaitTermination(60)
+    (inbox / "b.nq").write_text("<http://b> <http://p> _:x .\n")
+    load_stream(spark, str(inbox), out, mark, rejects=bad).awaitTermination(60)
+    got = spark.read.parquet(out)
+    assert got.count() == 2 and got.select("o.lex").distinct().count() == 2  # one label in two files is two nodes
+    assert [r["value"] for r in spark.read.parquet(bad).collect()] == ["nonsense"]
+    (inbox / "c.nq").write_text("more nonsense\n")
+    with pytest.raises(Exception, match="no N-Quads statement"):
+        load_stream(spark, str(inbox), out, mark).awaitTermination(60)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
 
 
 def test_star_is_one_scan(spark, data):
