@@ -34,16 +34,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     tree = hierarchy(_links(spark, d), paths=True)
-    sizes = descendants(tree).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))
-    return tree.join(sizes, "node", "left").select("node", "root", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    return tree.select("node", "root", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), (F.col("size") - 1).alias("descendants"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs in trees that hang off no cycle, as its SQL has them; p3_all_descendants has all pairs."""
-    return descendants(hierarchy(_links(spark, d), paths=True).where("depth >= 0"))
-
-
-def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(_links(spark, d), paths=True))
 
 
@@ -65,7 +59,7 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p3_all_descendants, p5_found, p5_report, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p6_found, p6_wide)}
 
 
 _REACH = f"""WITH RECURSIVE l AS (SELECT child, min(parent) AS parent FROM (
@@ -121,8 +115,16 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'graph', graph FROM quads WHERE graph IS NOT NULL GROUP BY graph HAVING count(*) >= 0.05 * (SELECT count(*) FROM quads)""",
         "p2_graph_description": "SELECT graph, predicate, count(*) AS quads, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM quads GROUP BY graph, predicate",
         "p3_found": _REACH + "SELECT node, root, CAST(depth AS BIGINT) AS depth FROM tree",
-        "p3_descendants": _REACH + ", d AS (SELECT node, CAST(depth AS BIGINT) AS depth FROM tree WHERE depth >= 0) SELECT r.anc AS ancestor, r.node, x.depth - y.depth AS distance FROM r JOIN d x ON x.node = r.node JOIN d y ON y.node = r.anc",
-        "p3_all_descendants": _PAIRS + "SELECT anc AS ancestor, node, distance FROM r WHERE anc <> node",
+        "p3_paths": _PAIRS + """, loops AS (SELECT anc AS node, min(node) AS root FROM (SELECT x.node, x.anc FROM r x JOIN r y ON y.node = x.anc AND y.anc = x.node UNION ALL SELECT child, child FROM l WHERE child = parent) z GROUP BY anc),
+            ring AS (SELECT node, min(root) AS root FROM (SELECT node, least(node, root) AS root FROM loops) z GROUP BY node),
+            nodes AS (SELECT child AS node FROM l UNION SELECT parent FROM l),
+            low AS (SELECT n.node, min(g.root) AS root FROM nodes n LEFT JOIN r ON r.node = n.node JOIN ring g ON g.node = n.node OR g.node = r.anc GROUP BY n.node),
+            up AS (SELECT node, max_by(seen, distance) AS seen FROM r GROUP BY node),
+            below AS (SELECT anc AS node, count(*) FILTER (WHERE node <> anc) AS descendants FROM r GROUP BY anc)
+            SELECT n.node, coalesce(low.root, list_last(up.seen), n.node) AS root, CASE WHEN low.root IS NOT NULL THEN -1 ELSE coalesce(len(up.seen) - 1, 0) END AS depth,
+              CASE WHEN low.root IS NULL THEN coalesce(array_to_string(list_reverse(up.seen), '/'), CAST(n.node AS VARCHAR)) END AS path, coalesce(b.descendants, 0) AS descendants
+            FROM nodes n LEFT JOIN low ON low.node = n.node LEFT JOIN up ON up.node = n.node LEFT JOIN below b ON b.node = n.node""",
+        "p3_descendants": _PAIRS + "SELECT anc AS ancestor, node, distance FROM r WHERE anc <> node",
         "p5_found": _REFS + "SELECT quad_id, position FROM lost",
         "p5_report": _REFS + "SELECT 'quads' AS table_name, position, strftime(loaded_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM lost GROUP BY ALL",
         "p6_found": _CELLS + "SELECT subject, column_name, 'untyped' AS fault FROM cells WHERE bad UNION ALL SELECT subject, column_name, 'conflict' FROM cells WHERE clash",

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quadrel.operators.hierarchy import descendants, hierarchy, links_of
+from quadrel.operators.hierarchy import FINISH, descendants, hierarchy, links_of
 from quadrel.operators.key_totals import distinct_profile, heavy_values
 from quadrel.operators.orphans import INLINE_BASE, orphan_references, orphan_report
 from quadrel.operators.wide import Registers, cell_faults, read_value, wide_table
@@ -21,7 +21,7 @@ def brute(links):
     for c, p in sorted((c, p) for c, p in links if c is not None and p is not None):
         parent.setdefault(c, p)
     out = {}
-    for n in set(parent) | set(parent.values()):
+    for n in {x for link in links if None not in link for x in link}:
         path, seen, x = [n], {n}, n
         while x in parent and parent[x] not in seen:
             x = parent[x]
@@ -38,12 +38,28 @@ def brute(links):
     return out
 
 
+def sizes(links):
+    """The node and everything that leads up to it."""
+    parent, below = {}, {}
+    for c, p in sorted((c, p) for c, p in links if c is not None and p is not None):
+        parent.setdefault(c, p)
+    for n in {x for link in links if None not in link for x in link}:
+        x, seen = n, set()
+        while x is not None and x not in seen:
+            seen.add(x)
+            below.setdefault(x, set()).add(n)
+            x = parent.get(x)
+    return {n: len(b) for n, b in below.items()}
+
+
 def check_tree(spark, links):
     df = spark.createDataFrame([(c, p, "x") for c, p in links], "child long, parent long, path string")
     want = brute(links)
-    got = {r["node"]: (r["root"], r["depth"], r["path"]) for r in hierarchy(df, paths=True).collect()}
-    assert got == want
-    assert {r["node"]: (r["root"], r["depth"]) for r in hierarchy(df).collect()} == {n: v[:2] for n, v in want.items()}
+    for finish in (0, 20, FINISH):  # all rounds distributed, the last ones in one task, all in one task
+        rows = hierarchy(df, paths=True, finish=finish).collect()
+        assert {r["node"]: (r["root"], r["depth"], r["path"]) for r in rows} == want and len(rows) == len(want)
+        assert {r["node"]: r["size"] for r in rows} == sizes(links)
+        assert {r["node"]: (r["root"], r["depth"]) for r in hierarchy(df, finish=finish).collect()} == {n: v[:2] for n, v in want.items()}
 
 
 def test_trees_with_cycles_and_a_long_chain(spark):
@@ -60,7 +76,7 @@ def test_trees_with_cycles_and_a_long_chain(spark):
 def test_tree_edge_cases(spark):
     check_tree(spark, [])
     check_tree(spark, [(1, 2)])
-    check_tree(spark, [(-5, 2**40), (7, -5), (7, 3)])  # two parents: the smallest stays
+    check_tree(spark, [(-5, 2**40), (7, -5), (7, 3)])  # two parents: the smallest stays, the other is a root
 
 
 def test_links_and_descendants(spark):
@@ -81,9 +97,9 @@ def test_descendants_on_and_below_cycles(spark):
             seen.add(above)
             want.add((above, node, far))
             above, far = parent.get(above), far + 1
-    tree = hierarchy(spark.createDataFrame(links, "child long, parent long"), paths=True)
-    got = [tuple(r) for r in descendants(tree).collect()]
-    assert sorted(got) == sorted(want)
+    for finish in (0, 12, FINISH):
+        tree = hierarchy(spark.createDataFrame(links, "child long, parent long"), paths=True, finish=finish)
+        assert sorted(tuple(r) for r in descendants(tree).collect()) == sorted(want)
     assert tree.count() == len(set(parent) | set(parent.values()))
 
 
