@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadrel.functions.lanes import (
-    BNODE, BOOLEAN, DATE, DATETIME, IRI, LANG, LITERAL, RANKS, STRING, Val, as_term, constant, datatype, instant, is_kind, lexical, like, make, number, of_rank, text_of, trimmed_number,
+    BNODE, BOOLEAN, DATE, DATETIME, IRI, LANG, LITERAL, RANKS, STRING, Val, as_term, constant, datatype, exact, instant, is_kind, lexical, like, make, number, of_rank, text_of, trimmed_number,
 )
 from quadrel.plans.algebra import XSD, Expr
 
 Custom = Callable[..., Val]
+#: The hidden variable that names a solution, for BNODE with a label.
+SOLUTION = ".solution"
 
 
 def _null() -> Column:
@@ -82,9 +84,10 @@ class Evaluator:
         if name in ("IRI", "URI"):
             v = self.value(e.args[0])
             text = F.when(is_kind(v, IRI) | text_of(v)[0].isNotNull(), lexical(v))
-            if self.base:
-                text = F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), text).otherwise(F.concat(F.lit(self.base.rsplit("/", 1)[0] + "/"), text))
-            return Val("iri", text)
+            return Val("iri", _resolved(text, self.base) if self.base else text)
+        if name == "BNODE" and e.args:
+            # one node for each label and solution; the compiler adds the solution's name
+            return Val("bnode", F.concat(F.lit("b"), F.md5(F.concat_ws("/", self.vals[SOLUTION].col, text_of(self.value(e.args[0]))[0]))))
         return FUNCTIONS[name](*[self.value(a) for a in e.args])
 
 
@@ -146,14 +149,12 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         rank = max(RANKS[a.kind], RANKS[b.kind])
         if rank == 1 and op != "/":
             call = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-            return Val("int", call(a.col.cast("long"), b.col.cast("long")))
+            return Val("int", call(a.col.try_cast("long"), b.col.try_cast("long")))
         if rank <= 2:
-            x, y = a.col.cast("decimal(38,18)"), b.col.cast("decimal(38,18)")
+            x, y = a.col.try_cast("decimal(38,18)"), b.col.try_cast("decimal(38,18)")
             if op in "+-":
-                return Val("dec", (F.try_add if op == "+" else F.try_subtract)(x, y).cast("decimal(38,18)"))
-            # products and quotients keep 18 digits after the point, as a double's digits allow
-            q = _double(op, a.col, b.col)
-            return Val("dec", q.try_cast("decimal(38,18)"))
+                return Val("dec", _sum(op, x, y))
+            return Val("dec", _product(x, y) if op == "*" else _quotient(x, y))
         return Val("flt" if rank == 3 else "dbl", _double(op, a.col, b.col).cast("float" if rank == 3 else "double"))
     na, nb = number(a), number(b)
     if na is None or nb is None:
@@ -162,7 +163,45 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     rank = F.when(ra.isNotNull() & rb.isNotNull(), F.greatest(ra, rb))
     if op == "/":
         rank = F.when(rank == 1, 2).otherwise(rank)
-    return of_rank(_double(op, na[0], nb[0]), rank)
+    x, y = exact(a), exact(b)
+    decimal = F.when(rank == 2, {"+": lambda: _sum("+", x, y), "-": lambda: _sum("-", x, y), "*": lambda: _product(x, y), "/": lambda: _quotient(x, y)}[op]())
+    return of_rank(_double(op, na[0], nb[0]), rank, decimal)
+
+
+def _sum(op: str, x: Column, y: Column) -> Column:
+    """decimal(38,18) of a sum or difference; one digit less before the point leaves room for the carry."""
+    return (F.try_add if op == "+" else F.try_subtract)(x.try_cast("decimal(37,18)"), y.try_cast("decimal(37,18)")).cast("decimal(38,18)")
+
+
+def _product(x: Column, y: Column) -> Column:
+    """decimal(38,18) of a product, exact to its 18 digits: whole parts and fractions are multiplied apart."""
+    wx, wy = (F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).try_cast("decimal(19,0)") for c in (x, y))
+    fx, fy = ((c - w).cast("decimal(18,18)") for c, w in ((x, wx), (y, wy)))
+    whole = F.try_multiply(wx, wy).try_cast("decimal(37,18)")
+    mixed = [F.try_multiply(w, f).try_cast("decimal(37,18)") for w, f in ((wx, fy), (wy, fx))]
+    small = F.try_multiply(fx, fy).cast("decimal(37,18)")
+    return _sum("+", _sum("+", whole, mixed[0]), _sum("+", mixed[1], small))
+
+
+def _quotient(x: Column, y: Column) -> Column:
+    """decimal(38,18) of a quotient: a double's estimate, corrected by what it leaves over."""
+    guess = F.try_divide(x.cast("double"), y.cast("double")).try_cast("decimal(38,18)")
+    left = _sum("-", x, _product(guess, y))
+    return _sum("+", guess, F.coalesce(F.try_divide(left.cast("double"), y.cast("double")).try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)")))
+
+
+def _resolved(text: Column, base: str) -> Column:
+    """References resolved against a base; absolute ones, nearly all, are left as they are."""
+    from urllib.parse import urljoin
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def join(refs: pd.Series) -> pd.Series:
+        known = {r: None if r is None else urljoin(base, r) for r in refs.unique()}
+        return refs.map(known)
+
+    return F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), text).otherwise(join(text))
 
 
 def _double(op: str, a: Column, b: Column) -> Column:
@@ -300,20 +339,28 @@ def _substr(v: Val, start: Val, length: Val | None = None) -> Val:
     return like(out, lang)
 
 
-def _flags(pattern: Column, flags: Val | None) -> Column:
+def _flags(pattern: Column, flags: Val | None) -> tuple[Column, Column]:
+    """The pattern with its flags in front, and whether it is quoted (flag q: every character stands for itself)."""
     if flags is None:
-        return pattern
-    f = F.translate(flags.col if flags.kind == "str" else lexical(flags), "q", "")
-    return F.when(F.length(f) > 0, F.concat(F.lit("(?"), f, F.lit(")"), pattern)).otherwise(pattern)
+        return pattern, F.lit(False)
+    given = flags.col if flags.kind == "str" else lexical(flags)
+    quoted = given.contains("q")
+    # with q only i has a meaning; a \\E inside the pattern would end the quotation
+    f = F.when(quoted, F.regexp_replace(given, "[^i]", "")).otherwise(given)
+    body = F.when(quoted, F.concat(F.lit("\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))).otherwise(pattern)
+    return F.when(F.length(f) > 0, F.concat(F.lit("(?"), f, F.lit(")"), body)).otherwise(body), quoted
 
 
 def _regex(v: Val, pattern: Val, flags: Val | None = None) -> Val:
-    return Val("bool", F.rlike(text_of(v)[0], _flags(text_of(pattern)[0], flags)))
+    return Val("bool", F.rlike(text_of(v)[0], _flags(text_of(pattern)[0], flags)[0]))
 
 
 def _replace(v: Val, pattern: Val, by: Val, flags: Val | None = None) -> Val:
     text, lang = text_of(v)
-    return like(F.regexp_replace(text, _flags(text_of(pattern)[0], flags), text_of(by)[0]), lang)
+    body, quoted = _flags(text_of(pattern)[0], flags)
+    by = text_of(by)[0]
+    plain = F.replace(F.replace(by, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return like(F.regexp_replace(text, body, by if flags is None else F.when(quoted, plain).otherwise(by)), lang)
 
 
 def _encode(v: Val) -> Val:
@@ -416,7 +463,7 @@ def _sameterm(a: Val, b: Val) -> Val:
 def _bnode(v: Val | None = None) -> Val:
     if v is None:
         return Val("bnode", F.uuid())
-    return Val("bnode", F.concat(F.lit("b"), F.md5(F.concat_ws("/", F.monotonically_increasing_id().cast("string"), text_of(v)[0]))))
+    raise ValueError("BNODE with a label needs the solution it stands in")
 
 
 def _strdt(v: Val, dt: Val) -> Val:

@@ -134,14 +134,23 @@ def number(v: Val) -> tuple[Column, Column | int] | None:
     return F.when(rank.isNotNull(), F.trim(v.col["lex"])).try_cast("double"), rank
 
 
-def of_rank(value: Column, rank: Column | int) -> Val:
-    """A number of a known or a row's own rank."""
+def exact(v: Val) -> Column:
+    """An integer or decimal as decimal(38,18); NULL for other numbers."""
+    if v.kind in RANKS:
+        return v.col.try_cast("decimal(38,18)") if RANKS[v.kind] <= 2 else F.lit(None).cast("decimal(38,18)")
+    dt = v.col["dt"]
+    return F.when(dt.isin(*INTEGERS, DECIMAL), F.trim(v.col["lex"])).try_cast("decimal(38,18)")
+
+
+def of_rank(value: Column, rank: Column | int, decimal: Column | None = None) -> Val:
+    """A number of a known or a row's own rank; decimal is the exact value of rank 2, if it is known."""
     if isinstance(rank, int):
         kind = KINDS[rank]
         cast = {"int": "long", "dec": "decimal(38,18)", "flt": "float", "dbl": "double"}[kind]
         return Val(kind, value.try_cast(cast))
     whole = lexical(Val("int", F.when(rank == 1, value).try_cast("long")))
-    deci = lexical(Val("dec", F.when(rank == 2, value).try_cast("decimal(38,18)")))
+    deci = F.when(rank == 2, value).try_cast("decimal(38,18)")
+    deci = lexical(Val("dec", deci if decimal is None else F.coalesce(decimal, deci)))
     real = lexical(Val("dbl", F.when(rank >= 3, value)))
     names = F.when(rank == 1, INTEGER).when(rank == 2, DECIMAL).when(rank == 3, FLOAT).when(rank == 4, DOUBLE)
     return Val("term", make(LITERAL, F.coalesce(whole, deci, real), names))
@@ -197,7 +206,7 @@ def native(v: Val) -> Column:
     """The column that a result shows: typed for native lanes, the lexical form for IRIs and the term lane."""
     if v.kind in ("iri", "term", "bnode"):
         return lexical(v)
-    return v.col
+    return v.col.try_cast("long") if v.kind == "int" else v.col
 
 
 def unify(a: Val, b: Val) -> tuple[Column, Column, Val] | None:

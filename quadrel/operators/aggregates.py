@@ -54,8 +54,11 @@ def _numeric(name: str, distinct: bool, v: Val, over: Over) -> Val:
     if v.kind in RANKS:
         if name == "SUM":
             kind = "dbl" if v.kind == "flt" else v.kind
-            total = F.sum_distinct(v.col) if distinct else over(F.sum(v.col))
-            return Val(kind, F.coalesce(total.cast({"int": "long", "dec": "decimal(38,18)", "dbl": "double"}[kind]), F.lit(0).cast({"int": "long", "dec": "decimal(38,18)", "dbl": "double"}[kind])))
+            # integers have no bound: their sum is a decimal without a point
+            cast = {"int": "decimal(38,0)", "dec": "decimal(38,18)", "dbl": "double"}[kind]
+            given = v.col.cast("decimal(20,0)") if kind == "int" else v.col
+            total = F.sum_distinct(given) if distinct else over(F.sum(given))
+            return Val(kind, F.coalesce(total.try_cast(cast), F.lit(0).cast(cast)))
         mean = over(F.avg(v.col)) if not distinct else None
         kind = "dec" if v.kind in ("int", "dec") else "dbl"
         cast = "decimal(38,18)" if kind == "dec" else "double"

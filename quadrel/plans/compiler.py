@@ -1,15 +1,17 @@
-"""Algebra to DataFrames. The result of a query is one lazy plan; only closures and SERVICE run jobs on the way."""
+"""Algebra to DataFrames. The result of a query is one lazy plan. Jobs run on the way for closures, SERVICE, ids of
+constants in a dictionary, default graphs that have to be found, sides that are counted before they are broadcast, and
+sides that are written once (several maybe-unbound variables; EXISTS inside OPTIONAL; rank over one partition)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrel.functions.expressions import Custom, Evaluator, boolean
-from quadrel.functions.lanes import BNODE, Val, as_term, constant, make, native, unify
+from quadrel.functions.expressions import SOLUTION, Custom, Evaluator, boolean
+from quadrel.functions.lanes import BNODE, Val, as_term, constant, lexical, make, native, unify
 from quadrel.operators import joins
 from quadrel.operators.aggregates import aggregate, distinct_value
 from quadrel.operators.paths import closure
@@ -19,6 +21,7 @@ from quadrel.plans.algebra import (
     BGP, Aggregate, Distinct, Expr, Extend, Filter, Graph, Join, LeftJoin, Minus, Nothing, Order, Path, PathPattern, Plan, Project, QuadPattern, Query, Reduced, Service, Slice, Table, Term, Union, Unit, Var, Windows, variables,
 )
 from quadrel.plans.parser import parse
+from quadrel.runtime import Scratch
 from quadrel.plans.rewrite import simplify
 from quadrel.sources.base import Active, Source
 
@@ -117,6 +120,8 @@ class Compiler:
                     v = rel.vals[plan.value.args[0]]
                     return Rel(rel.df, {**rel.vals, plan.name: v}, rel.bound | ({plan.name} if plan.value.args[0] in rel.bound else set()))
                 rel = self.ready(rel, plan.value)
+                if _labels(plan.value) and SOLUTION not in rel.vals:
+                    rel = self._named_solutions(rel)
                 rel, flags = self.lift(rel, plan.value, active)
                 return rel.with_val(plan.name, self.evaluator(rel, flags).value(plan.value), plan.value.op == "term")
             case Graph():
@@ -144,6 +149,15 @@ class Compiler:
                 return self.slice(plan, active)
         raise TypeError(f"no rule for {type(plan).__name__}")
 
+    def _named_solutions(self, rel: Rel) -> Rel:
+        """A hidden variable that names each solution by its content, and equal solutions by their number."""
+        row = F.md5(F.to_json(F.struct(F.lit(1).alias("one"), *[(v.col.cast("string") if v.kind == "id" else as_term(v)).alias(n.strip(".")) for n, v in rel.vals.items()])))
+        name, turn = fresh("row"), fresh("turn")
+        df = rel.df.withColumn(name, row)
+        df = df.withColumn(turn, F.row_number().over(Window.partitionBy(name).orderBy(name)))
+        df = df.withColumn(name, F.concat_ws(".", name, F.col(turn).cast("string")))
+        return Rel(df, {**rel.vals, SOLUTION: Val("str", F.col(name))}, rel.bound | {SOLUTION})
+
     def slice(self, plan: Slice, active: Active) -> Rel:
         child = plan.child
         # a projection between LIMIT and ORDER BY is pulled up, so that Spark sees sort and limit together
@@ -196,8 +210,10 @@ class Compiler:
         a, b = self.aligned(a, b)
         if exists:
             # EXISTS may look at both sides: the matching pairs are filtered, then rows of the left without a pair are added
+            # the left is written once, so that both uses see the same row numbers
             tag = fresh("row")
-            left = Rel(a.df.withColumn(tag, F.monotonically_increasing_id()), a.vals, a.bound)
+            a = a.renamed()
+            left = Rel(Scratch(self.spark).stage(a.df.withColumn(tag, F.monotonically_increasing_id())), a.vals, a.bound)
             left = Rel(left.df, {**left.vals, f".{tag}": Val("int", F.col(tag))}, left.bound | {f".{tag}"})
             pairs = joins.inner(left, b, self.condition(_and(rest)))
             pairs = self.filter(pairs, _and(exists), active)
@@ -364,6 +380,7 @@ class Compiler:
         backwards = start is None and end is not None
         if backwards:
             start, end = end, None
+        both = start is not None and end is not None and g is None
         step = self.pairs(Path("inverse", p.args) if backwards else p.args[0], active)
         got = unify(step.vals[".s"], step.vals[".o"])
         if got is None:
@@ -379,7 +396,7 @@ class Compiler:
         if p.op == "opt":
             reach = edges.where(first).distinct() if first is not None else edges.distinct()
         else:
-            reach = closure(edges, first)
+            reach = closure(edges, first, _is(self.source, of(node(F.col("o"))), end) if both else None)
         if p.op in ("star", "opt"):
             if start is not None:
                 const = self._constants_like(lane.kind, prefix, start)
@@ -428,13 +445,17 @@ class Compiler:
     def _with_all_nodes(self, reach: DataFrame, of, node, active: Active, g: str | None, backwards: bool) -> Rel:
         every = self.source.scan(Var(".s"), Var(".q"), Var(".o"), active)
         a, b = fresh("s"), fresh("o")
-        if g:
-            raise NotImplementedError("closures over every node of every mapped graph")
         s, o = (F.col("o"), F.col("s")) if backwards else (F.col("s"), F.col("o"))
-        found = reach.select(as_term(of(node(s))).alias(a), as_term(of(node(o))).alias(b))
-        nodes = every.df.select(F.explode(F.array(as_term(every.vals[".s"]), as_term(every.vals[".o"]))).alias(a)).distinct()
-        both = found.unionByName(nodes.select(a, F.col(a).alias(b))).distinct()
-        return Rel(both, {".s": Val("term", F.col(a)), ".o": Val("term", F.col(b))}, frozenset([".s", ".o"]))
+        graph = fresh("g")
+        of_graph = [lexical(Val("iri", F.col("s")["g"])).alias(graph)] if g else []
+        node_graph = [lexical(every.vals[g]).alias(graph)] if g else []
+        found = reach.select(as_term(of(node(s))).alias(a), as_term(of(node(o))).alias(b), *of_graph)
+        nodes = every.df.select(F.explode(F.array(as_term(every.vals[".s"]), as_term(every.vals[".o"]))).alias(a), *node_graph).distinct()
+        both = found.unionByName(nodes.select(a, F.col(a).alias(b), *([graph] if g else []))).distinct()
+        vals = {".s": Val("term", F.col(a)), ".o": Val("term", F.col(b))}
+        if g:
+            vals[g] = Val("iri", F.col(graph))
+        return Rel(both, vals, frozenset(vals))
 
     # ------------------------------------------------------------ query forms
     def solutions(self, q: Query) -> Solutions:
@@ -472,7 +493,7 @@ class Compiler:
         targets = None
         for x in q.describe:
             if isinstance(x, Term):
-                part = self.table(Table((".d",), ((x,),)))
+                part = self.source.constant_node(".d", x) or self.table(Table((".d",), ((x,),)))
             elif x.name in rel.vals:
                 part = Rel(rel.df, {".d": rel.vals[x.name]}, frozenset()).select([".d"])
                 part = Rel(part.df.where(part.vals[".d"].col.isNotNull()), part.vals, frozenset([".d"]))
@@ -480,8 +501,7 @@ class Compiler:
                 continue
             targets = part if targets is None else union(*self.aligned(targets, part))
         names = [".d", ".q", ".x"]
-        every = [self.source.scan(Var(".d"), Var(".q"), Var(".x"), Active(g)) for g in (None, Var(".g"))]
-        triples = union(every[0].select(names), every[1].select(names))
+        triples = self.source.every_triple(*names, near=None if targets is None else targets.vals[".d"])
         if targets is None:
             hits = Rel(triples.df.limit(0), triples.vals, triples.bound)
         else:
@@ -499,6 +519,11 @@ def _is(source: Source, v: Val, t: Term):
     return F.lit(False) if got is None else F.coalesce(got[0] == got[1], F.lit(False))
 
 
+def _labels(e) -> bool:
+    """Whether an expression makes blank nodes from labels."""
+    return isinstance(e, Expr) and (e.op == "BNODE" and bool(e.args) or any(_labels(a) for a in e.args))
+
+
 def _and(parts: list[Expr]) -> Expr | None:
     return reduce(lambda a, b: Expr("and", (a, b)), parts) if parts else None
 

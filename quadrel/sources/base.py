@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrel.functions.lanes import Val
 from quadrel.operators.joins import inner
-from quadrel.operators.relation import Rel
+from quadrel.operators.relation import Rel, union
 from quadrel.plans.algebra import Term, Var
 
 
@@ -18,10 +19,9 @@ class Active:
     graph: Term | Var | None = None
 
 
-def weight(triple: tuple) -> float:
-    """How little a pattern selects; the least is scanned first."""
-    s, p, o = triple
-    return (0.5 if isinstance(s, Term) else 7.5) + (0.5 if isinstance(p, Term) else 2.5) + (0.5 if isinstance(o, Term) else 5)
+def scanned_bytes(rel: Rel) -> float:
+    """What a scan reads, as Spark measures it from the files and the columns that are left."""
+    return float(rel.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def names_of(triple: tuple) -> set[str]:
@@ -34,13 +34,27 @@ class Source:
     def scan(self, s, p, o, active: Active) -> Rel:
         raise NotImplementedError
 
-    def pieces(self, triples: tuple, active: Active) -> list[tuple[set[str], float, Rel]]:
-        """(variables, weight, scan) of the parts of a basic graph pattern; stores fuse patterns here."""
-        return [(names_of(t), weight(t), self.scan(*t, active)) for t in triples]
+    def matches(self, triple: tuple) -> float | None:
+        """How many rows a pattern has, from stored counts; None if the store keeps none."""
+        return None
+
+    def pieces(self, triples: tuple, active: Active) -> list[tuple[set[str], tuple, Rel]]:
+        """(variables, order, scan) of the parts of a basic graph pattern; stores fuse patterns here.
+
+        Parts are ordered by their stored counts; where there are none, by how many of their ends are open.
+        """
+        out = []
+        for t in triples:
+            counted = self.matches(t)
+            open_ends = len([x for x in t if isinstance(x, Var)])
+            out.append((names_of(t), (open_ends,) if counted is None else (0, counted), self.scan(*t, active)))
+        return out
 
     def bgp(self, triples: tuple, active: Active) -> Rel:
-        """Joins the parts, the most selective first, then those that share a variable with what is joined."""
-        left = sorted(self.pieces(triples, active), key=lambda x: x[1])
+        """Joins the parts, the smallest first, then the smallest that shares a variable with what is joined."""
+        left = self.pieces(triples, active)
+        if len(left) > 1:
+            left = sorted(left, key=lambda x: x[1])
         names, _, rel = left.pop(0)
         seen = set(names) | set(rel.vals)
         while left:
@@ -50,6 +64,16 @@ class Source:
             seen |= set(names) | set(other.vals)
         return rel
 
+    def every_triple(self, s: str, p: str, o: str, near: Val | None = None) -> Rel:
+        """All triples of all graphs. Stores may leave out triples whose subject can't be in the lane `near`."""
+        names = [s, p, o]
+        parts = [self.scan(Var(s), Var(p), Var(o), Active(g)).select(names) for g in (None, Var(".graph"))]
+        return union(*parts)
+
+    def constant_node(self, name: str, t: Term) -> Rel | None:
+        """One row with a constant in the lane that the store's scans give it; None if that is no special one."""
+        return None
+
     def materialise(self, rel: Rel, names) -> Rel:
         """Looks up ids; other stores hold terms already."""
         return rel

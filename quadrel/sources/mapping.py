@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions.lanes import TERM_TYPE, Val, as_term, constant, lexical
+from quadrel.functions.lanes import TERM_TYPE, Val, as_term, constant
 from quadrel.functions.expressions import compare
 from quadrel.operators.relation import Rel, fresh, union
 from quadrel.plans.algebra import RDF, Term, Var
 from quadrel.runtime import table
-from quadrel.sources.base import Active, Source, names_of, weight
+from quadrel.sources.base import Active, Source, names_of, scanned_bytes
 
 NAMESPACE = "http://tables.example/"
 TYPE = RDF + "type"
@@ -26,7 +26,7 @@ TYPE = RDF + "type"
 
 @dataclass(frozen=True)
 class Mapped:
-    """key: the unique column, None if rows have none (each row is then a blank node)."""
+    """key: the unique column, None if rows have none (each row is then a blank node, named by its place in the files)."""
 
     name: str
     key: str | None
@@ -81,7 +81,9 @@ class MappedStore(Source):
 
     def _subject(self, t: Mapped) -> Val:
         if t.key is None:
-            return Val("bnode", F.hex(F.xxhash64(*[F.col(c) for c in self._names(t.name)])))
+            # the place of a row is unique and costs no column; equal rows stay apart
+            place = F.concat_ws("r", F.md5(F.col("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+            return Val("bnode", F.concat(F.lit("b"), place))
         return Val("iri", F.col(t.key), prefix=t.prefix)
 
     def _object(self, t: Mapped, column: str) -> Val:
@@ -95,17 +97,23 @@ class MappedStore(Source):
             return [t for t in self.tables if NAMESPACE + "graph/" + t == active.graph.value]
         return list(self.tables)
 
-    def pieces(self, triples: tuple, active: Active) -> list[tuple[set[str], float, Rel]]:
+    def pieces(self, triples: tuple, active: Active) -> list[tuple[set[str], tuple, Rel]]:
+        """Stars and single patterns: first those with a constant subject, then those with fixed values, each by the bytes that they scan."""
         stars: dict[object, list[tuple]] = defaultdict(list)
         out = []
         for t in triples:
             if isinstance(t[1], Term) and not (t[1].value == TYPE and isinstance(t[2], Var)):
                 stars[t[0]].append(t)
             else:
-                out.append((names_of(t), 20 + weight(t), self.scan(*t, active)))
-        for group in stars.values():
-            out.append((set().union(*map(names_of, group)), sum(map(weight, group)) / len(group) ** 2, self._star(group, active)))
-        return out
+                out.append([t])
+        out += stars.values()
+        pieces = []
+        for group in out:
+            rel = self._star(group, active) if group[0][0] in stars and group is stars[group[0][0]] else self.scan(*group[0], active)
+            fixed = sum(isinstance(o, Term) for _, p, o in group if not (isinstance(p, Term) and p.value == TYPE))
+            size = scanned_bytes(rel) if len(out) > 1 else 0.0
+            pieces.append((set().union(*map(names_of, group)), (not isinstance(group[0][0], Term), -min(fixed, 1), size), rel))
+        return pieces
 
     def _star(self, group: list[tuple], active: Active) -> Rel:
         """All patterns of one subject as one scan; several tables may have the columns asked for."""
@@ -156,12 +164,26 @@ class MappedStore(Source):
             bind(active.graph, Val("iri", F.lit(f"{NAMESPACE}graph/{t.name}")))
         return Rel(df, vals, frozenset(vals)).select(list(vals))
 
-    def scan(self, s, p, o, active: Active) -> Rel:
+    def every_triple(self, s: str, p: str, o: str, near: Val | None = None) -> Rel:
+        """The default graph is the merge of all tables' graphs, so one scan of each has everything; of one table, if
+        the subjects that are wanted are its rows."""
+        only = None if near is None or near.kind != "iri" or near.prefix is None else [t.name for t in self.tables.values() if t.key and t.prefix == near.prefix]
+        return self.scan(Var(s), Var(p), Var(o), Active(), only).select([s, p, o])
+
+    def constant_node(self, name: str, t: Term) -> Rel | None:
+        for m in self.tables.values():
+            rest = t.value[len(m.prefix) :]
+            if m.key and t.kind == "iri" and t.value.startswith(m.prefix) and rest.lstrip("-").isdigit():
+                column = fresh(name.strip("."))
+                return Rel(self.spark.range(1).select(F.lit(int(rest)).cast("long").alias(column)), {name: Val("iri", F.col(column), prefix=m.prefix)}, frozenset([name]))
+        return None
+
+    def scan(self, s, p, o, active: Active, only: list[str] | None = None) -> Rel:
         if isinstance(p, Term):
             return self._star([(s, p, o)], active)
         # the slow path: only the columns that may match become rows of triples
         out = None
-        for name in self._graph_tables(active):
+        for name in self._graph_tables(active) if only is None else only:
             t = self.tables[name]
             if isinstance(s, Term) and not (t.key and s.value.startswith(t.prefix)):
                 continue
@@ -172,9 +194,10 @@ class MappedStore(Source):
                 df = df.where(_equals(self._subject(t), s))
             cells = [F.struct(F.lit(TYPE).alias("p"), as_term(Val("iri", F.lit(NAMESPACE + name))).alias("o"))]
             cells += [F.struct(F.lit(NAMESPACE + c).alias("p"), as_term(self._object(t, c)).alias("o")) for c in self._names(name)]
-            rows = df.select(lexical(self._subject(t)).alias("s"), F.inline(F.array(*cells))).where(F.col("o").isNotNull())
-            kind = "iri" if t.key else "bnode"
-            parts = [(s, Val(kind, F.col("s"))), (p, Val("iri", F.col("p"))), (o, Val("term", F.col("o")))]
+            subject = self._subject(t)
+            key = subject.col.cast("long") if t.key and dict(df.dtypes)[t.key] in ("int", "smallint") else subject.col
+            rows = df.select(key.alias("s"), F.inline(F.array(*cells))).where(F.col("o").isNotNull())
+            parts = [(s, subject.at(F.col("s"))), (p, Val("iri", F.col("p"))), (o, Val("term", F.col("o")))]
             if isinstance(active.graph, Var):
                 parts.append((active.graph, Val("iri", F.lit(f"{NAMESPACE}graph/{name}"))))
             vals: dict[str, Val] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,19 +12,19 @@ from quadrel.functions.lanes import BNODE, INTEGER, IRI, LANG, LITERAL, STRING,
 from quadrel.operators.orphans import INLINE_BASE
 from quadrel.operators.relation import Rel, fresh
 from quadrel.plans.algebra import RDF, XSD, Term, Var
-from quadrel.runtime import small
+from quadrel.runtime import Scratch, small
 from quadrel.sources.base import Active, Source
 
-#: Constants of a query that stand for up to this many ids become an IN list, others a semi join.
-IN_LIST = 1000
-
-
 def term_frame(spark: SparkSession, quads) -> DataFrame:
     """(s, p, o, g) of term structs from Python tuples of Terms; g may be None."""
     rows = [tuple(None if t is None else ({"bnode": BNODE, "iri": IRI}.get(t.kind, LITERAL), t.value, t.datatype, t.language) for t in q) for q in quads]
     return spark.createDataFrame(rows, ", ".join(f"{c} {TERM_TYPE}" for c in "spog"))
 
 
+#: A constant with more copies in the dictionary is matched by a join, not by a list of its ids.
+LISTED = 1000
+
+
 class TermStore(Source):
     """Quads of term structs (s, p, o, g), as the readers of RDF files give them.
 
@@ -134,42 +136,72 @@ def _is_term(c: Column, t: Term) -> Column:
 class DictionaryStore(Source):
     """Integer quads over a term dictionary: joins run on ids, terms are looked up only where a value is needed.
 
-    quads: subject, predicate, object, graph; terms: id, type, value, datatype, language. Two ids are two terms for
-    joins; constants of a query match every id that holds the term. A null object is no statement.
+    quads: subject, predicate, object, graph; terms: id, type, value, datatype, language. A null object is no
+    statement. Constants of a query match every id that holds the very term: kind, text, datatype and language. Two
+    ids of one term are two terms for joins, as the stored ids say; merged() gives a store in which they are one.
+
+    stored_set: the quads are known to hold each statement once per graph, as stored layouts do. predicates: rows of
+    each predicate's id, if they are stored; the join order reads them.
     """
 
-    def __init__(self, quads: DataFrame, terms: DataFrame, default_graphs: list[str] | None = None):
+    def __init__(self, quads: DataFrame, terms: DataFrame, default_graphs: list[str] | None = None, stored_set: bool = False, predicates: dict[int, int] | None = None, sets: DataFrame | None = None):
         self.spark = quads.sparkSession
         self.raw = quads
         self.quads = quads.select("subject", "predicate", "object", "graph").where("subject is not null and predicate is not null and object is not null")
         self.terms = terms.where("id is not null")
-        self._default = default_graphs
+        self._default, self.stored_set, self.predicates, self._sets = default_graphs, stored_set, predicates, sets
+
+    def merged(self) -> DictionaryStore:
+        """The store with every term under one id, the smallest: statements about copies of a term meet.
+
+        Only quads that hold a copy are changed; the table of copies is joined once for each position.
+        """
+        t = self.term_table()
+        first = t.groupBy("t").agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        copies = Scratch(self.spark).stage(t.join(first, "t").where("id <> kept").select(F.col("id").alias("copy"), "kept"))
+        quads = self.raw
+        for c in ("subject", "predicate", "object", "graph"):
+            one = copies.select(F.col("copy").alias(f"_{c}"), F.col("kept").alias(f"_k{c}"))
+            quads = quads.join(one, F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_k{c}", c)).drop(f"_{c}", f"_k{c}")
+        terms = self.terms.join(copies.select(F.col("copy").alias("id")), "id", "left_anti")
+        return DictionaryStore(quads, terms, self._default)
 
     def _rows_of(self, t: Term) -> DataFrame:
-        """The dictionary's rows that hold a constant."""
-        rows = self.terms.where(F.col("value") == t.value)
+        """The dictionary's rows that hold a constant: (id, t)."""
+        rows = self.term_table(self.terms.where(F.col("value") == t.value))
         if t.kind != "literal":
-            return rows.where(F.col("type") == (2 if t.kind == "iri" else 1))
-        rows = rows.where(F.col("type").isin(16, 17, 22))
-        return rows.where(F.lower("language") == t.language) if t.language else rows
+            return rows.where(F.col("t.k") == (IRI if t.kind == "iri" else BNODE))
+        same = (F.col("t.k") == LITERAL) & (F.col("t.dt") == t.datatype)
+        return rows.where(same & (F.col("t.lang") == t.language.lower() if t.language else F.col("t.lang").isNull()))
 
     def ids(self, t: Term) -> list[int]:
-        """The ids of a constant, for use inside expressions; an error if it has more than IN_LIST copies."""
-        if t.kind == "literal" and t.datatype == INTEGER and t.value.isdigit():
-            return [INLINE_BASE + int(t.value)]
-        ids = [r["id"] for r in self._rows_of(t).select("id").limit(IN_LIST + 1).collect()]
-        if len(ids) > IN_LIST:
-            raise ValueError(f"{t.value!r} has more than {IN_LIST} ids in the dictionary; deduplicate it first")
-        return ids
+        """The ids of a constant: one, or as many as the dictionary has copies of the term."""
+        if t not in self._ids:
+            inlined = [INLINE_BASE + int(t.value)] if t.kind == "literal" and t.datatype == INTEGER and t.value.isdigit() and str(int(t.value)) == t.value else []
+            self._ids[t] = inlined + [r["id"] for r in self._rows_of(t).select("id").toLocalIterator()]
+        return self._ids[t]
+
+    @cached_property
+    def _ids(self) -> dict[Term, list[int]]:
+        return {}
 
     def _match(self, df: DataFrame, column: str, t: Term) -> DataFrame:
-        """Rows whose id is one of a constant's: an IN list that reaches the scan, or a semi join for many copies."""
-        try:
-            ids = self.ids(t)
-        except ValueError:
+        """Rows whose id is one of a constant's: as a list that reaches the scan, or by a join if the copies are many."""
+        ids = self.ids(t)
+        if len(ids) > LISTED:
             return df.join(self._rows_of(t).select(F.col("id").alias(column)), column, "left_semi")
         return df.where(F.col(column).isin(*ids) if ids else F.lit(False))
 
+    def matches(self, triple: tuple) -> float | None:
+        """Stored rows of the predicate; a fixed subject or object leaves the rows of one term on average."""
+        if self.predicates is None:
+            return None
+        s, p, o = triple
+        every = sum(self.predicates.values())
+        n = sum(self.predicates.get(i, 0) for i in self.ids(p)) if isinstance(p, Term) else every
+        fixed = isinstance(s, Term) + isinstance(o, Term)
+        return n / max(1, every) ** (fixed / 2)
+
     def scan(self, s, p, o, active: Active) -> Rel:
         df = self.quads
         parts = [("subject", s), ("predicate", p), ("object", o)]
@@ -187,8 +219,11 @@ class DictionaryStore(Source):
                 df = df.where(F.col(column) == F.col(names[x.name]))
             else:
                 names[x.name] = column
-        # a store is a set, and the default graph a merge of graphs; constants need not be compared again
-        df = df.select(*[c for c, x in parts if isinstance(x, Var)] or ["predicate"]).distinct()
+        # a store is a set, and the default graph a merge of graphs; constants need not be compared again. A stored set
+        # that is read graph by graph needs no shuffle for that
+        df = df.select(*[c for c, x in parts if isinstance(x, Var)] or ["predicate"])
+        if not (self.stored_set and isinstance(active.graph, Var) and _one_each(parts, self)):
+            df = df.distinct()
         vals, cols = {}, []
         for n, column in names.items():
             c = fresh(n.strip("."))
@@ -211,7 +246,11 @@ class DictionaryStore(Source):
         return out.agg(F.max("version").alias("version"))
 
     def characteristic_sets(self) -> DataFrame:
-        """(predicates, subjects): how many subjects have exactly these predicates; counts of stars come from it."""
+        """(predicates, subjects): how many subjects have exactly these predicates; counts of stars come from it.
+
+        A stored layout keeps them; else they are counted from the quads."""
+        if self._sets is not None:
+            return self._sets
         pairs = self.quads.select("subject", "predicate").distinct()
         sets = pairs.groupBy("subject").agg(F.array_sort(F.collect_list("predicate")).alias("predicates"))
         return sets.groupBy("predicates").agg(F.count(F.lit(1)).alias("subjects"))
@@ -232,16 +271,22 @@ class DictionaryStore(Source):
         kept = best_language(shaped, accept, site)
         return kept.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o.object").alias("object"), F.col("g").alias("graph"))
 
-    def term_table(self) -> DataFrame:
-        """(id, t): every dictionary row as a term struct."""
-        used = self.terms.where("datatype is not null").select(F.col("datatype").alias("used")).distinct()
-        named = self.terms.join(small(used), F.col("id") == F.col("used")).select(F.col("used").alias("dt_id"), _expanded(F.col("value")).alias("dt"))
+    def term_table(self, some: DataFrame | None = None) -> DataFrame:
+        """(id, t): every dictionary row, or some, as a term struct."""
+        named = self._datatypes
         k = F.when(F.col("type") == 1, BNODE).when(F.col("type") == 2, IRI).otherwise(LITERAL)
-        rows = self.terms.join(small(named), F.col("datatype") == F.col("dt_id"), "left")
+        rows = (self.terms if some is None else some).join(named, F.col("datatype") == F.col("dt_id"), "left")
         dt = F.when(k == LITERAL, F.when(F.col("type") == 16, F.lit(LANG)).otherwise(F.coalesce("dt", F.lit(STRING))))
-        lang = F.when(F.col("type") == 16, F.lower(F.trim(F.col("language"))))
+        lang = F.when(F.col("type") == 16, F.translate(F.lower(F.trim(F.col("language"))), "_", "-"))
         return rows.select("id", F.struct(k.cast("int").alias("k"), F.col("value").alias("lex"), dt.alias("dt"), lang.alias("lang")).alias("t"))
 
+    @cached_property
+    def _datatypes(self) -> DataFrame:
+        """(dt_id, dt): the IRIs of the datatypes that are used, a few, found once for the store."""
+        used = self.terms.where("datatype is not null").select(F.col("datatype").alias("used")).distinct()
+        named = self.terms.join(small(used), F.col("id") == F.col("used")).select(F.col("used").alias("dt_id"), _expanded(F.col("value")).alias("dt"))
+        return small(Scratch(self.spark).stage(named))
+
     def materialise(self, rel: Rel, names) -> Rel:
         for n in names:
             v = rel.vals.get(n)
@@ -262,6 +307,11 @@ class DictionaryStore(Source):
         return ids.join(self.terms, "id").select(F.col("value").alias("g"))
 
 
+def _one_each(parts, store: DictionaryStore) -> bool:
+    """Whether dropping the constant columns of a stored set can't make two rows equal: each constant is one id."""
+    return all(not isinstance(x, Term) or len(store.ids(x)) < 2 for _, x in parts)
+
+
 def _expanded(c: Column) -> Column:
     text = F.regexp_replace(F.lower(F.trim(c)), "^<(.*)>$", "$1")
     cased = F.element_at(F.create_map(*[x for n in ("string", "integer", "decimal", "double", "float", "boolean", "date", "dateTime") for x in (F.lit("xsd:" + n.lower()), F.lit(XSD + n))]), text)

@@ -1,3 +1,4 @@
+import io
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -8,7 +9,7 @@ from quadrel import __main__ as cli
 from quadrel.operators.graph import GraphView
 from quadrel.plans.algebra import RDF, XSD, Term, iri, literal
 from quadrel.plans.compiler import Engine
-from quadrel.sources import results
+from quadrel.sources import layout, results
 from quadrel.sources.mapping import MappedStore
 from quadrel.sources.service import Client, EndpointStore, FragmentStore
 from quadrel.sources.store import DictionaryStore, TermStore, best_language, term_frame
@@ -115,7 +116,7 @@ def test_services(spark, endpoint):
     assert sorted(r[0] for r in pages.query("SELECT ?o { <http://a> <http://p> ?o }").collect()) == ["1", "2"]
 
 
-def test_cli(spark, tmp_path, capsys):
+def test_cli(spark, tmp_path, capsys, monkeypatch):
     ttl = tmp_path / "d.ttl"
     ttl.write_text("<http://a> <http://p> 1, 2 .")
     call = lambda *a: (cli.run(cli.arguments().parse_args(list(a))), capsys.readouterr().out)[1]
@@ -133,6 +134,22 @@ def test_cli(spark, tmp_path, capsys):
     stored = str(tmp_path / "store")
     call(*base, "load", stored)
     assert call("--store", stored, "dump").count("\n") == 2
+    more = tmp_path / "more.ttl"
+    more.write_text('<http://a> <http://p> 2, "x"@en, _:b ; <http://q> 3.5 .')
+    call("-d", str(more), "-g", "http://g", "load", stored)
+    assert call("--store", stored, "dump").count("\n") == 5  # one statement was there already
+    assert call("--store", stored, "query", "SELECT ?o { ?s <http://p> ?o FILTER(isNumeric(?o)) } ORDER BY ?o") == "?o\n1\n2\n"
+    assert call("--store", stored, "query", 'ASK { ?s <http://p> "x"@en ; <http://q> 3.5 }', "-f", "application/json") == '{"boolean":true,"head":{}}'
+    held = layout.open_store(spark, stored)
+    assert sorted(held.predicates.values()) == [1, 4] and held.star_count([iri("http://p"), iri("http://q")]).first()["n"] == 1
+    ids = sorted(r["id"] for r in held.terms.collect())
+    assert ids == list(range(1, len(ids) + 1))
+    call("create", str(tmp_path / "empty"))
+    assert call("--store", str(tmp_path / "empty"), "query", "SELECT * { ?s ?p ?o }").count("\n") == 1
+    call(*base, "-v", "query", "SELECT ?s (COUNT(*) AS ?n) { ?s ?p ?o } GROUP BY ?s")
+    monkeypatch.setattr("sys.stdin", io.StringIO("ASK { ?s ?p 1 }\nnonsense\nSELECT ?o { ?s ?p ?o } ORDER BY ?o\nquit\n"))
+    told = call(*base, "repl")
+    assert '"boolean":true' in told and "error:" in told and told.endswith("?o\n1\n2\n")
     with pytest.raises(SystemExit):
         call("query", "ASK {}")
 
