@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,10 +194,6 @@ def _quotient(x: Column, y: Column) -> Column:
 
 def _resolved(text: Column, base: str) -> Column:
     """References resolved against a base; absolute ones, nearly all, are left as they are."""
-    from urllib.parse import urljoin
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def join(refs: pd.Series) -> pd.Series:
         known = {r: None if r is None else urljoin(base, r) for r in refs.unique()}

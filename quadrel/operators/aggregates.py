@@ -21,8 +21,11 @@ def distinct_value(v: Val) -> Column:
     return as_term(v) if v.kind in ("lang", "term") else v.col
 
 
-def aggregate(name: str, distinct: bool, separator: str, v: Val | None, row: list[Column], over: Over = plain) -> Val:
-    """An aggregate of v, or of whole rows for COUNT(*). Errors are NULL and don't count."""
+def aggregate(name: str, distinct: bool, separator: str, v: Val | None, row: list[Column], over: Over = plain, place: Column | None = None) -> Val:
+    """An aggregate of v, or of whole rows for COUNT(*). Errors are NULL and don't count.
+
+    place: each row's place in an ordered input, which GROUP_CONCAT keeps; without one its values are in their own order.
+    """
     if name == "COUNT":
         if v is None:
             return Val("int", F.count_distinct(F.struct(*row)) if distinct and row else over(F.count(F.lit(1))))
@@ -45,7 +48,11 @@ def aggregate(name: str, distinct: bool, separator: str, v: Val | None, row: lis
         if distinct:
             pair = F.when(text.isNotNull(), F.struct(order_key(v).alias("k"), text.alias("x")))
             return Val("str", F.array_join(F.transform(F.array_sort(F.collect_set(pair)), lambda p: p["x"]), separator))
-        return Val("str", F.array_join(over(F.collect_list(text)), separator))
+        if over is not plain:  # a window has its order
+            return Val("str", F.array_join(over(F.collect_list(text)), separator))
+        at = place if place is not None else order_key(v)
+        pairs = F.collect_list(F.when(text.isNotNull(), F.struct(at.alias("k"), text.alias("x"))))
+        return Val("str", F.array_join(F.transform(F.array_sort(pairs), lambda p: p["x"]), separator))
     raise ValueError(f"unknown aggregate {name}")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quadrel.functions.expressions import Evaluator
-from quadrel.functions.lanes import Val, order_key
+from quadrel.functions.lanes import RANKS, Val, lexical, order_key
 from quadrel.operators.aggregates import aggregate, distinct_value
 from quadrel.operators.relation import Rel, fresh
 from quadrel.plans.algebra import Expr
@@ -23,7 +23,7 @@ def sort_keys(keys: tuple[tuple[Expr, bool], ...], ev: Evaluator) -> list[Column
 
 def window(rel: Rel, name: str, e: Expr, ev: Evaluator) -> Rel:
     """rel with one more variable. Without ORDER BY all rows of a partition are peers."""
-    function, _, separator, partition, keys, frame = e.extra
+    function, distinct, separator, partition, keys, frame = e.extra
     w = Window.partitionBy(*[distinct_value(ev.value(p)) for p in partition])
     order = sort_keys(keys, ev)
     ordered = w.orderBy(*order) if order else w.orderBy(F.lit(0))
@@ -39,9 +39,27 @@ def window(rel: Rel, name: str, e: Expr, ev: Evaluator) -> Rel:
         w = ordered.rowsBetween(low, high)
     elif order:
         w = ordered
+    if distinct and function in ("COUNT", "SUM", "AVG", "GROUP_CONCAT"):
+        return rel.with_val(name, _distinct(function, separator, v, w), function == "COUNT")
     return rel.with_val(name, aggregate(function, False, separator, v, [], lambda c: c.over(w)), function == "COUNT")
 
 
+def _distinct(function: str, separator: str, v: Val, w) -> Val:
+    """Aggregates over a frame's different values; numbers of one native type, or texts."""
+    values = F.collect_set(distinct_value(v)).over(w)
+    if function == "COUNT":
+        return Val("int", F.size(values).cast("long"))
+    if function == "GROUP_CONCAT":
+        pairs = F.collect_set(F.when(lexical(v).isNotNull(), F.struct(order_key(v).alias("k"), lexical(v).alias("x")))).over(w)
+        return Val("str", F.array_join(F.transform(F.array_sort(pairs), lambda p: p["x"]), separator))
+    if v.kind not in RANKS:
+        raise NotImplementedError(f"{function}(DISTINCT ...) over a window of mixed terms")
+    total = F.aggregate(values, F.lit(0).cast("double"), lambda a, x: a + x.cast("double"))
+    if function == "AVG":
+        return Val("dbl", F.coalesce(F.try_divide(total, F.size(values).cast("double")), F.lit(0.0)))
+    return Val("int" if v.kind == "int" else "dbl", total.try_cast("long") if v.kind == "int" else total)
+
+
 def _ntile(rel: Rel, name: str, n: int, w, ordered) -> Rel:
     """n tiles over the peer groups: the first (groups mod n) tiles hold one group more."""
     at, groups = fresh("peer"), fresh("peers")

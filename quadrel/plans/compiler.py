@@ -293,6 +293,11 @@ class Compiler:
 
     def aggregate(self, plan: Aggregate, active: Active) -> Rel:
         rel = self.compile(plan.child, active)
+        place = None
+        if any(e.extra[0] == "GROUP_CONCAT" and not e.extra[1] for _, e in plan.aggregates) and _ordered(plan.child):
+            # ids grow along a sorted frame
+            place = fresh("place")
+            rel = Rel(rel.df.withColumn(place, F.monotonically_increasing_id()), rel.vals, rel.bound)
         for e, _ in plan.groups:
             if e.op != "var":
                 rel = self.ready(rel, e)
@@ -314,7 +319,7 @@ class Compiler:
         cols = []
         for name, e in plan.aggregates:
             function, distinct, separator = e.extra
-            v = aggregate(function, distinct, separator, ev.value(e.args[0]) if e.args else None, row)
+            v = aggregate(function, distinct, separator, ev.value(e.args[0]) if e.args else None, row, place=None if place is None else F.col(place))
             c = fresh(name.strip("."))
             cols.append(v.col.alias(c))
             vals[name] = Val(v.kind, F.col(c), prefix=v.prefix)
@@ -519,6 +524,13 @@ def _is(source: Source, v: Val, t: Term):
     return F.lit(False) if got is None else F.coalesce(got[0] == got[1], F.lit(False))
 
 
+def _ordered(plan: Plan) -> bool:
+    """Whether a plan's rows come in the order of an ORDER BY."""
+    while isinstance(plan, (Project, Extend, Slice)):
+        plan = plan.child
+    return isinstance(plan, Order)
+
+
 def _labels(e) -> bool:
     """Whether an expression makes blank nodes from labels."""
     return isinstance(e, Expr) and (e.op == "BNODE" and bool(e.args) or any(_labels(a) for a in e.args))

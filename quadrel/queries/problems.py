@@ -58,8 +58,25 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide_table(table(spark, d, "quads"), table(spark, d, "attributes"), table(spark, d, "terms"))
 
 
+def p6_wide_text(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with arrays joined, decimals, dates and instants as text: the form that its SQL can give."""
+    wide = p6_wide(spark, d)
+    shown = []
+    for f in wide.schema:
+        c = F.col(f"`{f.name}`")
+        match f.dataType.typeName():
+            case "array":
+                c = F.array_join(c, "|")
+            case "timestamp":
+                c = F.unix_micros(c).cast("string")
+            case "decimal" | "date" | "boolean":
+                c = c.cast("string")
+        shown.append(c.alias(f.name))
+    return wide.select(*shown)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p2_found, p2_graph_description, p3_found, p3_paths, p3_descendants, p5_found, p5_report, p6_found, p6_wide, p6_wide_text)}
 
 
 _REACH = f"""WITH RECURSIVE l AS (SELECT child, min(parent) AS parent FROM (
@@ -109,6 +126,27 @@ cells AS (SELECT subject, column_name, bool_or(val IS NULL) AS bad, NOT bool_or(
 """
 
 
+#: The attributes' columns and how their text is typed in SQL (fixed rows of the table attributes).
+_WIDE = {
+    "label": None, "name": "VARCHAR", "amount": "VARCHAR", "title": "VARCHAR", "lat": "DOUBLE", "lon": "DOUBLE", "population": "BIGINT", "born": "VARCHAR", "modified": "VARCHAR", "active": "VARCHAR",
+    "homepage": "VARCHAR", "knows": None, "keyword": None, "height": "VARCHAR", "ranking": "BIGINT", "owner_iri": "VARCHAR", "address": "VARCHAR",
+}
+
+
+def _wide_sql() -> str:
+    cols = []
+    for name, kind in _WIDE.items():
+        here = f"column_name = '{name}'"
+        if kind is None:
+            cols.append(f"string_agg(DISTINCT val, '|' ORDER BY val) FILTER (WHERE {here}) AS {name}")
+            continue
+        one = f"CASE WHEN count(DISTINCT val) FILTER (WHERE {here}) = 1 THEN min(val) FILTER (WHERE {here}) END"
+        if name == "active":
+            one = f"CASE {one} WHEN 't' THEN 'true' WHEN 'f' THEN 'false' END"
+        cols.append(f"TRY_CAST({one} AS {kind}) AS {name}")
+    return _CELLS + f", p AS (SELECT subject, {', '.join(cols)} FROM typed GROUP BY subject) SELECT s.subject, {', '.join(_WIDE)} FROM (SELECT DISTINCT subject FROM v WHERE subject IS NOT NULL) s LEFT JOIN p ON p.subject = s.subject"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": """SELECT 'predicate' AS field, predicate AS term_id FROM quads WHERE predicate IS NOT NULL GROUP BY predicate HAVING count(*) >= 0.05 * (SELECT count(*) FROM quads)
@@ -127,5 +165,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_descendants": _PAIRS + "SELECT anc AS ancestor, node, distance FROM r WHERE anc <> node",
         "p5_found": _REFS + "SELECT quad_id, position FROM lost",
         "p5_report": _REFS + "SELECT 'quads' AS table_name, position, strftime(loaded_at, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT k) AS keys FROM lost GROUP BY ALL",
+        "p6_wide_text": _wide_sql(),
         "p6_found": _CELLS + "SELECT subject, column_name, 'untyped' AS fault FROM cells WHERE bad UNION ALL SELECT subject, column_name, 'conflict' FROM cells WHERE clash",
     }

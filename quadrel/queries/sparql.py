@@ -86,7 +86,7 @@ MAPPED: dict[str, tuple[str, str]] = {
         "SELECT 'http://tables.example/events/' || event_id AS e, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, (epoch_us(ts) % 60000000) / 1000000.0::DOUBLE AS s, '' AS z, CAST(14 AS BIGINT) AS lh, '-05:00' AS lz FROM events",
     ),
     "hashes": ("SELECT ?n (MD5(?n) AS ?a) (SHA1(?n) AS ?b) (SHA256(?n) AS ?c) { ?x t:c_name ?n }", "SELECT c_name AS n, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c FROM customer"),
-    "hashes_long": ("SELECT ?n (SHA384(?n) AS ?a) (SHA512(?n) AS ?b) { ?x t:r_name ?n }", ""),
+    "hashes_long": ("SELECT ?n (SHA384(?n) AS ?a) (SHA512(?n) AS ?b) { ?x t:c_name ?n }", ""),
     "if_coalesce_bound": (
         "SELECT ?c (IF(BOUND(?p), 'big', 'small') AS ?k) (COALESCE(?p, -1.0e0) AS ?v) (IF(1/0, 1, 2) AS ?e) { ?c t:c_name ?n OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 490000) } }",
         f"SELECT {CUST} AS c, CASE WHEN o_orderkey IS NULL THEN 'small' ELSE 'big' END AS k, coalesce(o_totalprice, -1.0) AS v, CAST(NULL AS BIGINT) AS e FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 490000",
@@ -148,8 +148,49 @@ MAPPED: dict[str, tuple[str, str]] = {
         "SELECT ?s ?o { GRAPH g:region { ?s !(t:r_regionkey|a) ?o } }",
         "SELECT 'http://tables.example/region/' || r_regionkey AS s, r_name AS o FROM region",
     ),
+    "path_neg_customer": ("SELECT ?s (COUNT(?o) AS ?n) { GRAPH g:customer { ?s !(t:c_custkey|a|t:c_name) ?o } } GROUP BY ?s", f"SELECT {CUST} AS s, CAST(3 AS BIGINT) AS n FROM customer"),
     "path_opt": ("SELECT ?x { <http://tables.example/nation/3> t:n_regionkey? ?x }", "SELECT 'http://tables.example/nation/3' AS x UNION SELECT 'http://tables.example/region/' || n_regionkey FROM nation WHERE n_nationkey = 3"),
     "path_plus_fk": ("SELECT ?x { <http://tables.example/customer/7> (t:c_nationkey|t:n_regionkey)+ ?x }", "SELECT 'http://tables.example/nation/' || c_nationkey AS x FROM customer WHERE c_custkey = 7 UNION SELECT 'http://tables.example/region/' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7"),
+    "path_bound_both": ("ASK { <http://tables.example/customer/7> (t:c_nationkey|t:n_regionkey)+ <http://tables.example/region/2> }", "SELECT count(*) > 0 AS result FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7 AND n_regionkey = 2"),
+    "path_star_graph": ("SELECT (COUNT(*) AS ?n) { GRAPH g:nation { ?x t:n_regionkey* ?y } }", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM (SELECT 's' || n_nationkey FROM nation UNION SELECT 'r' || n_regionkey FROM nation UNION SELECT 'n' || n_name FROM nation UNION SELECT 'i' || n_nationkey FROM nation UNION SELECT 'type') x) AS n"),
+    "union_identity": ("SELECT ?n { { ?r t:r_name ?n } UNION { ?x t:n_name ?n FILTER(false) } }", "SELECT r_name AS n FROM region"),
+    "join_identity": ("SELECT ?n { {} { ?r t:r_name ?n } {} }", "SELECT r_name AS n FROM region"),
+    "group_concat": (
+        "SELECT ?c (GROUP_CONCAT(?k; SEPARATOR=',') AS ?all) { SELECT ?c ?k { ?o t:o_custkey ?c ; t:o_orderkey ?k ; t:o_totalprice ?p } ORDER BY DESC(?p) ?k } GROUP BY ?c",
+        "SELECT 'http://tables.example/customer/' || o_custkey AS c, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS \"all\" FROM orders GROUP BY 1",
+    ),
+    "sample_in_range": ("SELECT ?b (SAMPLE(?k) >= MIN(?k) && SAMPLE(?k) <= MAX(?k) AS ?ok) { ?p t:p_brand ?b ; t:p_partkey ?k } GROUP BY ?b", "SELECT DISTINCT p_brand AS b, true AS ok FROM part"),
+    "iri_relative": (
+        "BASE <http://a/b/c?d> SELECT ?n (IRI(CONCAT('../', ?n)) AS ?up) (IRI(CONCAT('#', ?n)) AS ?part) (IRI(CONCAT('/', ?n)) AS ?root) (IRI(?n) AS ?here) (IRI(CONCAT('http://z/', ?n)) AS ?abs) { ?p t:p_name ?n }",
+        "SELECT p_name AS n, 'http://a/' || p_name AS up, 'http://a/b/c?d#' || p_name AS part, 'http://a/' || p_name AS root, 'http://a/b/' || p_name AS here, 'http://z/' || p_name AS abs FROM part",
+    ),
+    "decimal_exact": (
+        "SELECT ?k (STR(0.1 * ?k) AS ?a) (STR(?k / 8) AS ?b) (STR(1.25 * 0.3 + ?k) AS ?c) (STR(1.0 / 3 - 0.000000000000000001) AS ?d) { ?p t:p_partkey ?k }",
+        "SELECT p_partkey AS k, p_partkey // 10 || '.' || p_partkey % 10 AS a, p_partkey // 8 || CASE p_partkey % 8 WHEN 0 THEN '.0' WHEN 1 THEN '.125' WHEN 2 THEN '.25' WHEN 3 THEN '.375' WHEN 4 THEN '.5' WHEN 5 THEN '.625' WHEN 6 THEN '.75' ELSE '.875' END AS b, p_partkey || '.375' AS c, '0.333333333333333332' AS d FROM part",
+    ),
+    "sum_beyond_long": ("SELECT (STR(SUM(?k * 0 + 9223372036854775807)) AS ?s) { ?p t:p_partkey ?k }", "SELECT CAST(CAST(count(*) AS HUGEINT) * 9223372036854775807 AS VARCHAR) AS s FROM part"),
+    "regex_q": (
+        "SELECT ?n (REGEX(?n, '#0.', 'q') AS ?a) (REGEX(?n, '#0.') AS ?b) (REGEX(?n, 'CUSTOMER#', 'iq') AS ?c) (REPLACE(?n, '#', '$1.', 'q') AS ?d) { ?x t:c_name ?n }",
+        "SELECT c_name AS n, contains(c_name, '#0.') AS a, regexp_matches(c_name, '#0.') AS b, contains(lower(c_name), 'customer#') AS c, replace(c_name, '#', '$1.') AS d FROM customer",
+    ),
+    "timezones": (
+        "SELECT ?k (STR(TIMEZONE(STRDT(CONCAT('2020-05-06T07:08:09-0', STR(?k), ':30'), xsd:dateTime))) AS ?z) (TZ(STRDT(CONCAT('2020-05-06T07:08:09+0', STR(?k), ':00'), xsd:dateTime)) AS ?t) { ?r t:r_regionkey ?k }",
+        "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE r_regionkey WHEN 0 THEN '-PT30M' ELSE '-PT' || r_regionkey || 'H30M' END AS z, '+0' || r_regionkey || ':00' AS t FROM region",
+    ),
+    "generated": (
+        "SELECT ?c (STRLEN(STRUUID()) AS ?a) (STRSTARTS(STR(UUID()), 'urn:uuid:') AS ?b) (RAND() >= 0 && RAND() < 1 AS ?d) (isLiteral(NOW()) AS ?e) (isBlank(BNODE()) AS ?f) { ?c t:c_name ?n }",
+        f"SELECT {CUST} AS c, CAST(36 AS BIGINT) AS a, true AS b, true AS d, true AS e, true AS f FROM customer",
+    ),
+    "bnode_labels": (
+        "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?x) AS ?k) (COUNT(DISTINCT ?z) AS ?j) { ?c t:c_mktsegment ?s BIND(BNODE(?s) AS ?x) BIND(BNODE(?s) AS ?y) BIND(BNODE('other') AS ?z) FILTER(?x = ?y && ?x != ?z) }",
+        "SELECT count(*) AS n, count(*) AS k, count(*) AS j FROM customer",
+    ),
+    "exists_uncorrelated": ("SELECT ?n { ?r t:r_name ?n FILTER EXISTS { ?o t:o_totalprice ?p } }", "SELECT r_name AS n FROM region"),
+    "optional_three": (
+        "SELECT ?n ?s ?c ?r (COUNT(*) AS ?k) { { SELECT ?n ?s ?c ?r { ?n t:n_name ?x OPTIONAL { ?s t:s_nationkey ?n ; t:s_acctbal ?b FILTER(?b > 9500) } OPTIONAL { ?c t:c_nationkey ?n ; t:c_acctbal ?d FILTER(?d > 9900) } OPTIONAL { ?n t:n_regionkey ?r . ?r t:r_name 'ASIA' } } } OPTIONAL { ?r t:r_regionkey ?rk } } GROUP BY ?n ?s ?c ?r",
+        """WITH b AS (SELECT n_nationkey, s_suppkey, c_custkey, CASE WHEN r_name = 'ASIA' THEN r_regionkey END AS r FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9500 LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 LEFT JOIN region ON r_regionkey = n_regionkey)
+        SELECT 'http://tables.example/nation/' || n_nationkey AS n, 'http://tables.example/supplier/' || s_suppkey AS s, 'http://tables.example/customer/' || c_custkey AS c, 'http://tables.example/region/' || r2.r_regionkey AS r, count(*) AS k FROM b LEFT JOIN region r2 ON b.r = r2.r_regionkey OR b.r IS NULL GROUP BY ALL""",
+    ),
 }
 
 _WINDOW = {
@@ -164,6 +205,9 @@ _WINDOW = {
     "win_unb_unb": ("MIN(?v)", "ORDER BY ?k ROWS BETWEEN UNBOUNDED AND UNBOUNDED", "min(value)", "ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"),
     "win_unb_cur": ("SUM(?v)", "ORDER BY ?k ROWS BETWEEN UNBOUNDED AND CURRENT ROW", "sum(value)", "ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"),
     "win_cur_unb": ("COUNT(*)", "ORDER BY ?k ROWS BETWEEN CURRENT ROW AND UNBOUNDED", "count(*)", "ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"),
+    "win_prec_unb": ("MIN(?v)", "ORDER BY ?k ROWS BETWEEN 2 PRECEDING AND UNBOUNDED", "min(value)", "ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND UNBOUNDED FOLLOWING"),
+    "win_sample": ("SAMPLE(?u)", "ORDER BY ?k", "min(user_id)", "ORDER BY event_id"),
+    "win_count_distinct": ("COUNT(DISTINCT ?et)", "ORDER BY ?k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW", "count(DISTINCT event_type)", "ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW"),
     "win_groupconcat": ("GROUP_CONCAT(?et)", "ORDER BY ?k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW", "string_agg(event_type, ' ')", "ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW"),
 }
 for _name, (_f, _over, _sql, _sql_over) in _WINDOW.items():
@@ -192,6 +236,7 @@ MAPPED["win_two"] = (
 TYPED = "PREFIX ex: <ex:> PREFIX foaf: <foaf:> PREFIX skos: <skos:> PREFIX rdf: <rdf:> PREFIX rdfs: <rdfs:>\n"
 _NODUP = "(SELECT DISTINCT subject, predicate, object FROM quads WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)"
 _P = "(SELECT id FROM terms WHERE value = '{}' AND type = 2)"
+_LINKS = "WITH RECURSIVE l AS (SELECT DISTINCT subject AS a, object AS b FROM quads WHERE object IS NOT NULL AND predicate IN " + _P.format("skos:broader") + " UNION SELECT object, subject FROM quads WHERE object IS NOT NULL AND predicate IN " + _P.format("skos:narrower") + ")"
 #: name -> (SPARQL over the quad store, SQL)
 STORED: dict[str, tuple[str, str]] = {
     "store_count": ("SELECT (COUNT(*) AS ?n) { ?s <foaf:knows> ?o }", f"SELECT count(*) AS n FROM {_NODUP} x WHERE predicate IN {_P.format('foaf:knows')}"),
@@ -200,6 +245,11 @@ STORED: dict[str, tuple[str, str]] = {
     "store_sum": ("SELECT ?g (COUNT(?v) AS ?n) { GRAPH ?g { ?s <ex:reading> ?v } } GROUP BY ?g", "SELECT t.value AS g, count(*) AS n FROM (SELECT DISTINCT subject, predicate, object, graph FROM quads WHERE subject IS NOT NULL AND object IS NOT NULL AND graph IS NOT NULL) q JOIN terms t ON t.id = graph WHERE predicate IN " + _P.format("ex:reading") + " GROUP BY graph, t.value"),
     "store_filter": ("SELECT ?s ?v { ?s <ex:reading> ?v FILTER(isNumeric(?v) && ?v > 900) }", f"SELECT coalesce(t.value, 'id' || subject) AS s, CAST(object - 1729382256910270464 AS VARCHAR) AS v FROM {_NODUP} q LEFT JOIN terms t ON t.id = subject WHERE predicate IN {_P.format('ex:reading')} AND object > 1729382256910271364"),
     "store_path_plus": ("SELECT (COUNT(*) AS ?n) { ?a (<skos:broader>|^<skos:narrower>)+ ?b }", "WITH RECURSIVE l AS (SELECT DISTINCT subject AS a, object AS b FROM quads WHERE object IS NOT NULL AND predicate IN " + _P.format("skos:broader") + " UNION SELECT object, subject FROM quads WHERE object IS NOT NULL AND predicate IN " + _P.format("skos:narrower") + "), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT count(*) AS n FROM r"),
+    "store_total": ("SELECT ?g (SUM(?v) AS ?n) { GRAPH ?g { ?s <ex:reading> ?v } } GROUP BY ?g", "SELECT t.value AS g, CASE WHEN bool_and(object >= 1729382256910270464) THEN CAST(sum(object - 1729382256910270464) AS VARCHAR) END AS n FROM (SELECT DISTINCT subject, predicate, object, graph FROM quads WHERE subject IS NOT NULL AND object IS NOT NULL AND graph IS NOT NULL) q JOIN terms t ON t.id = graph WHERE predicate IN " + _P.format("ex:reading") + " GROUP BY graph, t.value"),
+    "store_literal": ("SELECT ?s ?p { ?s ?p 'bridge bave' }", f"SELECT coalesce(a.value, 'id' || subject) AS s, b.value AS p FROM (SELECT DISTINCT subject, predicate FROM {_NODUP} x WHERE object IN (SELECT t.id FROM terms t LEFT JOIN terms d ON d.id = t.datatype WHERE t.value = 'bridge bave' AND t.type IN (17, 22) AND (d.value IS NULL OR lower(replace(replace(trim(d.value), '<', ''), '>', '')) = 'xsd:string'))) q LEFT JOIN terms a ON a.id = subject LEFT JOIN terms b ON b.id = predicate"),
+    "store_lang_literal": ("SELECT ?p (COUNT(*) AS ?n) { ?s ?p 'Rosemamati lamp'@en-gb } GROUP BY ?p", f"SELECT b.value AS p, count(*) AS n FROM (SELECT DISTINCT subject, predicate FROM {_NODUP} x WHERE object IN (SELECT id FROM terms WHERE value = 'Rosemamati lamp' AND type = 16 AND replace(lower(trim(language)), '_', '-') = 'en-gb')) q JOIN terms b ON b.id = predicate GROUP BY b.id, 1"),
+    "store_path_star": ("SELECT (COUNT(*) AS ?n) { ?a (<skos:broader>|^<skos:narrower>)* ?b }", _LINKS + f", r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT count(*) AS n FROM (SELECT a, b FROM r UNION SELECT subject, subject FROM {_NODUP} x UNION SELECT object, object FROM {_NODUP} y) z"),
+    "store_path_opt": ("SELECT (COUNT(*) AS ?n) { ?a (<skos:broader>|^<skos:narrower>)? ?b }", _LINKS + f" SELECT count(*) AS n FROM (SELECT a, b FROM l UNION SELECT subject, subject FROM {_NODUP} x UNION SELECT object, object FROM {_NODUP} y) z"),
 }
 
 

@@ -21,7 +21,7 @@ class Active:
 
 def scanned_bytes(rel: Rel) -> float:
     """What a scan reads, as Spark measures it from the files and the columns that are left."""
-    return float(rel.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return float(str(rel.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def names_of(triple: tuple) -> set[str]:

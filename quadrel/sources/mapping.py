@@ -212,6 +212,11 @@ class MappedStore(Source):
             out = rel if out is None else union(out, rel)
         return out if out is not None else self._star([(s, Term("iri", NAMESPACE + "none"), o)], active)
 
+    def term_quads(self, names: list[str]) -> DataFrame:
+        """(s, p, o, g) term structs of whole tables."""
+        rel = self.scan(Var(".s"), Var(".q"), Var(".o"), Active(Var(".g")), names)
+        return rel.df.select(*[as_term(rel.vals[n]).alias(c) for n, c in ((".s", "s"), (".q", "p"), (".o", "o"), (".g", "g"))])
+
     def graphs(self) -> DataFrame:
         return self.spark.createDataFrame([(f"{NAMESPACE}graph/{t}",) for t in self.tables], "g string")
 

@@ -155,6 +155,46 @@ def frame_tsv(terms: DataFrame) -> DataFrame:
     return terms.select(F.concat_ws("\t", *[cell(F.col(n)) for n in terms.columns]).alias("value"))
 
 
+def frame_json(terms: DataFrame) -> DataFrame:
+    """A result of any size as the bindings of results JSON, one a line: one column `value`."""
+    from pyspark.sql import functions as F
+
+    def cell(c):
+        tag = F.when(c["lang"].isNotNull(), F.concat(F.lit('"type":"literal","value":'), _quoted(c["lex"]), F.lit(',"xml:lang":'), _quoted(c["lang"])))
+        typed = F.concat(F.lit('"datatype":'), _quoted(c["dt"]), F.lit(',"type":"literal","value":'), _quoted(c["lex"]))
+        named = F.concat(F.when(c["k"] == 2, '"type":"uri","value":').otherwise('"type":"bnode","value":'), _quoted(c["lex"]))
+        return F.concat(F.lit("{"), F.when(c["k"] < 3, named).otherwise(F.coalesce(tag, typed)), F.lit("}"))
+
+    cells = [F.when(F.col(n).isNotNull(), F.concat(F.lit(json.dumps(n) + ":"), cell(F.col(n)))) for n in sorted(terms.columns)]
+    return terms.select(F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}")).alias("value"))
+
+
+def _quoted(c):
+    """A JSON string."""
+    from pyspark.sql import functions as F
+
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+
+def frame_xml(terms: DataFrame) -> DataFrame:
+    """A result of any size as the result elements of results XML, one a row: one column `value`."""
+    from pyspark.sql import functions as F
+
+    def safe(c):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    def cell(c):
+        text = safe(c["lex"])
+        tag = F.when(c["lang"].isNotNull(), F.concat(F.lit(' xml:lang="'), safe(c["lang"]))).otherwise(F.concat(F.lit(' datatype="'), safe(c["dt"])))
+        written = F.concat(F.lit("<literal"), tag, F.lit('">'), text, F.lit("</literal>"))
+        return F.when(c["k"] == 2, F.concat(F.lit("<uri>"), text, F.lit("</uri>"))).when(c["k"] == 1, F.concat(F.lit("<bnode>"), text, F.lit("</bnode>"))).otherwise(written)
+
+    cells = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"<binding name={quoteattr(n)}>"), cell(F.col(n)), F.lit("</binding>"))) for n in sorted(terms.columns)]
+    return terms.select(F.concat(F.lit("<result>"), F.concat_ws("", *cells), F.lit("</result>")).alias("value"))
+
+
 @dataclass(frozen=True)
 class Format:
     media: str
