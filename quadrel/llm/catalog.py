@@ -67,8 +67,32 @@ iw AS (SELECT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM i, unnest(rang
 """
 
 
+_IRI = "regexp_replace(regexp_replace(lower({0}), '[\\s\\x{{85}}\\p{{Z}}]+', '', 'g'), '^<(.*)>$', '\\1')"
+#: The rule of problem 4 one character at a time: a character stays, or it separates words.
+_TERMS = (
+    """WITH used AS (SELECT id, min("""
+    + _IRI.format("value")
+    + """) AS iri FROM terms WHERE id IN (SELECT datatype FROM terms) AND value IS NOT NULL GROUP BY id),
+x AS (SELECT t.id, t.type <> 2 AS literal, t.value, CASE WHEN t.type <> 2 THEN t.datatype END AS datatype, CASE WHEN t.type <> 2 THEN t.language END AS language, used.iri
+  FROM terms t LEFT JOIN used ON used.id = t.datatype WHERE t.id IS NOT NULL AND t.value IS NOT NULL AND t.type IN (2, 16, 17, 22)),
+k AS (SELECT *, CASE WHEN NOT literal THEN '' WHEN datatype IS NULL THEN 'xsd:string' ELSE coalesce(iri, '#' || datatype) END AS dt,
+  coalesce('=' || replace(lower(regexp_replace(language, '^[\\s\\x{85}\\p{Z}]+|[\\s\\x{85}\\p{Z}]+$', '', 'g')), '_', '-'), '') AS lang,
+  CASE WHEN NOT literal THEN """
+    + _IRI.format("value")
+    + """ WHEN NOT regexp_matches(value, '[\\p{L}\\p{N}]') THEN chr(1) || regexp_replace(value, '^[\\s\\x{85}\\p{Z}]+|[\\s\\x{85}\\p{Z}]+$', '', 'g')
+  ELSE array_to_string(list_sort(list_filter(list_transform(string_split_regex(lower(value), '[;|]'), lambda f: trim(regexp_replace(array_to_string(list_transform(range(1, length(f) + 1), lambda i:
+    CASE WHEN regexp_matches(f[i], '[\\p{L}\\p{N}]') OR NOT regexp_matches(f[i], '[\\s\\x{85}\\p{Z}]') AND regexp_matches(f[i - 1:i - 1], '\\p{N}') AND i > 1 AND regexp_matches(f[i + 1:i + 1], '\\p{N}')
+      OR f[i] IN ('+', '-') AND regexp_matches(f[i + 1:i + 1], '\\p{N}') AND NOT (i > 1 AND regexp_matches(f[i - 1:i - 1], '[\\p{L}\\p{N}]')) THEN f[i] ELSE ' ' END), ''), ' +', ' ', 'g'))), lambda w: w <> '')), '|') END AS key FROM x),
+g AS (SELECT id, value, literal, datatype, language, min(id) OVER (PARTITION BY literal, dt, lang, key) AS kept FROM k)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _TERMS + "SELECT kept AS kept_id, id AS dup_id FROM g WHERE id <> kept",
+        "p4_collapsed": _TERMS + """SELECT kept AS kept_id, count(*) AS copies, count(DISTINCT {'a': literal, 'b': value, 'c': datatype, 'd': language}) AS spellings FROM g GROUP BY kept
+            UNION ALL SELECT id, 1, 1 FROM terms WHERE id IS NOT NULL AND NOT coalesce(value IS NOT NULL AND type IN (2, 16, 17, 22), false)""",
         "p1_found": _FREQUENCIES + """SELECT field, term_id, 'rare' AS mark FROM f WHERE records <= 2
             UNION ALL SELECT field, term_id, 'common' FROM f WHERE records > 0.10 * (SELECT count(DISTINCT subject) FROM quads)""",
         "p1_frequencies": _FREQUENCIES + "SELECT field, term_id, occurrences, records FROM f",
