@@ -7,8 +7,9 @@ native bitmap aggregates, combined on the map side and compressed in the shuffle
 - full: keys whose record lived through the whole month
 - part: keys whose record lived through part of the month
 
-refs AND NOT full are the suspects. Outside `part` a suspect is an orphan; inside, the exact times decide, after one
-join of the suspects' rows. Bits that nobody doubts never become rows again.
+refs AND NOT full are the suspects. Outside `part` a suspect is an orphan; inside, the exact times decide. Bits that
+nobody doubts never become rows again: a filter of fixed size, broadcast, lets only rows that may be suspects leave
+their scan, so references that the bitmaps decided are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.runtime import Scratch
+
 #: An object of this value or more is an inlined integer, not a reference (fixed value).
 INLINE_BASE = 24 * 2**56
 RANGE_BITS = 15
 BYTES = (1 << RANGE_BITS) // 8
+#: 64-bit words of the filter of suspects: always so many, 8 MB of bits, whatever the data. It lets some others pass
+#: too, more of them when there are many suspects; the join after it is exact.
+FILTER_WORDS = 1 << 19
 
 
 def _month(column: str):
@@ -89,6 +95,29 @@ def suspects(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return both.groupBy("bucket").applyInPandas(_suspects, "pos tinyint, month int, key long, doubt boolean")
 
 
+def _hash():
+    return F.pmod(F.xxhash64("pos", "month", "key"), F.lit(FILTER_WORDS * 64))
+
+
+def _may_be(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """References whose (pos, month, key) may be among the suspects; decided in the scan, by a filter of fixed size."""
+    h = _hash()
+    bits = found.select(F.shiftrightunsigned(h, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int")).alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = refs.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "_word").join(words.hint("shuffle_hash"), F.col("_word") == F.col("word"), "left")
+    table = F.broadcast(every.select("_word", F.coalesce("bits", F.lit(0)).alias("_bits")))
+    hit = (F.call_function("shiftrightunsigned", F.col("_bits"), (F.col("_h") % 64).cast("int")) % 2) != 0
+    return refs.withColumn("_h", h).join(table, F.shiftrightunsigned("_h", 6) == F.col("_word")).where(hit).select(*refs.columns)
+
+
+def doubtful_share(quads: DataFrame, parents: DataFrame, positions: tuple[str, ...] = ("subject", "object"), inline_base: int | None = INLINE_BASE) -> DataFrame:
+    """One row: keys (different position, month and key), suspects among them, and doubtful ones that exact times decide."""
+    refs = references(quads, positions, inline_base)
+    found = suspects(refs, parents).agg(F.count(F.lit(1)).alias("suspects"), F.count_if("doubt").alias("doubtful"))
+    keys = refs.select("pos", "month", "key").distinct().agg(F.count(F.lit(1)).alias("keys"))
+    return keys.select("keys", found.select("suspects").scalar().alias("suspects"), found.select("doubtful").scalar().alias("doubtful"))
+
+
 def orphan_references(quads: DataFrame, parents: DataFrame, positions: tuple[str, ...] = ("subject", "object"), inline_base: int | None = INLINE_BASE) -> DataFrame:
     """(quad_id, position, key, month): references whose key had no live record at the row's loaded_at.
 
@@ -98,7 +127,8 @@ def orphan_references(quads: DataFrame, parents: DataFrame, positions: tuple[str
     to nothing. Empty parents make every reference an orphan.
     """
     refs = references(quads, positions, inline_base)
-    found = suspects(refs, parents)
+    found = Scratch(quads.sparkSession).stage(suspects(refs, parents))
+    refs = _may_be(refs, found)
     # the lives of doubtful keys: id is the key of parents, so an array holds one interval (a few, if ids repeat)
     lives = parents.where(F.col("added_at").isNotNull()).select(F.col("id").cast("long").alias("key"), F.col("added_at").alias("a"), F.col("deleted_at").alias("d"))
     sure = found.where(~F.col("doubt")).select("pos", "month", "key", F.lit(None).cast("array<struct<a:timestamp,d:timestamp>>").alias("lives"))
