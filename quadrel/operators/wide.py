@@ -22,6 +22,8 @@ from quadrel.operators.orphans import INLINE_BASE
 from quadrel.runtime import Scratch, small
 
 _TRIM = " \t\r\n"
+#: Written cells (compressed) for one partition of registers.
+REGISTER_BYTES = 16 << 20
 #: Digits of an integer that int() reads at most, whatever the interpreter's settings (its lowest limit).
 INT_DIGITS = 640
 _INT = re.compile(r"[+-]?[0-9]+\Z")
@@ -203,16 +205,19 @@ def _columns(attributes: DataFrame) -> tuple[list[tuple[str, str, bool]], dict[i
 def registers(quads: DataFrame, attributes: DataFrame, terms: DataFrame):
     """(columns, RDD of (subject, register))."""
     columns, slots = _columns(attributes)
-    # the looked-up cells are written once, so that a lost executor repeats neither the scans nor the join
-    cells = Scratch(quads.sparkSession).stage(cells_of(quads, attributes, terms))
-    ops = Registers(columns)
+    # the looked-up cells are written once, so that a lost executor repeats neither the scans nor the join. They
+    # are dealt out evenly by entity, an entity too large for a partition over several, as what follows is Python's work
+    spark, scratch = quads.sparkSession, Scratch(quads.sparkSession)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    path = scratch.write(cells_of(quads, attributes, terms).hint("rebalance", least, F.col("subject")))
+    cells, ops = scratch.read(path), Registers(columns)
 
     def keyed(rows):
         for subject, predicate, text, kind in rows:
             for slot in slots[predicate]:
                 yield subject, (slot, text, kind in (1, 2))
 
-    parts = int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, scratch.size(path) // REGISTER_BYTES)
     return columns, ops, cells.rdd.mapPartitions(keyed).combineByKey(ops.create, ops.add, ops.merge, numPartitions=parts)
 
 

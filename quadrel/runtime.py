@@ -61,6 +61,11 @@ class Scratch:
     def stage(self, df: DataFrame) -> DataFrame:
         return self.read(self.write(df))
 
+    def size(self, path: str) -> int:
+        """Bytes of a table."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
     def drop(self, path: str) -> None:
         _delete(self.spark, path)
 
