@@ -2,7 +2,10 @@
 
 1. byte-identical raw rows collapse first, with counts (map-side combining: a hot copy costs one row per task);
 2. only the distinct survivors are canonicalised, with JVM expressions;
-3. the survivors group again on the full canonical text, and the counts add up.
+3. the survivors, canonicalised once and written, group again on the full canonical text, and the counts add up.
+
+Only spellings of repeated terms are joined with their groups again: by a hash, with the full text compared beside it.
+A term with very many spellings is one hot key of that join, whose other side has one row; AQE splits it.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ def _keyed(raw: DataFrame, terms: DataFrame) -> DataFrame:
 def _staged(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(terms.sparkSession)
     raw = scratch.stage(_survivors(terms).groupBy(*_RAW).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
-    keyed = _keyed(raw, terms)
+    keyed = scratch.stage(_keyed(raw, terms))
     return keyed, keyed.groupBy(*_KEY).agg(F.min("first").alias("kept_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("spellings"))
 
 
@@ -75,9 +78,12 @@ def duplicate_ids(terms: DataFrame) -> DataFrame:
     """(kept_id, dup_id): one row for each row of an equal set but the one with the smallest id; see collapsed()."""
     keyed, groups = _staged(terms)
     scratch = Scratch(terms.sparkSession)
-    more = groups.where("copies > 1").select(*_KEY, "kept_id")
+    more = groups.where("copies > 1").select(F.xxhash64(*_KEY).alias("_h"), *[F.col(c).alias(f"_{c}") for c in _KEY], "kept_id")
     repeated = F.col("n") > 1  # only these spellings have rows other than `first`
-    members = scratch.stage(keyed.join(more, _KEY).select("kept_id", "first", "n", *[F.when(repeated, F.col(c)).alias(c) for c in _RAW]))
+    same_term = F.xxhash64(*_KEY) == F.col("_h")
+    for c in _KEY:
+        same_term = same_term & (F.concat(F.col(c).cast("string"), F.lit("")) == F.concat(F.col(f"_{c}").cast("string"), F.lit("")))
+    members = scratch.stage(keyed.join(more, same_term).select("kept_id", "first", "n", *[F.when(repeated, F.col(c)).alias(c) for c in _RAW]))
     spelled = members.where("first <> kept_id").select("kept_id", F.col("first").alias("dup_id"))
     hot = members.where(repeated).select("kept_id", "first", *[F.col(c).alias(f"m_{c}") for c in _RAW])
     same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in _RAW]
