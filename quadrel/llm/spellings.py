@@ -79,6 +79,7 @@ def duplicate_ids(terms: DataFrame) -> DataFrame:
     keyed, groups = _staged(terms)
     scratch = Scratch(terms.sparkSession)
     more = groups.where("copies > 1").select(F.xxhash64(*_KEY).alias("_h"), *[F.col(c).alias(f"_{c}") for c in _KEY], "kept_id")
+    more = small(scratch.stage(more))  # few groups: the spellings stay where they are
     repeated = F.col("n") > 1  # only these spellings have rows other than `first`
     same_term = F.xxhash64(*_KEY) == F.col("_h")
     for c in _KEY:
