@@ -88,8 +88,30 @@ g AS (SELECT id, value, literal, datatype, language, min(id) OVER (PARTITION BY
 )
 
 
+#: Typed templates: words with their kind, windows of ten, runs along one diagonal, slots over the run.
+_TEMPLATES = """WITH src AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM eval_items WHERE text IS NOT NULL),
+n AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM src) x GROUP BY w),
+u AS (SELECT w, count(*) AS u FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{N}\\s?(\\p{L}+)', 1)) AS w FROM src) x GROUP BY w),
+kinds AS (SELECT n.w, coalesce(u, 0) >= 0.5 * n AS unit FROM n LEFT JOIN u USING (w) WHERE n >= 5 AND n >= 1e-5 * (SELECT sum(n) FROM n)),
+tok AS (SELECT side, row, id, unnest(w) AS w, unnest(range(0, len(w))) AS pos FROM (SELECT side, row, id, list_transform(regexp_extract_all(regexp_replace(text, '(\\p{N})[.,](\\p{N})', '\\1\\2', 'g'), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM src) x WHERE len(w) >= 10),
+typed AS (SELECT side, row, id, pos, tok.w, regexp_matches(tok.w, '\\p{N}') AS digits,
+  CASE WHEN regexp_full_match(tok.w, '\\p{N}+') THEN '#n' WHEN regexp_matches(tok.w, '\\p{N}') THEN regexp_replace(tok.w, '\\p{N}+', '0', 'g') WHEN kinds.w IS NULL THEN '#a' WHEN unit THEN '#u' ELSE tok.w END AS t FROM tok LEFT JOIN kinds ON kinds.w = tok.w),
+lists AS (SELECT side, row, id, list(w ORDER BY pos) AS w, list(t ORDER BY pos) AS t, list(digits OR t[1:1] = '#' ORDER BY pos) AS slot FROM typed GROUP BY side, row, id),
+win AS (SELECT side, row, id, k, array_to_string(t[k:k + 9], ' ') AS t, w[k:k + 9] AS w, slot[k:k + 9] AS slot, len(list_filter(slot[k:k + 9], lambda x: NOT x)) AS fixed FROM lists, unnest(range(1, len(w) - 8)) r(k)),
+theirs AS (SELECT * FROM (SELECT *, max(fixed) OVER (PARTITION BY row) AS best, count(*) OVER (PARTITION BY row) AS every FROM win WHERE side = 'i') x WHERE fixed >= 5 OR best < 5),
+met AS (SELECT d.row, d.id AS doc_id, i.id AS item_id, i.row AS item_row, d.k, d.k - i.k AS shift, CASE WHEN best < 5 THEN every ELSE 1 END AS least,
+  list_filter(list_transform(range(1, 11), lambda p: CASE WHEN i.slot[p] THEN i.w[p] || ' ' || d.w[p] END), lambda x: x IS NOT NULL) AS pairs FROM win d JOIN theirs i ON d.t = i.t WHERE d.side = 'd'),
+runs AS (SELECT *, k - row_number() OVER (PARTITION BY row, item_id, item_row, shift ORDER BY k) AS run FROM met),
+whole AS (SELECT row, doc_id, item_id, count(*) AS n, max(least) AS least, list_distinct(flatten(list(pairs))) AS pairs FROM runs GROUP BY row, doc_id, item_id, item_row, shift, run),
+same AS (SELECT * FROM whole WHERE n >= least AND len(list_filter(pairs, lambda p: split_part(p, ' ', 1) <> split_part(p, ' ', 2))) > 0
+  AND len(list_distinct(list_transform(pairs, lambda p: split_part(p, ' ', 1)))) = len(pairs) AND len(list_distinct(list_transform(pairs, lambda p: split_part(p, ' ', 2)))) = len(pairs))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_reworded": "SELECT doc_id, item_id, 'exact' AS kind, CAST(10 AS INTEGER) AS words FROM (" + _WINDOWS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)) e UNION ALL SELECT doc_id, item_id, 'reworded', CAST(max(n) + 9 AS INTEGER) FROM ("
+        + _TEMPLATES + "SELECT row, doc_id, item_id, n FROM same) r GROUP BY row, doc_id, item_id",
         "p4_found": _TERMS + "SELECT kept AS kept_id, id AS dup_id FROM g WHERE id <> kept",
         "p4_collapsed": _TERMS + """SELECT kept AS kept_id, count(*) AS copies, count(DISTINCT {'a': literal, 'b': value, 'c': datatype, 'd': language}) AS spellings FROM g GROUP BY kept
             UNION ALL SELECT id, 1, 1 FROM terms WHERE id IS NOT NULL AND NOT coalesce(value IS NOT NULL AND type IN (2, 16, 17, 22), false)""",

@@ -2,14 +2,16 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadrel.llm import sentences as S
-from quadrel.llm.leaks import leaks
+from quadrel.llm.leaks import leaks, words_of
 from quadrel.llm.spellings import collapsed, duplicate_ids
 from quadrel.llm.term_frequency import marked_terms, term_frequencies
 from quadrel.llm.tokenizer import DEFAULT_VOCABULARY, BytePairEncoder, decode_ids, encode_texts
@@ -132,12 +134,24 @@ def test_encoding_of_a_frame(spark, pair, data):
 
 # ---------------------------------------------------------------- leaks
 
+#: Words that the corpus uses all the time; what is rarer than LEAST_SEEN is a name.
+COMMON_WORDS = "on page the clerk cook wrote that road lake and map of had been quiet for days km before after so end".split()
+LEAST_SEEN = 60
+
+
+def filler():
+    r = random.Random(5)
+    words = COMMON_WORDS * LEAST_SEEN
+    r.shuffle(words)
+    return (900, " ".join(f"{w}, 4" if i % 9 == 0 else w for i, w in enumerate(words)) + " 3 km" * LEAST_SEEN)
+
+
 def test_leaks(spark):
     item = "On page 12 the clerk Adam wrote that the road and the map of Bern had been quiet for 3 km"
     words = item.split()
     docs = [
         (1, "Before. " + item + " After"), (1, "Before. " + item + " After"), (2, " ".join(words[3:13]).upper()), (3, " ".join(words[3:12])), (4, "; ".join(words[:10])), (5, None), (6, ""), (7, "x " * 20),
-        (8, item.replace("12", "77").replace("Adam", "Zoe").replace("Bern", "Rome").replace(" 3 ", " 9 ")), (9, item.replace("12", "77")), (10, item.replace("road", "lake")), (None, item), (11, ("z " * 5000) + item), (12, item.replace("Adam", "Bern")),
+        (8, item.replace("12", "77").replace("Adam", "Zoe").replace("Bern", "Rome").replace(" 3 ", " 9 ")), (9, item.replace("12", "77")), (10, item.replace("road", "lake")), (None, item), (11, ("z " * 5000) + item), (12, item.replace("Adam", "Bern")), filler(),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(3))
     e = spark.createDataFrame([(100, item), (100, item), (101, "too short"), (102, None), (103, "x " * 12)], "item_id long, text string").withColumn("doc_id", F.lit(3))
@@ -151,7 +165,7 @@ def test_leaks(spark):
             if any(tuple(a[k : k + 10]) in grams for k in range(len(a) - 9)):
                 brute.add((i, j))
     assert set(got) == brute
-    kinds = {(r["doc_id"], r["kind"]) for r in leaks(d, e, reworded=True).collect()}
+    kinds = {(r["doc_id"], r["kind"]) for r in leaks(d, e, reworded=True, least=LEAST_SEEN).collect()}
     assert (8, "reworded") in kinds and (9, "reworded") in kinds
     assert (1, "reworded") not in kinds and (10, "reworded") not in kinds and (12, "reworded") not in kinds
     single = leaks(d, e.where("item_id = 103"))
@@ -174,16 +188,33 @@ def test_reworded_parts_of_items(spark):
     docs = [
         (1, " ".join(changed[3:])), (2, " ".join(changed[:16])), (3, "And so: " + " ".join(changed[4:17]) + ". The end"), (4, broken),
         (5, " ".join(item.split()[3:])), (6, " ".join(changed[5:14])), (7, " ".join(twice[1:14]) + " Zoe had been quiet"), (8, " ".join(changed[6:]) + " . " + " ".join(changed[:12])),
-        (9, "1 2 3 4 5 6 7 8 9 10 11"), (10, "21 22 23 24 25 26 27 28 29 30"),
+        (9, "1 2 3 4 5 6 7 8 9 10 11"), (10, "21 22 23 24 25 26 27 28 29 30"), (11, item.replace("12", "1,250").replace(" 3 ", " 3.5 ")), filler(),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     e = spark.createDataFrame([(100, item), (101, "5 6 7 8 9 10 11 12 13 14 15")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["words"] for r in leaks(d, e, reworded=True).where("kind = 'reworded'").collect()}
-    # 5 is exact, 6 has nine words, 7 makes one name of two, 10 is a part with numbers alone
-    assert got == {(1, 100): 18, (2, 100): 16, (3, 100): 13, (4, 100): 16, (8, 100): 15, (9, 101): 11}
+    got = {(r["doc_id"], r["item_id"]): r["words"] for r in leaks(d, e, reworded=True, least=LEAST_SEEN).where("kind = 'reworded'").collect()}
+    # 5 is exact, 6 has nine words, 7 makes one name of two, 10 is a part with numbers alone, 11 has numerals with marks
+    assert got == {(1, 100): 18, (2, 100): 16, (3, 100): 13, (4, 100): 16, (8, 100): 15, (9, 101): 11, (11, 100): 21}
     assert leaks(d, e).columns == ["doc_id", "item_id", "kind"]
 
 
+def test_recall_of_reparameterised_items(spark):
+    """Every number and every name of every item replaced; names are what occurs in one item only."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet").collect()
+    seen = Counter(w for r in items for w in {x.lower() for x in words_of(r["text"])})
+    planted = []
+    for r in items:
+        change = lambda m: str(int(m.group()) + 7) if m.group().isdigit() else m.group()[::-1].lower() if seen[m.group().lower()] == 1 and not any(c.isdigit() for c in m.group()) else m.group()
+        planted.append((10**9 + r["item_id"], regex.sub(r"[\p{L}\p{N}]+", change, r["text"])))
+    got = leaks(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string")), spark.createDataFrame(items), reworded=True)
+    found = {r["item_id"] for r in got.where("kind = 'reworded' and doc_id = item_id + 1000000000").collect()}
+    by = Counter(r["lang"] for r in items)
+    hit = Counter(r["lang"] for r in items if r["item_id"] in found)
+    print({x: (hit[x], n) for x, n in by.items()})
+    assert all(hit[x] >= 0.9 * n for x, n in by.items())
+
+
 # ---------------------------------------------------------------- sentences
 
 @pytest.fixture(scope="module")
