@@ -1,19 +1,26 @@
 """Sentence boundaries across languages and scripts.
 
-A hidden-event n-gram language model: between words there may be a hidden boundary event. A text is cut into blocks at
-blank lines; in a block every closing mark (and, in Thai, every space) is a place where the event may have happened.
-
-    P(event | word before)            how often a sentence ends with that word and mark
-    P(word after | event)             how sentences begin
-    P(word after | no event, before)  how a sentence goes on after that word and mark
-
-All three are estimated from the whole corpus without labels: ends of blocks and places after `!` and `?` are sure
-events, all other places are mixtures that EM takes apart (a word that is never followed by an end of text or by a
-typical opening word is an abbreviation). Words under a share of the corpus back off to their shape, so the model's
-size is bounded whatever the corpus. Forward-backward over the places of a block then gives each boundary's posterior;
-the event at one place acts on the next through list markers and quotations that open a sentence.
-
-Quotations and brackets are matched first: no event lies inside.
+A hidden-event n-gram language model: between two words there may be a hidden boundary event. A text is cut into blocks
+at blank lines. What stands between two words is observed: a closing mark with the word before it, closing quotes or
+brackets, a space in a script that puts none between words (Thai), or nothing but a space.
+
+    P(event | what stands between)          how often a sentence ends there: with that word and mark, at such a quote
+    P(word after | event)                   how sentences begin
+    P(word after | no event, what stands)   how a sentence goes on
+
+All three are estimated from the whole corpus without labels, for every script. Beginnings and ends of blocks are sure
+events; everything else is a mixture that EM takes apart (a word that is never followed by an end of text or by a
+typical opening word is an abbreviation). Rules are features only: whether a quotation opens a sentence or follows a
+colon, whether dots stand at a sentence's beginning and so on name the row of the table, with a prior (PRIORS) that the
+corpus' counts move. Words under a share of the corpus, and words longer than LONG, back off to their shape, so the
+model's size is bounded whatever the corpus. Forward-backward over the places of a block gives each boundary's
+posterior; the event at one place acts on the next through list markers and quotations that open a sentence.
+
+A space between words alone is a place in scripts whose blocks mostly end without any mark (UNMARKED): there sentences
+are not punctuated, and the words before and after decide. Where blocks end with marks such spaces are no places.
+
+Quotations and brackets are matched first: no event lies inside. Places are found once and written; training counts
+them with native aggregates, deciding reads them again without the texts.
 """
 
 from __future__ import annotations
@@ -41,16 +48,33 @@ FLUSH = 200_000
 FLOOR = 0.01
 #: Factor of a sentence of a single word between two events.
 ONE_WORD = 0.3
-#: A quotation that the cut of a text left open (or unopened) is taken to reach at most this far, in code points.
-REACH = 400
+#: A word longer than this is known by its shape only.
+LONG = 24
+#: A script is unpunctuated if at least this share of its blocks end without a mark.
+UNMARKED = 0.5
+#: P(event) at least, before anything is counted, after a word that looks like an ordinary one.
+ORDINARY = 0.9
+#: P(event) that each kind of place starts from, and the weight of this prior as a multiple of the row's count.
+PRIORS = {
+    "!": (0.98, 0.5),  # a mark of sentences
+    "!9": (0.3, 0.5),  # with a digit right after it
+    '"o': (0.05, 0.5),  # the end of a quotation that opened a sentence: who speaks follows
+    '":': (0.98, 0.5),  # of one after a colon
+    '"m': (0.9, 0.5),  # of another
+    ")o": (0.95, 0.5),  # the end of a bracket that opened a sentence
+    ")m": (0.05, 0.5),  # of another
+    "…o": (0.01, 8.0),  # dots after the first words of a sentence: an event would make these a sentence, so words count less
+    "…u": (0.6, 0.5),  # other dots before a capital or a quotation
+    "_": (0.9, 0.5),  # a space in a script without spaces between words
+}
 
 _BLANK = regex.compile(r"(?>\r\n|[\n\r\x85  ])[^\S\n\r\x85  ]*+(?>(?>\r\n|[\n\r\x85  ])\s*+)+")
 _SPACE = regex.compile(r"\s*")
 #: Closing marks (fixed values): of sentences for sure, and those that also stand in abbreviations, numbers and pauses.
 STRONG = "!?！？؟。｡।॥۔‽⁇⁈⁉።፧፨។៕။"
 WEAK = ".…．‥"
-_PLACE = regex.compile(rf"[{STRONG}{WEAK}]+|[\"“”„«»‹›「」『』（）()\[\]【】〈〉《》]|(?<=[\p{{Thai}}”\"»’)\]!?]) (?=[\p{{Thai}}“\"«‘(\[])")
-_OPEN = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "〈": "〉", "《": "》"}
+_PLACE = regex.compile(rf"[{STRONG}{WEAK}]+|[\"“”„«»‹›「」『』（）()\[\]【】〈〉《》]|(?<=[\p{{Thai}}”\"»’)\]!?]) (?=[\p{{Thai}}“\"«‘(\[])|[‘’]")
+_OPEN = {"‘": "’", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "〈": "〉", "《": "》"}
 _BRACKETS = "()（）[]【】〈〉《》"
 _CLOSERS = "”’'\"»›」』)）]】"
 _OPENING = "“„«‹「『(（[【\"'‘¿¡"
@@ -62,9 +86,14 @@ _ITEM = regex.compile(r"\s*[\n\r]\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p
 ITEM = "<item>"
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _DIGITS = regex.compile(r"\p{N}")
+_QUOTES = regex.compile("[\"“”„«»‹›「」『』（）()\\[\\]【】〈〉《》‘’]")
 #: The last character that can't be part of a word before a mark.
 _BREAKS = regex.compile(rf"(?r)[\s\"“„«»‹「『(（\[【”{STRONG}]")
 _TOKEN = regex.compile(r"\S+")
+_SHORT_TOKEN = regex.compile(rf"\S{{1,{LONG + 9}}}")
+_LETTER = regex.compile(r"(?r)\p{L}")
+_LETTER_AHEAD = regex.compile(r"\p{L}")
+LONG_WORD = "<long>"
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 
 # classes of what follows a place
@@ -77,27 +106,42 @@ _RARE_INSIDE = {END: 0.004, OPENS: 0.02, QUOTE: 0.02}
 @lru_cache(maxsize=200_000)
 def _key(token: str) -> str:
     """A token as the model knows it: without quotes and brackets before, commas and the like after; digits alike."""
-    token = token.lstrip(_OPENING).rstrip(",;:!?،؛؟…" + _CLOSERS)[:24]
+    token = token.lstrip(_OPENING).rstrip(",;:!?،؛؟…" + _CLOSERS)
+    if len(token) > LONG:
+        return token[0] + LONG_WORD
     return _DIGITS.sub("0", token.rstrip(".") if token.endswith("..") else token)
 
 
 def _word_before(block: str, at: int) -> str:
-    """The token that ends at a mark; two characters in scripts without spaces."""
-    word = block[max(0, at - 24) : at]
+    """The token that ends at a mark; empty in scripts without spaces."""
+    low = max(0, at - LONG - 1)
+    word = block[low:at]
     cut = _BREAKS.search(word)
-    word = word[cut.end() :] if cut else word
+    if cut:
+        word = word[cut.end() :]
+    elif len(word) > LONG:
+        return "" if _WIDE.match(word[-1]) else LONG_WORD
     if word and not word.isascii() and _WIDE.match(word[-1]):
         return ""
     return word if word.isalpha() else _DIGITS.sub("0", word)
 
 
+def _word_length(block: str, at: int) -> int:
+    """How far the token before a mark reaches back, LONG at most."""
+    word = block[max(0, at - LONG) : at]
+    cut = _BREAKS.search(word)
+    return len(word) - cut.end() if cut else len(word)
+
+
 def _pair(block: str, at: int, word: str) -> str:
     """A short word (г, д, A, ...) says little alone: with the token before it."""
     while at > 0 and block[at - 1] in " \xa0":
         at -= 1
     start = at
-    while start > 0 and at - start < 12 and not block[start - 1].isspace():
+    while start > 0 and at - start <= LONG and not block[start - 1].isspace():
         start -= 1
+    if at - start > LONG:
+        return ""
     before = _DIGITS.sub("0", block[start:at])
     return f"{'0' if before.isdigit() else before} {word}" if before else ""
 
@@ -113,13 +157,20 @@ def _word_after(block: str, at: int) -> str | None:
         at += 1
     if _WIDE.match(block[at]):
         return block[at : at + 2]
-    token = _TOKEN.match(block, at).group()[:32]
-    return token if token[0] in _OPENING and token[0] not in "'" else _key(token) or token
+    m = _SHORT_TOKEN.match(block, at)
+    if m is None:
+        return block[at]
+    token = m.group()
+    if token[0] in _OPENING and token[0] not in "'":
+        return token[0]
+    return _key(token) or token[0]
 
 
 def shape(word: str) -> str:
     """What an unknown word (with its script before it) backs off to."""
     script, word = word[0], word[1:]
+    if word[:1] == "~":
+        return script + "~"
     if not word or word == script:
         return script + "<>"
     if "0" in word and not any(c.isalpha() for c in word[:-1]):
@@ -130,6 +181,11 @@ def shape(word: str) -> str:
     return f"{script}<{'U' if first.isupper() else 'l' if first.islower() else 'o'}{size}{inner}>"
 
 
+def ordinary(word: str) -> bool:
+    """Whether a word, with its script before it, has the length of words that are no abbreviations."""
+    return len(word) > 3 and word[1:].isalpha()
+
+
 def shape_class(token: str | None) -> int:
     if token is None:
         return END
@@ -140,7 +196,7 @@ def shape_class(token: str | None) -> int:
         return DIGIT
     if c.isupper():
         return UPPER
-    if c.islower():
+    if c.islower() or c in ",;:，、،；；":
         return LOWER
     return CASELESS if c.isalpha() else OTHER
 
@@ -148,15 +204,16 @@ def shape_class(token: str | None) -> int:
 class Place:
     """A place in a block where a sentence may end."""
 
-    __slots__ = ("end", "word", "after", "kind", "opened", "listed", "tight", "colon", "script", "wide", "pair")
+    __slots__ = ("end", "word", "after", "kind", "opened", "listed", "tight", "colon", "script", "wide", "pair", "marker")
 
     def __init__(self, end: int, word: str, after: str | None, kind: str):
         self.end, self.word, self.after, self.kind = end, word, after, kind
         self.opened: int | None = None  # where the quotation or bracket that closes here was opened
         self.listed = False  # may be the mark of a list item, if a sentence begins right before it
+        self.marker = 0  # where that list item's marker begins
         self.tight = False  # no space follows
         self.colon = False
-        self.script = "c"  # of the letters before: c cased, o without case, w without spaces
+        self.script = "c"  # of the letters before, see script_of()
         self.wide = False  # a mark of a script without spaces
         self.pair = ""  # a short word before with the token before it
 
@@ -174,19 +231,25 @@ def _thai(block: str, at: int, step: int) -> bool:
     return False
 
 
-def _script(block: str, at: int) -> str:
-    for k in range(at - 1, max(-1, at - 40), -1):
-        c = block[k]
-        if c.isalpha():
-            return "w" if _WIDE.match(c) else "c" if c.isupper() or c.islower() else "o"
-    return "c"
+def _script(block: str, at: int, low: int, last: str) -> str:
+    """The script of the last letter before a place; `last` is that of the letters before `low`, where the place before was."""
+    m = _LETTER.search(block, low, at)
+    if m is None:
+        return last
+    return script_of(m.group())
+
 
+def script_of(c: str) -> str:
+    """Of a letter: c with case, o without, w wide (no spaces between words), t Thai (a space between sentences)."""
+    return "c" if c.isupper() or c.islower() else "w" if _WIDE.match(c) else "t" if "\u0e00" <= c <= "\u0e7f" else "o"
 
-def _pairs(block: str, first: bool) -> list[tuple[int, int]]:
+
+def _pairs(block: str, first: bool, final: bool) -> list[tuple[int, int]]:
     """Quotations and brackets as (open, close) positions.
 
-    A quotation that the text's cut left without its end reaches to the end of the block, one without its beginning
-    from -1 on, both if within REACH. Brackets, and marks that look like neither, without a partner are ordinary text.
+    Texts may be cut. In the last block a quotation without its end reaches to the text's end, whatever its length; in
+    the first a quotation without its beginning, closed before any other opens, reaches from -1 on. Brackets, single
+    quotes, and marks that look like neither, without a partner are ordinary text.
     """
     stack: list[tuple[int, str, str]] = []
     out: list[tuple[int, int]] = []
@@ -198,6 +261,8 @@ def _pairs(block: str, first: bool) -> list[tuple[int, int]]:
         at = m.start()
         before = block[at - 1] if at else " "
         after = block[at + 1] if at + 1 < len(block) else " "
+        if c == "’" and (after.isalnum() or not any(s[1] == "‘" for s in stack)) or c == "‘" and before.isalnum():
+            continue  # an apostrophe
         leans_right = (before.isspace() or before in _LEAD) and not after.isspace() and after not in ".,;:!?"
         hit = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][2]), None)
         if hit is not None and c in "\"“»«" and leans_right and before in " \n" and not block[stack[hit][0] + 1 : at].strip() == "":
@@ -211,18 +276,21 @@ def _pairs(block: str, first: bool) -> list[tuple[int, int]]:
             if c not in _BRACKETS:
                 stack = [s for s in stack if s[1] != c]
             stack.append((at, c, _OPEN.get(c, c)))
-        elif first and c not in _BRACKETS and not quoted and not any(s[1] not in _BRACKETS for s in stack) and at <= REACH:
+        elif first and c not in _BRACKETS and not quoted and not any(s[1] not in _BRACKETS for s in stack):
             out.append((-1, at))
             quoted = True
-    out += [(at, len(block)) for at, c, _ in stack if c not in _BRACKETS and len(block) - at <= REACH]
+    if final:
+        out += [(at, len(block)) for at, c, _ in stack if c not in _BRACKETS and c != "‘"]
     return sorted(out)
 
 
-def places(block: str, first: bool = True) -> list[Place]:
-    """The places of a block, in order; `first` if the block begins the text (it may begin inside a quotation)."""
-    pairs = _pairs(block, first)
+def places(block: str, first: bool = True, final: bool = True, plain: str = "") -> list[Place]:
+    """The places of a block, in order; `first` and `final` if it begins or ends the text, which may be cut inside a
+    quotation. Spaces between words alone are places after letters of the scripts in `plain`."""
+    pairs = _pairs(block, first, final) if _QUOTES.search(block) else []
     found: list[Place] = []
     k, inside = 0, []
+    seen, script = 0, "c"
     for m in _PLACE.finditer(block):
         c, at, end = m.group(), m.start(), m.end()
         thai = c == " "
@@ -236,7 +304,9 @@ def places(block: str, first: bool = True) -> list[Place]:
         around = sorted((p for p in inside if p[1] < len(block) or p[0] >= 0), key=lambda p: p[1]) if inside else []
         if thai:
             if not around and _thai(block, at - 1, -1) and _thai(block, end, 1):
-                found.append(Place(at, "<th>", _word_after(block, end), "thai"))
+                place = Place(at, "", _word_after(block, end), "thai")
+                place.script = "t"
+                found.append(place)
             continue
         opened = None
         while around or end < len(block) and not block[end].isspace():  # the quotes and brackets that close right after the mark belong to it
@@ -258,7 +328,8 @@ def places(block: str, first: bool = True) -> list[Place]:
         pause = not strong and (len(c) > 1 or c in "…‥")
         tight = end < len(block) and not block[end].isspace()
         before = block[at - 1] if at else " "
-        script = "c" if "a" <= before <= "z" else _script(block, at)
+        script = "c" if "a" <= before <= "z" else _script(block, at, seen, script)
+        seen = at
         word = "<...>" if pause else _word_before(block, at)
         if not any(x.isalpha() for x in word):
             word += script
@@ -268,12 +339,38 @@ def places(block: str, first: bool = True) -> list[Place]:
         place.tight, place.script, place.wide = tight, script, c[0] in "。｡！？．।॥"
         if opened is not None:
             place.opened = opened
-            place.colon = opened > 0 and block[max(0, opened - 8) : opened].rstrip().endswith((":", "：", "︰"))
+            place.kind = "bracket" if opened >= 0 and block[opened] in _BRACKETS else "quote"
+            left = opened
+            while left > 0 and block[left - 1].isspace():
+                left -= 1
+            place.colon = left > 0 and block[left - 1] in ":：︰"
+            if opened < 0:  # the text begins inside this quotation
+                place.colon = not block[:end].rstrip(_CLOSERS + " \xa0").endswith(("?", "？", "؟"))
         elif place.kind == "dot":
-            start = at - len(_word_before(block, at))
-            place.listed = bool(_LIST.match(block[start:at])) and (start == 0 or block[start - 1].isspace())
+            place.marker = at - _word_length(block, at)
+            place.listed = bool(_LIST.match(block[place.marker : at])) and (place.marker == 0 or block[place.marker - 1].isspace())
         found.append(place)
-    return found
+    return _with_plain(block, found, pairs, plain) if plain else found
+
+
+def _with_plain(block: str, found: list[Place], pairs: list[tuple[int, int]], plain: str) -> list[Place]:
+    """The places with the spaces between words that are none, after letters of some scripts."""
+    taken = {p.end for p in found}
+    out, k, inside = list(found), 0, 0
+    pairs = [*pairs, (len(block), len(block))]
+    for m in regex.finditer(r"(?<=\S)\s+(?=\S)", block):
+        while k < len(pairs) and pairs[k][0] < m.start():
+            inside = max(inside, pairs[k][1])
+            k += 1
+        before = block[m.start() - 1]
+        if m.start() in taken or m.start() < inside or not before.isalpha():
+            continue
+        script = script_of(before)
+        if script in plain:
+            place = Place(m.start(), "~" + _word_before(block, m.start()), _word_after(block, m.end()), "plain")
+            place.script = script
+            out.append(place)
+    return sorted(out, key=lambda p: p.end)
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -284,39 +381,126 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
     yield at, text[at:]
 
 
-# ---------------------------------------------------------------- counting
+# ---------------------------------------------------------------- extracting
+
+KINDS = ("dot", "strong", "pause", "quote", "bracket", "thai", "plain")
+SCRIPTS = "cowt"
+# bits of a place's flags, after 3 for its kind and 2 for its script; the second of two is for the case that the place
+# before turns out to be a list item's marker
+LISTED, TIGHT, COLON, BEGINS, BEGINS2, SHORT, SHORT2, LONE, LONE2, WIDE = (1 << k for k in range(5, 15))
+#: One row for each text with anything but white space.
+PLACES = "b_start array<int>, b_end array<int>, b_places array<int>, b_head array<string>, b_marked array<int>, p_end array<int>, p_next array<int>, p_flags array<int>, p_word array<string>, p_pair array<string>, p_after array<string>"
+_LISTS = pa.schema([(n, pa.list_(pa.int32() if t == "int" else pa.string())) for n, t in regex.findall(r"(\w+) array<(\w+)>", PLACES)])
 
-def _count(texts: list[str | None], counts: Counter) -> None:
-    """Adds a text's counts: t word | i word (opens a sentence for sure) | s word (ends one) | p before after."""
-    for text in texts:
-        if not text:
+
+def _begins(block: str, last_end: int, p: Place) -> bool:
+    """Whether what a place closes (a quotation, dots, a list marker) stands at the beginning of a sentence that would begin at last_end."""
+    if p.kind in ("quote", "bracket"):
+        if p.opened < 0 or p.opened < last_end:
+            return False
+        return not any(ch.isalnum() for ch in _strip_marker(block[last_end : p.opened]))
+    if p.kind == "pause":  # a pause after the first words of a sentence
+        lead = block[last_end : p.end]
+        if p.script == "w":
+            return len(lead.strip(" .…‥。")) < 5
+        return _few(lead, 3)
+    return p.listed and not any(ch.isalnum() for ch in block[last_end : p.marker])
+
+
+def _few(text: str, n: int) -> bool:
+    """Whether a text has fewer than n words; it is not read further than that."""
+    at = 0
+    for _ in range(n):
+        m = _TOKEN.search(text, at)
+        if m is None:
+            return True
+        at = m.end()
+    return False
+
+
+def _flags(block: str, found: list[Place]) -> list[int]:
+    out = []
+    for i, p in enumerate(found):
+        f = KINDS.index(p.kind) | SCRIPTS.index(p.script) << 3
+        if p.listed:
+            f |= LISTED
+        if p.tight:
+            f |= TIGHT
+        if p.colon:
+            f |= COLON
+        if p.wide:
+            f |= WIDE
+        last = found[i - 1].end if i else 0
+        before = found[i - 2].end if i > 1 else 0
+        marker = i > 0 and found[i - 1].listed
+        if p.kind in ("quote", "bracket", "pause") or p.listed:
+            # a sentence in brackets seldom stands inside another
+            lone = p.kind == "bracket" and (p.script == "w" and p.end - p.opened > 6 or not _few(block[p.opened : p.end], 3))
+            wide = lone and p.script == "w" and p.end - p.opened > 6
+            if _begins(block, last, p):
+                f |= BEGINS | (LONE if lone else 0)
+            if marker and _begins(block, before, p):
+                f |= BEGINS2 | (LONE2 if lone else 0)
+            if wide:
+                f |= LONE | LONE2
+        if i and p.script != "w":
+            if _few(block[last : p.end], 2):
+                f |= SHORT
+            if i > 1 and marker and _few(block[before : p.end], 2):
+                f |= SHORT2
+        out.append(f)
+    return out
+
+
+def extract(text: str | None, plain: str = "") -> tuple[list, ...] | None:
+    """The lists of PLACES of a text; None if there is nothing but white space."""
+    if not text or text.isspace():
+        return None
+    out: tuple[list, ...] = tuple([] for _ in _LISTS.names)
+    b_start, b_end, b_places, b_head, b_marked, p_end, p_next, p_flags, p_word, p_pair, p_after = out
+    cuts = list(blocks(text))
+    for n, (offset, block) in enumerate(cuts):
+        start = _SPACE.match(block).end()
+        if start == len(block):
             continue
-        for n, (_, block) in enumerate(blocks(text)):
-            head = _word_after(block, 0)
-            if head is None:
-                continue
-            if n or not text[0].isspace():
-                counts["i", head, ""] += 1
-            for token in block.split():
-                if not token.isascii() and _WIDE.search(token):
-                    for a, b in zip(token, token[1:]):
-                        if _WIDE.match(a):
-                            counts["t", a + b, ""] += 1
-                else:
-                    counts["t", _key(token), ""] += 1
-            for p in places(block, n == 0):
-                if p.opened is not None or p.kind == "thai":
-                    continue
-                if p.kind == "strong":
-                    counts["s", p.script, p.after or ""] += 1
-                    if p.after:
-                        counts["i", p.after, ""] += 1
-                elif not p.tight or p.script == "w":
-                    counts["p", p.script + p.word, p.after or ""] += 1
-                    if p.pair:
-                        counts["p", p.script + p.pair, p.after or ""] += 1
+        last = len(block.rstrip())
+        found = places(block, n == 0, n == len(cuts) - 1, plain)
+        b_start.append(offset + start)
+        b_end.append(offset + last)
+        b_places.append(len(found))
+        b_head.append(_word_after(block, 0) if n or not text[0].isspace() else None)
+        b_marked.append(SCRIPTS.index(_script(block, last, 0, "c")) << 1 | (found != [] and found[-1].end == last and found[-1].kind not in ("thai", "plain")))
+        for p, f in zip(found, _flags(block, found)):
+            p_end.append(offset + p.end)
+            p_next.append(offset + _SPACE.match(block, p.end).end())
+            p_flags.append(f)
+            p_word.append(p.word)
+            p_pair.append(p.pair or None)
+            p_after.append(p.after)
+    return out
 
 
+def _extracting(batches: Iterator[pa.RecordBatch], plain: str) -> Iterator[pa.RecordBatch]:
+    """(key, lists of PLACES) of (key, text) rows; texts of white space give no row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            kept, rows = [], []
+            for i, t in enumerate(part.column(1).to_pylist()):
+                got = extract(t, plain)
+                if got is not None:
+                    kept.append(i)
+                    rows.append(got)
+            columns = []
+            for k, f in enumerate(_LISTS):
+                offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+                np.cumsum([len(r[k]) for r in rows], out=offsets[1:])
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for r in rows for x in r[k]], f.type.value_type)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), *columns], names=["id", *_LISTS.names])
+
+
+# ---------------------------------------------------------------- counting
+
 _COUNTS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
@@ -325,23 +509,60 @@ def _rows(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([k[2] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], schema=_COUNTS)
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct raw tokens with their counts, as the model knows them."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            _count(batch.column(0).slice(start, 500).to_pylist(), counts)
-            if len(counts) >= FLUSH:
-                yield _rows(counts)
-                counts = Counter()
-    if counts:
-        yield _rows(counts)
+        counts: Counter = Counter()
+        for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not token.isascii() and _WIDE.search(token):
+                for a, b in zip(token, token[1:]):
+                    if _WIDE.match(a):
+                        counts["t", a + b, ""] += n
+            else:
+                counts["t", _key(token), ""] += n
+        if counts:
+            yield _rows(counts)
+
+
+def feature(flags: int, after: str | None, second: bool = False) -> str | None:
+    """The row of the table that a place belongs to; None where the word before it names the row."""
+    kind = KINDS[flags & 7]
+    begins = bool(flags & (BEGINS2 if second else BEGINS))
+    match kind:
+        case "strong":
+            return "!9" if flags & TIGHT and not flags & WIDE and after is not None and after[0].isdigit() else "!"
+        case "quote":
+            return '":' if flags & COLON else '"o' if begins else '"m'
+        case "bracket":
+            return ")o" if begins else ")m"
+        case "thai":
+            return "_"
+        case "pause":
+            if begins:
+                return "…o"
+            return "…u" if after is not None and (after[0].isupper() or shape_class(after) == QUOTE) else None
+    return None
+
+
+def _feature_column():
+    """feature() as a column of flags and after, without the case of a marker before."""
+    kind, after = F.col("p_flags").bitwiseAND(7), F.col("p_after")
+    has = lambda bit: F.col("p_flags").bitwiseAND(bit) != 0
+    quote = F.lit("[" + regex.escape(_OPENING.replace("'", ""), special_only=False) + "]")
+    return (
+        F.when(kind == 1, F.when(has(TIGHT) & ~has(WIDE) & F.coalesce(after.rlike(r"^\p{N}"), F.lit(False)), "!9").otherwise("!"))
+        .when(kind == 3, F.when(has(COLON), '":').when(has(BEGINS), '"o').otherwise('"m')).when(kind == 4, F.when(has(BEGINS), ")o").otherwise(")m")).when(kind == 5, "_")
+        .when(kind == 2, F.when(has(BEGINS), "…o").when(F.coalesce(F.rlike(after, F.concat(F.lit(r"^(\p{Lu}|"), quote, F.lit(")"))), F.lit(False)), "…u"))
+    )
 
 
 class Model:
     """The n-gram model: classes of known words, P(class | event), and per word before P(event) and P(class | none)."""
 
-    def __init__(self, known: dict[str, int], after_event: dict[str, np.ndarray], before: dict[str, tuple[float, np.ndarray]]):
+    def __init__(self, known: dict[str, int], after_event: dict[str, np.ndarray], before: dict[str, tuple[float, np.ndarray]], plain: str = ""):
         self.known, self.after_event, self.before = known, after_event, before
+        self.plain = plain  # scripts in which a space between words alone may end a sentence
+        self.memo: dict[tuple, float] = {}
 
     def class_of(self, token: str | None) -> int:
         if token is None:
@@ -349,21 +570,26 @@ class Model:
         if token == ITEM:
             return OPENS
         c = shape_class(token)
-        if c == QUOTE:
+        if c == QUOTE or token[0] in ",;:，、،；；":
             return c
         return self.known.get(token, c)
 
     def posterior(self, script: str, pair: str, word: str, token: str | None) -> float:
         c = self.class_of(token)
         word = script + word
-        got = pair and self.before.get(script + pair) or self.before.get(word) or self.before.get(shape(word)) or self.before[script + "<>"]
+        if word[1:2] == "~":
+            got = self.before.get(word) or self.before[script + "~"]
+            yes = got[0] * self.after_event[script][c]
+            return yes / (yes + (1 - got[0]) * got[1][c])
+        got = pair and self.before.get(script + pair) or self.before.get(word)
+        if got is None:
+            got = self.before.get(shape(word)) or self.before[script + "<>"]
+            if ordinary(word):  # a word too rare to be known
+                got = max(got[0], ORDINARY), got[1]
         yes = got[0] * self.after_event[script][c]
         return yes / (yes + (1 - got[0]) * got[1][c])
 
 
-SCRIPTS = "cow"
-
-
 def _fixed() -> np.ndarray:
     fixed = np.zeros(CLASSES)
     for c, p in _RARE_INSIDE.items():
@@ -382,7 +608,7 @@ def _normal(after: np.ndarray, script: str) -> np.ndarray:
     return after / after.sum()
 
 
-def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray, strength: float, rounds: int = 60, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray, strength: float | np.ndarray, rounds: int = 60, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM for rows of class counts: P(event) and P(class | no event) of each row, and P(class | event)."""
     fixed = _fixed()
     free = fixed == 0
@@ -406,19 +632,49 @@ def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """Counts over all texts (distributed), then EM over the bounded table of known words (driver)."""
+    """The model of a corpus; see trained()."""
+    return trained(docs, extracted(docs, text), text)
+
+
+def extracted(docs: DataFrame, text: str, key: str | None = None, plain: str = "") -> DataFrame:
+    """(id, lists of PLACES) of all texts; written by whoever uses it twice."""
+    kind = "int" if key is None else docs.schema[key].dataType.simpleString()
+    id_ = F.lit(0).alias("id") if key is None else F.col(key).alias("id")
+    return docs.select(id_, F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(lambda b: _extracting(b, plain), f"id {kind}, {PLACES}")
+
+
+def trained(docs: DataFrame, found: DataFrame, text: str) -> Model:
+    """Counts over all texts (native aggregates over the extracted places), then EM over the bounded table of known words (driver)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    raw = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).mapInArrow(_counting, "kind string, a string, b string, n long")
-    counts = scratch.stage(raw.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    tokens = docs.select(F.explode(F.split(F.col(text).cast("string"), r"(?U)\s+")).alias("a")).where("a <> ''").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    tokens = tokens.mapInArrow(_keyed, "kind string, a string, b string, n long")
+    heads = found.select(F.explode("b_head").alias("a")).where("a is not null").select(F.lit("i").alias("kind"), "a", F.lit("").alias("b"))
+    ends = found.select(F.explode("b_marked").alias("m")).select(F.lit("e").alias("kind"), F.substring(F.lit(SCRIPTS), F.shiftright("m", 1) + 1, F.lit(1)).alias("a"), (F.col("m") % 2).cast("string").alias("b"))
+    spots = found.select(F.explode(F.arrays_zip("p_flags", "p_word", "p_pair", "p_after")).alias("p")).select("p.*")
+    kind, script = F.col("p_flags").bitwiseAND(7), F.substring(F.lit(SCRIPTS), F.shiftright("p_flags", 3).bitwiseAND(3) + 1, F.lit(1))
+    after, row = F.coalesce("p_after", F.lit("")), _feature_column()
+    weak = kind.isin(0, 2, 6) & ((F.col("p_flags").bitwiseAND(TIGHT) == 0) | (script == "w"))
+    cell = lambda k, a, b: F.struct(F.lit(k).alias("kind"), a.alias("a"), b.alias("b"))
+    cells = F.array(
+        F.when(kind == 1, cell("s", script, after)), F.when((kind == 1) & (after != ""), cell("i", after, F.lit(""))), F.when(weak, cell("p", F.concat(script, "p_word"), after)),
+        F.when(weak & F.col("p_pair").isNotNull(), cell("p", F.concat(script, "p_pair"), after)), F.when(row.isNotNull(), cell("f", F.concat(script, row), after)),
+    )
+    local = heads.unionByName(ends).unionByName(spots.select(F.inline(F.array_compact(cells)))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.stage(local.unionByName(tokens).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     words = counts.where("kind in ('t', 'i')").groupBy("a").agg(F.sum(F.expr("if(kind = 't', n, 0)")).alias("t"), F.sum(F.expr("if(kind = 'i', n, 0)")).alias("i"))
     every = counts.groupBy("kind").agg(F.sum("n").alias("n"))
-    size = {r["kind"]: r["n"] for r in every.collect()}  # at most four rows
+    size = {r["kind"]: r["n"] for r in every.collect()}  # one row a kind
+    marked: Counter = Counter()
+    for r in counts.where("kind = 'e'").collect():  # two rows a script
+        marked[r["a"], r["b"]] += r["n"]
+    # Thai's spaces are places in any case
+    plain = "".join(x for x in SCRIPTS if x != "t" and marked[x, "0"] and marked[x, "0"] >= UNMARKED * (marked[x, "0"] + marked[x, "1"]))
     least = max(LEAST, int(size.get("t", 0) * SHARE))
     base = size.get("i", 0) / max(1, size.get("t", 1))
     known: dict[str, int] = {}
     for r in words.where(F.col("t") >= least).toLocalIterator():  # at most 1 / SHARE words
-        if r["t"] < FEW and r["i"] < 2:
+        if r["t"] < FEW and r["i"] < 2 or r["a"].endswith(LONG_WORD):
             continue  # too few to tell a word that never opens a sentence
         share = (r["i"] + 0.5 * base) / (r["t"] + 0.5) / max(base, 1e-9)
         c = OPENS if share > 3 else OFTEN if share > 1 else SELDOM if share > 0.2 else MID
@@ -430,26 +686,31 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         for batch in batches:
             out: Counter = Counter()
             for kind, a, b, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if kind in "ti":  # words at large and at beginnings, by the script of their first letter
+                    m = _LETTER_AHEAD.search(a)
+                    a, b = script_of(m.group()) if m else "c", a
                 out[kind, a, str(model.class_of(b or None))] += n
             if out:
                 yield _rows(out)
 
     # only pairs whose first word is frequent keep it; the others are counted under its shape
-    pairs = counts.where("kind = 'p' or kind = 's'").mapInArrow(classed, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    pairs = scratch.stage(counts.where("kind <> 'e'").mapInArrow(classed, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     per_word = pairs.where("kind = 'p'").groupBy("a").agg(F.sum("n").alias("m"))
     shaped = pairs.join(per_word.where(F.col("m") >= least).select("a", F.lit(True).alias("often")), "a", "left")
     tables: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
     shapes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
-    sure = {x: np.full(CLASSES, 0.5) for x in SCRIPTS}
+    features: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
+    sure, inside, opening = ({x: np.full(CLASSES, 0.5) for x in SCRIPTS} for _ in range(3))
     seldom = shaped.where("kind = 'p' and often is null and instr(a, ' ') = 0").select("a", "b", "n").mapInArrow(_to_shapes, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    for r in shaped.where("kind = 's' or often").select("kind", "a", "b", "n").toLocalIterator():
-        if r["kind"] == "s":
-            sure[r["a"]][int(r["b"])] += r["n"]
-        else:
-            tables[r["a"]][int(r["b"])] += r["n"]
+    for r in shaped.where("kind <> 'p' or often").select("kind", "a", "b", "n").toLocalIterator():  # bounded: classes, features, frequent words
+        {"s": sure, "f": features, "p": tables, "t": inside, "i": opening}[r["kind"]][r["a"]][int(r["b"])] += r["n"]
     for r in seldom.toLocalIterator():
         shapes[r["a"]][int(r["b"])] += r["n"]
-    return estimate(known, sure, dict(tables), dict(shapes))
+    for x in SCRIPTS:
+        inside[x] = np.maximum(inside[x] - opening[x], 0.5)
+        if x in plain or not sure[x].sum() > opening[x].sum() / 10:
+            sure[x] = opening[x]  # where few marks tell how sentences begin, the blocks do
+    return estimate(known, sure, inside, dict(tables), dict(shapes), dict(features), plain)
 
 
 def _to_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,21 +723,33 @@ def _settled(rate: float) -> float:
     return float(max(rate, 0.99) if rate > 0.75 else min(rate, 0.01) if rate < 0.03 else rate)
 
 
-def estimate(known: dict[str, int], sure: dict[str, np.ndarray], tables: dict[str, np.ndarray], shapes: dict[str, np.ndarray]) -> Model:
-    """The model from class counts: after sure events by script, and after places by word and by shape."""
+def _feature_rates(rows: np.ndarray, after: np.ndarray, inside: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """EM for P(event) of each row, where what follows an event and what stands inside sentences are known."""
+    total = rows.sum(1)
+    strength, rate = 4.0 + weight * total, prior
+    for _ in range(rounds):
+        yes = rate[:, None] * after
+        events = (rows * yes / (yes + (1 - rate[:, None]) * inside)).sum(1)
+        rate = (events + strength * prior) / (total + strength)
+    return rate
+
+
+def estimate(known: dict[str, int], sure: dict[str, np.ndarray], inside: dict[str, np.ndarray], tables: dict[str, np.ndarray], shapes: dict[str, np.ndarray], features: dict[str, np.ndarray], plain: str = "") -> Model:
+    """The model from class counts: after sure events by script, and after places by word, by shape and by feature."""
     before: dict[str, tuple[float, np.ndarray]] = {}
     after_event: dict[str, np.ndarray] = {}
     for x in SCRIPTS:
-        for name in [x + "<>", *{shape(w) for w in tables if w[0] == x and " " not in w}]:
+        spaced = lambda w: w[1:2] == "~"  # noqa: E731  (spaces between words alone)
+        for name in [x + "<>", *{shape(w) for w in tables if w[0] == x and " " not in w and not spaced(w)}]:
             shapes.setdefault(name, np.zeros(CLASSES))
-        names = sorted(n for n in shapes if n[0] == x)
-        every = sorted(w for w in tables if w[0] == x)
+        names = sorted(n for n in shapes if n[0] == x and not spaced(n))
+        every = sorted(w for w in tables if w[0] == x and not spaced(w))
         words, pairs = [w for w in every if " " not in w], [w for w in every if " " in w]
         rows = np.array([shapes[n] for n in names] + [tables[w] for w in words])
         rate, none, after = _mixture(rows, sure[x], x, np.full(len(rows), 0.6), 4.0)
         back = dict(zip(names, rate))
         # most words of some length are ordinary ones; an abbreviation has to show it by what follows
-        usual = lambda w: max(back[shape(w)], 0.9) if len(w) > 3 and w[1:].isalpha() else back[shape(w)]
+        usual = lambda w: max(back[shape(w)], ORDINARY) if ordinary(w) else back[shape(w)]
         rate, none, after = _mixture(rows, sure[x], x, np.array([back[n] for n in names] + [usual(w) for w in words]), 4.0)
         after_event[x] = after
         alone = dict(zip(names + words, rate))
@@ -485,90 +758,102 @@ def estimate(known: dict[str, int], sure: dict[str, np.ndarray], tables: dict[st
             last = [x + p.rsplit(" ", 1)[1] for p in pairs]
             rate, none, _ = _mixture(np.array([tables[p] for p in pairs]), sure[x], x, np.array([alone.get(w, alone.get(shape(w), 0.6)) for w in last]), 4.0)
             before |= {p: (_settled(rate[i]), none[i]) for i, p in enumerate(pairs)}
-    return Model(known, after_event, before)
+        # features: the counts move the prior; without an event a sentence goes on as sentences do inside
+        kinds = list(PRIORS)
+        rows = np.array([features.get(x + k, np.zeros(CLASSES)) for k in kinds])
+        goes_on = inside[x] / inside[x].sum()
+        goes_on = np.maximum(np.where(np.arange(CLASSES) == END, _RARE_INSIDE[END], goes_on), 1e-3)
+        goes_on /= goes_on.sum()
+        rate = _feature_rates(rows, after, goes_on, *np.array([PRIORS[k] for k in kinds]).T)
+        before |= {x + "<" + k: (float(rate[i]), goes_on) for i, k in enumerate(kinds)}
+        if x in plain:  # spaces between words: nothing is known but how sentences begin
+            gaps = sorted(w for w in [*tables, *shapes] if w[0] == x and spaced(w))
+            rows = np.array([tables.get(w, shapes.get(w)) for w in gaps] + [sum((tables.get(w, shapes.get(w)) for w in gaps), np.zeros(CLASSES))])
+            rate, none, _ = _mixture(rows, sure[x], x, np.full(len(rows), 0.1), 4.0, learn=False)
+            before |= {w: (float(rate[i]), none[i]) for i, w in enumerate([*gaps, x + "~"])}
+    return Model(known, after_event, before, plain)
 
 
 # ---------------------------------------------------------------- deciding
 
-def _event(p: Place, model: Model, opens: bool) -> float:
-    """P(event) at a place if the sentence at hand does (`opens`) or doesn't begin with what stands right before it."""
-    c = model.class_of(p.after)
-    goes_on = p.after is not None and (p.after[0].islower() or p.after[0] in ",;:，、،；；")
-    if p.kind == "thai":
-        return 0.99
-    if p.after is None:
+def _event(flags: int, word: str, pair: str | None, after: str | None, model: Model, second: bool = False) -> float:
+    """P(event) at a place, if what its flags say of its beginning (of the second case, after a marker) holds."""
+    name = feature(flags, after, second)
+    script = SCRIPTS[flags >> 3 & 3]
+    if after is None:
         return 1.0
-    if p.opened is not None:
-        if goes_on:
-            return 0.01
-        if p.kind == "bracket":
-            return 0.95 if opens else 0.05
-        if opens and not p.colon:
-            # a quotation that opens the sentence: the words that say who speaks follow
-            return 0.05
-        if p.colon:
-            return 0.98
-        return 0.9 if c in (OPENS, OFTEN, QUOTE, UPPER, CASELESS, SELDOM) else 0.2
-    if p.kind == "strong":
-        if goes_on:
-            return 0.02
-        if p.tight and p.after[0].isdigit() and not p.wide:
-            return 0.3
-        return 0.98
-    if p.kind == "dot" and p.tight:
-        # a full stop without a space: inside numbers, names and addresses, unless an ordinary word ends and one that opens sentences begins
-        word = p.word.rsplit(".", 1)[-1]
-        if p.wide:
-            return 0.05 if p.after[0].isdigit() and p.word[-2:-1].isdigit() else 0.98
-        if len(word) < 3 or not word[-1].isalpha() or not (p.after[0].isupper() or c in (OPENS, QUOTE)) or "@" in word or "/" in word:
-            return 0.01 if not (p.word and c == QUOTE and word[-1:].isalpha()) else 0.7
-        return model.posterior(p.script, p.pair, p.word, p.after) * (0.9 if c in (OPENS, OFTEN, QUOTE) else 0.5)
-    if p.listed and opens:
-        return 0.01
-    if p.kind == "pause" and (goes_on or opens):
+    if name is not None:
+        return model.posterior(script, "", "<" + name, after)
+    if flags & 7 == 0 and flags & TIGHT:
+        # a full stop without a space stands inside a token (number, name, address), unless an ordinary word ends and one that opens sentences begins
+        last, c = word.rsplit(".", 1)[-1], model.class_of(after)
+        if flags & WIDE:
+            return 0.05 if after[0].isdigit() and word[-2:-1].isdigit() else 0.98
+        if len(last) < 3 or not last[-1].isalpha() or not (after[0].isupper() or c in (OPENS, QUOTE)) or "@" in last or "/" in last:
+            return 0.01 if not (word and c == QUOTE and last[-1:].isalpha()) else 0.7
+        return model.posterior(script, pair or "", word, after) * (0.9 if c in (OPENS, OFTEN, QUOTE) else 0.5)
+    if flags & LISTED and flags & (BEGINS2 if second else BEGINS):
         return 0.01
-    if p.kind == "pause" and (p.after[0].isupper() or c == QUOTE):
-        return max(0.6, model.posterior(p.script, p.pair, p.word, p.after))  # dots not at the beginning, then a capital or quotation
-    return model.posterior(p.script, p.pair, p.word, p.after)
+    return model.posterior(script, pair or "", word, after)
 
 
-def posteriors(block: str, found: list[Place], model: Model) -> list[float]:
-    """P(boundary) at each place by forward-backward over (event, no event) at the place before."""
-    n = len(found)
-    moves = []  # per place: P(event | no event before), P(event | event before), factor of no event before
-    for i, p in enumerate(found):
-        last_end = found[i - 1].end if i else 0
-        alone = 1.0
-        if p.opened is not None and p.opened >= 0:
-            lead = block[last_end : p.opened] if p.opened >= last_end else None
-            begins = lead is not None and not any(ch.isalnum() for ch in _strip_marker(lead))
-            if block[p.opened] in _BRACKETS:
-                p.kind = "bracket"
-                if begins and len(_TOKEN.findall(block, p.opened, p.end)) > 2 or p.script == "w" and p.end - p.opened > 6:
-                    alone = 0.1  # a sentence in brackets seldom stands inside another
-        elif p.opened is not None:  # the text begins inside this quotation
-            begins = False
-            p.colon = not block[: p.end].rstrip(_CLOSERS + " \xa0").endswith(("?", "？", "؟"))
-        elif p.kind == "pause":  # a pause after the first words of a sentence
-            lead = block[last_end : p.end]
-            begins = len(lead.strip(" .…‥。")) < 5 if p.script == "w" else len(_TOKEN.findall(lead)) < 3
-        else:
-            begins = p.listed and not any(ch.isalnum() for ch in block[last_end : p.end - 1 - len(_word_before(block, p.end - 1))])
-        yes = _event(p, model, True) if begins else None
-        no = _event(p, model, False)
-        moves.append((no, no if yes is None else yes, alone))
-    # forward-backward over (no event, event) at the place before; the block begins with a boundary
-    steps = []
-    for i, (no, yes, alone) in enumerate(moves):
-        short = ONE_WORD if i and found[i].script != "w" and len(block[found[i - 1].end : found[i].end].split()) < 2 else 1.0
+def _known_event(flags: int, word: str, pair: str | None, after: str | None, model: Model, second: bool = False) -> float:
+    key = flags, word, pair, after, second
+    got = model.memo.get(key)
+    if got is None:
+        if len(model.memo) >= FLUSH:
+            model.memo.clear()
+        got = model.memo[key] = _event(flags, word, pair, after, model, second)
+    return got
+
+
+_NOT_BEGUN = ~(BEGINS | BEGINS2)
+
+
+def ends(lists: tuple[list, ...], model: Model, least: float = 0.5) -> Iterator[tuple[int, int]]:
+    """(start, end) of each sentence of a text, from its PLACES."""
+    b_start, b_end, b_places, _, _, p_end, p_next, p_flags, p_word, p_pair, p_after = lists
+    at = 0
+    for start, stop, count in zip(b_start, b_end, b_places):
+        if count:
+            # the marks of list items that open a block or follow an event belong to the sentence after
+            kept: list[tuple[int, bool]] = []
+            for k in range(at, at + count):
+                f = p_flags[k]
+                after_marker = k > at and (not kept or kept[-1][0] != k - 1)
+                if f & LISTED and f & (BEGINS2 if after_marker else BEGINS) and p_after[k] is not None:
+                    last = kept[-1][0] if kept else None
+                    if last is None or max(_known_event(g, p_word[last], p_pair[last], p_after[last], model, kept[-1][1]) for g in {p_flags[last], p_flags[last] & _NOT_BEGUN}) > 0.5:
+                        continue
+                kept.append((k, after_marker))
+            for k, q in zip(kept, _posteriors(kept, lists, model)):
+                if q > least:
+                    end = p_end[k[0]]
+                    if end > start:
+                        yield start, end
+                    start = max(start, p_next[k[0]])
+            at += count
+        if stop > start:
+            yield start, stop
+
+
+def _posteriors(kept: list[tuple[int, bool]], lists: tuple[list, ...], model: Model) -> list[float]:
+    """P(boundary) at each place by forward-backward over (no event, event) at the place before; a block begins with a boundary."""
+    p_flags, p_word, p_pair, p_after = lists[7:11]
+    forward, steps = [(0.0, 1.0)], []
+    for n, (k, second) in enumerate(kept):
+        f = p_flags[k]
+        no = yes = _known_event(f & _NOT_BEGUN, p_word[k], p_pair[k], p_after[k], model)
+        if f & (BEGINS2 if second else BEGINS):
+            yes = _known_event(f, p_word[k], p_pair[k], p_after[k], model, second)
+        alone = 0.1 if f & (LONE2 if second else LONE) else 1.0
+        short = ONE_WORD if n and f & (SHORT2 if second else SHORT) else 1.0
         steps.append((((1 - no) * alone, no * alone), (1 - yes, yes * short)))
-    forward = [(0.0, 1.0)]
-    for step in steps:
         a, b = forward[-1]
-        x, y = a * step[0][0] + b * step[1][0], a * step[0][1] + b * step[1][1]
+        x, y = a * steps[-1][0][0] + b * steps[-1][1][0], a * steps[-1][0][1] + b * steps[-1][1][1]
         forward.append((x / (x + y), y / (x + y)))
-    out, back = [0.0] * n, (1.0, 1.0)
-    for i in range(n - 1, -1, -1):
+    out, back = [0.0] * len(kept), (1.0, 1.0)
+    for i in range(len(kept) - 1, -1, -1):
         x, y = forward[i + 1][0] * back[0], forward[i + 1][1] * back[1]
         out[i] = y / (x + y)
         step = steps[i]
@@ -577,18 +862,6 @@ def posteriors(block: str, found: list[Place], model: Model) -> list[float]:
     return out
 
 
-def _without_markers(block: str, found: list[Place], model: Model) -> list[Place]:
-    """Leaves out the marks of list items that open a block or follow an event: they belong to the sentence after."""
-    out: list[Place] = []
-    for p in found:
-        last_end = out[-1].end if out else 0
-        if p.listed and p.opened is None and not any(ch.isalnum() for ch in block[last_end : p.end - 1 - len(_word_before(block, p.end - 1))]):
-            if p.after is not None and (not out or _event(out[-1], model, False) > 0.5):
-                continue
-        out.append(p)
-    return out
-
-
 def _strip_marker(lead: str) -> str:
     """What stands before a quotation, without the number, letter or dash of a list item."""
     return regex.sub(r"^\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p{L})[.)）]|[-–—•*])\s*", "", lead)
@@ -596,44 +869,40 @@ def _strip_marker(lead: str) -> str:
 
 def split(text: str | None, model: Model, least: float = 0.5) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without white space around it."""
-    out: list[tuple[int, int]] = []
-    if not text:
-        return out
-    for n, (offset, block) in enumerate(blocks(text)):
-        found = _without_markers(block, places(block, n == 0), model)
-        at = 0
-        ends = [p.end for p, q in zip(found, posteriors(block, found, model)) if q > least]
-        for end in [*ends, len(block)]:
-            piece = block[at:end]
-            bare = piece.strip()
-            if bare:
-                start = at + len(piece) - len(piece.lstrip())
-                out.append((offset + start, offset + start + len(bare)))
-            at = max(at, end)
-    return out
+    lists = extract(text, model.plain)
+    return [] if lists is None else list(ends(lists, model, least))
+
+
+def _deciding(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            rows, begins, stops = [], [], []
+            columns = [c.to_pylist() for c in part.columns[1:]]
+            for i, lists in enumerate(zip(*columns)):
+                for a, b in ends(lists, model):
+                    rows.append(i)
+                    begins.append(a)
+                    stops.append(b)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "start_pos", "end_pos"])
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos), one row per sentence, in code points from 0, end exclusive.
 
     Together a text's sentences hold all of it but white space. Null, empty and blank texts have none; a text without
-    any mark is one sentence per block. Repeated rows give their sentences again. The model is trained on all of
-    `docs` unless one is given; its size is bounded by SHARE.
+    any mark is one sentence per block, unless its script is unpunctuated. Repeated rows give their sentences again.
+    The model is trained on all of `docs` unless one is given; its size is bounded by SHARE.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text))
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                rows, begins, ends = [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    for a, b in split(t, lm):
-                        rows.append(i)
-                        begins.append(a)
-                        ends.append(b)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start_pos", "end_pos"])
-
-    return docs.select(F.col(key), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, start_pos long, end_pos long")
+    found = extracted(docs, text, key, model.plain if model else "")
+    if model is None:
+        scratch = Scratch(docs.sparkSession)
+        found = scratch.stage(found)
+        model = trained(docs, found, text)
+        if model.plain:  # spaces between words are places too: they are counted, and decided, with them
+            plain = model.plain
+            found = scratch.stage(extracted(docs, text, key, plain))
+            model = trained(docs, found, text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return found.mapInArrow(lambda b: _deciding(b, shared.value), f"doc_id {kind}, start_pos long, end_pos long")

@@ -275,6 +275,67 @@ def test_sentences_hold_all_of_the_text(model, text):
     assert not "".join(rest).strip()
 
 
+def test_long_texts_and_quotations(model):
+    quoted = "Kasenne said: “" + "The engine is narrow. " * 60 + "The riv"
+    assert [quoted[a:b] for a, b in S.split(quoted, model)] == [quoted]  # a quotation cut by the text's end, of any length
+    begun = "The garden is not. " * 60 + "It is.” The map saw the road."
+    assert [begun[a:b] for a, b in S.split(begun, model)] == [begun[: begun.index("”") + 1], "The map saw the road."]
+    single = "Kasenne said: ‘The river is cold. The road isn’t.’ The map saw the lamp’s road."
+    assert [single[a:b] for a, b in S.split(single, model)] == ["Kasenne said: ‘The river is cold. The road isn’t.’", "The map saw the lamp’s road."]
+    word = "x" * 200_000
+    assert [b - a for a, b in S.split(f"The {word} saw the lamp. The bell saw {word}. The map.", model)] == [200_018, 200_014, 8]
+    assert S.split("a." * 50_000, model) == [(0, 100_000)]
+
+
+HELD_OUT = [
+    ["Brunhild opened a bakery in Quezon.", "Her cousin Ptolemy disagreed!", "Would anyone pay 3.75 for bread?", "The oven, built in 1911, still works."],
+    ["Xaver kaufte 2,5 Liter Milch.", "Die Nachbarin lachte laut!", "Warum regnet es hier immer?", "Niemand wusste eine Antwort."],
+    ["Zélie cultive des tomates.", "Le voisin préfère les 12.5 hectares de vigne !", "Qui arrose le potager ?", "La pluie tombe enfin."],
+    ["Ксения печёт хлеб.", "Сосед выпил 1.5 литра чая!", "Кто закрыл калитку?", "Снег растаял утром."],
+    ["太郎在厨房做饭。", "邻居喝了1.5升茶！", "谁关上了大门？", "雪在早上融化了。"],
+    ["नीलम रोटी बनाती है।", "पड़ोसी ने 1.5 लीटर चाय पी!", "दरवाज़ा किसने बंद किया?", "सुबह बर्फ़ पिघल गई।"],
+    ["ยายทำขนมปังในครัว", "เพื่อนบ้านดื่มชา 1.5 ลิตร", "หิมะละลายตอนเช้า"],
+]
+
+
+def test_held_out_words_and_names(model):
+    """Sentences of words and names that the corpus lacks; in half of the texts the last mark is gone."""
+    right = made = wanted = 0
+    r = random.Random(9)
+    for sentences in HELD_OUT:
+        for turn in range(24):
+            parts = r.sample(sentences, len(sentences))
+            if turn % 2:
+                parts[-1] = parts[-1].rstrip(".!?。！？। ")
+            glue = "" if "。" in "".join(sentences) else " "
+            text, want, at = glue.join(parts), set(), 0
+            for x in parts:
+                want.add((at, at + len(x)))
+                at += len(x) + len(glue)
+            got = set(S.split(text, model))
+            right, made, wanted = right + len(want & got), made + len(got), wanted + len(want)
+    print(right, made, wanted)
+    assert right >= 0.95 * made and right >= 0.95 * wanted
+
+
+def test_a_script_without_marks(spark):
+    """No mark anywhere: blocks tell how sentences begin and end, and the model cuts the others between words."""
+    r = random.Random(3)
+    name = lambda: "".join(r.choice("bdklmnr") + r.choice("aeiou") for _ in range(3))
+    sentence = lambda: f"{r.choice(['then', 'yesterday', 'later', 'now'])} {name()} {r.choice(['saw', 'found', 'lost'])} the {r.choice(['old', 'narrow', 'blue'])} {r.choice(['lamp', 'river', 'road', 'bell'])}"
+    texts, want = [], {}
+    for i in range(3000):
+        parts = [sentence() for _ in range(1 if i % 3 else r.randrange(2, 6))]
+        texts.append((i, " ".join(parts)))
+        want[i] = parts
+    got: dict[int, list[str]] = {}
+    for x in S.sentences(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "start_pos").collect():
+        got.setdefault(x["doc_id"], []).append(texts[x["doc_id"]][1][x["start_pos"] : x["end_pos"]])
+    hits = sum(len(set(want[i]) & set(got[i])) for i in want if i % 3 == 0)
+    assert hits >= 0.9 * sum(len(set(want[i])) for i in want if i % 3 == 0)
+    assert hits >= 0.9 * sum(len(set(got[i])) for i in want if i % 3 == 0)
+
+
 def test_sentences_of_a_frame(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = S.sentences(docs)
