@@ -19,8 +19,8 @@ posterior; the event at one place acts on the next through list markers and quot
 A space between words alone is a place in scripts whose blocks mostly end without any mark (UNMARKED): there sentences
 are not punctuated, and the words before and after decide. Where blocks end with marks such spaces are no places.
 
-Quotations and brackets are matched first: no event lies inside. Places are found once and written; training counts
-them with native aggregates, deciding reads them again without the texts.
+Quotations and brackets are matched first: no event lies inside. Places are found once and written, words as hashes of
+64 bits; training counts them with native aggregates, deciding reads them again, without any text, in whole columns.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,25 +113,17 @@ def _key(token: str) -> str:
     return _DIGITS.sub("0", token.rstrip(".") if token.endswith("..") else token)
 
 
-def _word_before(block: str, at: int) -> str:
-    """The token that ends at a mark; empty in scripts without spaces."""
+def _word_before(block: str, at: int) -> tuple[str, int]:
+    """The token that ends at a mark, and where it begins; empty in scripts without spaces."""
     low = max(0, at - LONG - 1)
-    word = block[low:at]
-    cut = _BREAKS.search(word)
-    if cut:
-        word = word[cut.end() :]
-    elif len(word) > LONG:
-        return "" if _WIDE.match(word[-1]) else LONG_WORD
+    cut = _BREAKS.search(block, low, at)
+    start = cut.end() if cut else low
+    word = block[start:at]
+    if not cut and at - low > LONG:
+        return "" if _WIDE.match(word[-1]) else LONG_WORD, at - LONG
     if word and not word.isascii() and _WIDE.match(word[-1]):
-        return ""
-    return word if word.isalpha() else _DIGITS.sub("0", word)
-
-
-def _word_length(block: str, at: int) -> int:
-    """How far the token before a mark reaches back, LONG at most."""
-    word = block[max(0, at - LONG) : at]
-    cut = _BREAKS.search(word)
-    return len(word) - cut.end() if cut else len(word)
+        return "", start
+    return word if word.isalpha() else _DIGITS.sub("0", word), start
 
 
 def _pair(block: str, at: int, word: str) -> str:
@@ -146,44 +139,49 @@ def _pair(block: str, at: int, word: str) -> str:
     return f"{'0' if before.isdigit() else before} {word}" if before else ""
 
 
-def _word_after(block: str, at: int) -> str | None:
-    """The token that follows a place, None at the end; two characters in scripts without spaces."""
-    if _ITEM.match(block, at):
-        return ITEM
-    at = _SPACE.match(block, at).end()
-    if at >= len(block):
-        return None
-    while at < len(block) - 1 and block[at] in "¿¡":
+def _word_after(block: str, at: int) -> tuple[str | None, int]:
+    """The token that follows a place (None at the end; two characters in scripts without spaces), and where it begins."""
+    begin, size = at, len(block)
+    while at < size and block[at].isspace():
+        at += 1
+    if at >= size:
+        return None, at
+    if at > begin and (block.find("\n", begin, at) >= 0 or block.find("\r", begin, at) >= 0) and _ITEM.match(block, begin):
+        return ITEM, at
+    start = at
+    while at < size - 1 and block[at] in "¿¡":
         at += 1
-    if _WIDE.match(block[at]):
-        return block[at : at + 2]
+    c = block[at]
+    if c >= "\u3040" and _WIDE.match(c):
+        return block[at : at + 2], start
     m = _SHORT_TOKEN.match(block, at)
     if m is None:
-        return block[at]
+        return c, start
+    if c in _OPENING and c != "'":
+        return c, start
     token = m.group()
-    if token[0] in _OPENING and token[0] not in "'":
-        return token[0]
-    return _key(token) or token[0]
-
-
-def shape(word: str) -> str:
-    """What an unknown word (with its script before it) backs off to."""
-    script, word = word[0], word[1:]
-    if word[:1] == "~":
-        return script + "~"
-    if not word or word == script:
-        return script + "<>"
-    if "0" in word and not any(c.isalpha() for c in word[:-1]):
-        return script + "<0>"
-    size = "1" if len(word) == 1 else "2" if len(word) == 2 else "3"
-    inner = "." if "." in word else ""
+    return _key(token) or c, start
+
+
+#: Kinds of shape: nothing, a number, and 18 of words by their first letter's case, length and inner full stops.
+SHAPES = 20
+
+
+def shape(word: str) -> int:
+    """What an unknown word before a place backs off to."""
+    if not word:
+        return 0
+    if "0" in word and not any(c.isalpha() for c in word):
+        return 1
+    size = min(len(word), 3) - 1
     first = next((c for c in word if c.isalpha()), "")
-    return f"{script}<{'U' if first.isupper() else 'l' if first.islower() else 'o'}{size}{inner}>"
+    case = 0 if first.isupper() else 1 if first.islower() else 2
+    return 2 + case * 6 + size * 2 + ("." in word)
 
 
 def ordinary(word: str) -> bool:
-    """Whether a word, with its script before it, has the length of words that are no abbreviations."""
-    return len(word) > 3 and word[1:].isalpha()
+    """Whether a word has the length of words that are no abbreviations."""
+    return len(word) > 2 and word.isalpha()
 
 
 def shape_class(token: str | None) -> int:
@@ -204,10 +202,10 @@ def shape_class(token: str | None) -> int:
 class Place:
     """A place in a block where a sentence may end."""
 
-    __slots__ = ("end", "word", "after", "kind", "opened", "listed", "tight", "colon", "script", "wide", "pair", "marker")
+    __slots__ = ("end", "word", "after", "next", "kind", "opened", "listed", "tight", "colon", "script", "wide", "pair", "marker")
 
-    def __init__(self, end: int, word: str, after: str | None, kind: str):
-        self.end, self.word, self.after, self.kind = end, word, after, kind
+    def __init__(self, end: int, word: str, after: str | None, following: int, kind: str):
+        self.end, self.word, self.after, self.next, self.kind = end, word, after, following, kind
         self.opened: int | None = None  # where the quotation or bracket that closes here was opened
         self.listed = False  # may be the mark of a list item, if a sentence begins right before it
         self.marker = 0  # where that list item's marker begins
@@ -290,24 +288,28 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
     pairs = _pairs(block, first, final) if _QUOTES.search(block) else []
     found: list[Place] = []
     k, inside = 0, []
-    seen, script = 0, "c"
+    seen, script, size = 0, "c", len(block)
     for m in _PLACE.finditer(block):
         c, at, end = m.group(), m.start(), m.end()
         thai = c == " "
         if not thai and c[0] not in STRONG and c[0] not in WEAK:
             continue
-        while k < len(pairs) and pairs[k][0] < at:
-            inside.append(pairs[k])
-            k += 1
-        if inside:
-            inside = [p for p in inside if p[1] >= at]
-        around = sorted((p for p in inside if p[1] < len(block) or p[0] >= 0), key=lambda p: p[1]) if inside else []
+        around = []
+        if pairs:
+            while k < len(pairs) and pairs[k][0] < at:
+                inside.append(pairs[k])
+                k += 1
+            if inside:
+                inside = [p for p in inside if p[1] >= at]
+                around = sorted((p for p in inside if p[1] < size or p[0] >= 0), key=lambda p: p[1])
         if thai:
             if not around and _thai(block, at - 1, -1) and _thai(block, end, 1):
-                place = Place(at, "", _word_after(block, end), "thai")
+                place = Place(at, "", *_word_after(block, at), "thai")
                 place.script = "t"
                 found.append(place)
             continue
+        if c == "." and not around and 0 < at < size - 1 and block[at - 1].isdigit() and (block[end].isalnum()):
+            continue  # inside a number, a date or a name: no space between words
         opened = None
         while around or end < len(block) and not block[end].isspace():  # the quotes and brackets that close right after the mark belong to it
             gap = 0
@@ -330,10 +332,8 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
         before = block[at - 1] if at else " "
         script = "c" if "a" <= before <= "z" else _script(block, at, seen, script)
         seen = at
-        word = "<...>" if pause else _word_before(block, at)
-        if not any(x.isalpha() for x in word):
-            word += script
-        place = Place(end, word, _word_after(block, end), "strong" if strong else "pause" if pause else "dot")
+        word, begin = ("<...>", at) if pause else _word_before(block, at)
+        place = Place(end, word, *_word_after(block, end), "strong" if strong else "pause" if pause else "dot")
         if not pause and 0 < len(word) <= 3 and word[-1].isalpha():
             place.pair = _pair(block, at - len(word), word)
         place.tight, place.script, place.wide = tight, script, c[0] in "。｡！？．।॥"
@@ -347,7 +347,7 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
             if opened < 0:  # the text begins inside this quotation
                 place.colon = not block[:end].rstrip(_CLOSERS + " \xa0").endswith(("?", "？", "؟"))
         elif place.kind == "dot":
-            place.marker = at - _word_length(block, at)
+            place.marker = begin
             place.listed = bool(_LIST.match(block[place.marker : at])) and (place.marker == 0 or block[place.marker - 1].isspace())
         found.append(place)
     return _with_plain(block, found, pairs, plain) if plain else found
@@ -367,7 +367,7 @@ def _with_plain(block: str, found: list[Place], pairs: list[tuple[int, int]], pl
             continue
         script = script_of(before)
         if script in plain:
-            place = Place(m.start(), "~" + _word_before(block, m.start()), _word_after(block, m.end()), "plain")
+            place = Place(m.start(), "~" + _word_before(block, m.start())[0], *_word_after(block, m.start()), "plain")
             place.script = script
             out.append(place)
     return sorted(out, key=lambda p: p.end)
@@ -388,9 +388,53 @@ SCRIPTS = "cowt"
 # bits of a place's flags, after 3 for its kind and 2 for its script; the second of two is for the case that the place
 # before turns out to be a list item's marker
 LISTED, TIGHT, COLON, BEGINS, BEGINS2, SHORT, SHORT2, LONE, LONE2, WIDE = (1 << k for k in range(5, 15))
+# of the word before: its last part is a whole word, ends with a letter, ends with a digit before a wide mark; of the word after: capital, digit
+WHOLE, LETTERED, DIGIT_BEFORE, CAPITAL, DIGIT_AFTER, ORDINARY_WORD = (1 << k for k in range(15, 21))
+# then 4 bits for the class that the word after has by its shape, 2 for its script and 5 for the shape of the word before
+CLASS_AT, AFTER_AT, SHAPE_AT = 21, 25, 27
+#: Hashes of no word and of one that is known by its shape only.
+NO_WORD, SHAPE_ONLY = 0, 1
 #: One row for each text with anything but white space.
-PLACES = "b_start array<int>, b_end array<int>, b_places array<int>, b_head array<string>, b_marked array<int>, p_end array<int>, p_next array<int>, p_flags array<int>, p_word array<string>, p_pair array<string>, p_after array<string>"
-_LISTS = pa.schema([(n, pa.list_(pa.int32() if t == "int" else pa.string())) for n, t in regex.findall(r"(\w+) array<(\w+)>", PLACES)])
+PLACES = "b_start array<int>, b_end array<int>, b_places array<int>, b_head array<bigint>, b_info array<int>, p_end array<int>, p_next array<int>, p_flags array<bigint>, p_word array<bigint>, p_pair array<bigint>, p_after array<bigint>"
+_LISTS = pa.schema([(n, pa.list_(pa.int32() if t == "int" else pa.int64())) for n, t in regex.findall(r"(\w+) array<(\w+)>", PLACES)])
+_HASHES: dict[str, int] = {}
+
+
+def hashed(word: str) -> int:
+    got = _HASHES.get(word)
+    if got is None:
+        if len(_HASHES) >= FLUSH:
+            _HASHES.clear()
+        h = xxhash.xxh64_intdigest(word)
+        got = _HASHES[word] = h - (1 << 64) if h >> 63 else h
+    return got
+
+
+@lru_cache(maxsize=FLUSH)
+def _about(token: str | None) -> tuple[int, int]:
+    """(hash, class by its shape and script << 4) of a word after a place."""
+    if token is None:
+        return NO_WORD, END
+    if token == ITEM:
+        return SHAPE_ONLY, OPENS
+    c = shape_class(token)
+    m = _LETTER_AHEAD.search(token)
+    info = c | (SCRIPTS.index(script_of(m.group())) if m else 0) << 4
+    return SHAPE_ONLY if c == QUOTE or token[0] in ",;:，、،；；" or token.endswith(LONG_WORD) else hashed(token), info
+
+
+@lru_cache(maxsize=FLUSH)
+def _about_before(word: str) -> int:
+    """Flags of a word before a place."""
+    last = word.rsplit(".", 1)[-1]
+    f = shape(word) << SHAPE_AT
+    if len(last) > 2 and last[-1].isalpha() and "@" not in last and "/" not in last:
+        f |= WHOLE
+    if last[-1:].isalpha():
+        f |= LETTERED
+    if word[-1:].isdigit():
+        f |= DIGIT_BEFORE
+    return f | ORDINARY_WORD if ordinary(word) else f
 
 
 def _begins(block: str, last_end: int, p: Place) -> bool:
@@ -408,187 +452,181 @@ def _begins(block: str, last_end: int, p: Place) -> bool:
 
 
 def _few(text: str, n: int) -> bool:
-    """Whether a text has fewer than n words; it is not read further than that."""
-    at = 0
-    for _ in range(n):
-        m = _TOKEN.search(text, at)
-        if m is None:
-            return True
-        at = m.end()
-    return False
+    """Whether a text has fewer than n words."""
+    return len(text.split(None, n - 1)) < n
 
 
-def _flags(block: str, found: list[Place]) -> list[int]:
-    out = []
-    for i, p in enumerate(found):
-        f = KINDS.index(p.kind) | SCRIPTS.index(p.script) << 3
-        if p.listed:
-            f |= LISTED
-        if p.tight:
-            f |= TIGHT
-        if p.colon:
-            f |= COLON
-        if p.wide:
-            f |= WIDE
-        last = found[i - 1].end if i else 0
-        before = found[i - 2].end if i > 1 else 0
-        marker = i > 0 and found[i - 1].listed
-        if p.kind in ("quote", "bracket", "pause") or p.listed:
-            # a sentence in brackets seldom stands inside another
-            lone = p.kind == "bracket" and (p.script == "w" and p.end - p.opened > 6 or not _few(block[p.opened : p.end], 3))
-            wide = lone and p.script == "w" and p.end - p.opened > 6
-            if _begins(block, last, p):
-                f |= BEGINS | (LONE if lone else 0)
-            if marker and _begins(block, before, p):
-                f |= BEGINS2 | (LONE2 if lone else 0)
-            if wide:
-                f |= LONE | LONE2
-        if i and p.script != "w":
-            if _few(block[last : p.end], 2):
-                f |= SHORT
-            if i > 1 and marker and _few(block[before : p.end], 2):
-                f |= SHORT2
-        out.append(f)
-    return out
-
-
-def extract(text: str | None, plain: str = "") -> tuple[list, ...] | None:
-    """The lists of PLACES of a text; None if there is nothing but white space."""
-    if not text or text.isspace():
-        return None
-    out: tuple[list, ...] = tuple([] for _ in _LISTS.names)
-    b_start, b_end, b_places, b_head, b_marked, p_end, p_next, p_flags, p_word, p_pair, p_after = out
-    cuts = list(blocks(text))
-    for n, (offset, block) in enumerate(cuts):
-        start = _SPACE.match(block).end()
-        if start == len(block):
-            continue
-        last = len(block.rstrip())
-        found = places(block, n == 0, n == len(cuts) - 1, plain)
-        b_start.append(offset + start)
-        b_end.append(offset + last)
-        b_places.append(len(found))
-        b_head.append(_word_after(block, 0) if n or not text[0].isspace() else None)
-        b_marked.append(SCRIPTS.index(_script(block, last, 0, "c")) << 1 | (found != [] and found[-1].end == last and found[-1].kind not in ("thai", "plain")))
-        for p, f in zip(found, _flags(block, found)):
-            p_end.append(offset + p.end)
-            p_next.append(offset + _SPACE.match(block, p.end).end())
-            p_flags.append(f)
-            p_word.append(p.word)
-            p_pair.append(p.pair or None)
-            p_after.append(p.after)
-    return out
+def _strip_marker(lead: str) -> str:
+    """What stands before a quotation, without the number, letter or dash of a list item."""
+    return _MARKER.sub("", lead) if lead and not lead.isspace() else ""
+
+
+_MARKER = regex.compile(r"^\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p{L})[.)）]|[-–—•*])\s*")
+
+
+def _flags(block: str, found: list[Place], i: int) -> int:
+    p = found[i]
+    f = KINDS.index(p.kind) | SCRIPTS.index(p.script) << 3
+    if p.tight:
+        f |= TIGHT
+    if p.wide:
+        f |= WIDE
+    last = found[i - 1].end if i else 0
+    marker = i > 0 and found[i - 1].listed
+    before = found[i - 2].end if i > 1 else 0
+    if p.listed or p.kind in ("quote", "bracket", "pause"):
+        f |= (LISTED if p.listed else 0) | (COLON if p.colon else 0)
+        # a sentence in brackets seldom stands inside another
+        wide = p.kind == "bracket" and p.script == "w" and p.end - p.opened > 6
+        lone = wide or p.kind == "bracket" and not _few(block[p.opened : p.end], 3)
+        if _begins(block, last, p):
+            f |= BEGINS | (LONE if lone else 0)
+        if marker and _begins(block, before, p):
+            f |= BEGINS2 | (LONE2 if lone else 0)
+        if wide:
+            f |= LONE | LONE2
+    if i and p.script != "w":
+        if _few(block[last : p.end], 2):
+            f |= SHORT
+        if marker and i > 1 and _few(block[before : p.end], 2):
+            f |= SHORT2
+    c = p.after
+    if c is not None:
+        if c[0].isupper():
+            f |= CAPITAL
+        elif c[0].isdigit():
+            f |= DIGIT_AFTER
+    return f
+
+
+class Sink:
+    """The lists of PLACES of many texts, one after the other."""
+
+    def __init__(self):
+        self.lists: tuple[list, ...] = tuple([] for _ in _LISTS.names)
+
+    def add(self, text: str, plain: str) -> tuple[int, int]:
+        """Adds a text that is not all white space; the numbers of its blocks and places."""
+        b_start, b_end, b_places, b_head, b_info, p_end, p_next, p_flags, p_word, p_pair, p_after = self.lists
+        cuts = list(blocks(text))
+        had, known = len(b_start), len(p_end)
+        for n, (offset, block) in enumerate(cuts):
+            head, start = _word_after(block, 0)
+            if head is None:
+                continue
+            last = len(block.rstrip())
+            found = places(block, n == 0, n == len(cuts) - 1, plain)
+            b_start.append(offset + start)
+            b_end.append(offset + last)
+            b_places.append(len(found))
+            h, info = _about(head) if n or not start else (NO_WORD, END)
+            b_head.append(h)
+            script = found[-1].script if found and found[-1].end == last else _script(block, last, 0, "c")
+            marked = found != [] and found[-1].end == last and found[-1].kind not in ("thai", "plain")
+            b_info.append(info | SCRIPTS.index(script) << 6 | marked << 8)
+            for i, p in enumerate(found):
+                h, info = _about(p.after)
+                p_end.append(offset + p.end)
+                p_next.append(offset + p.next)
+                p_flags.append(_flags(block, found, i) | _about_before(p.word) | info << CLASS_AT)
+                p_word.append(hashed(p.script + p.word))
+                p_pair.append(hashed(p.script + p.pair) if p.pair else NO_WORD)
+                p_after.append(h)
+        return len(b_start) - had, len(p_end) - known
 
 
 def _extracting(batches: Iterator[pa.RecordBatch], plain: str) -> Iterator[pa.RecordBatch]:
     """(key, lists of PLACES) of (key, text) rows; texts of white space give no row."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            kept, rows = [], []
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            sink, kept, sizes = Sink(), [], [(0, 0)]
             for i, t in enumerate(part.column(1).to_pylist()):
-                got = extract(t, plain)
-                if got is not None:
+                if t and not t.isspace():
                     kept.append(i)
-                    rows.append(got)
-            columns = []
-            for k, f in enumerate(_LISTS):
-                offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.cumsum([len(r[k]) for r in rows], out=offsets[1:])
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for r in rows for x in r[k]], f.type.value_type)))
+                    sizes.append(sink.add(t, plain))
+            at = np.cumsum(np.array(sizes, dtype=np.int32), axis=0, dtype=np.int32)
+            columns = [pa.ListArray.from_arrays(pa.array(at[:, 0 if f.name[0] == "b" else 1]), pa.array(x, f.type.value_type)) for f, x in zip(_LISTS, sink.lists)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), *columns], names=["id", *_LISTS.names])
 
 
-# ---------------------------------------------------------------- counting
+# ---------------------------------------------------------------- the model
 
-_COUNTS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+FEATURES = list(PRIORS)
 
 
-def _rows(counts: Counter) -> pa.RecordBatch:
-    items = list(counts.items())
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([k[2] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], schema=_COUNTS)
+class Model:
+    """The n-gram model: classes of known words, P(class | event), and per row of what stands before P(event) and P(class | none)."""
 
+    def __init__(self, known: tuple[np.ndarray, np.ndarray], after_event: np.ndarray, rate: np.ndarray, none: np.ndarray, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], plain: str):
+        self.known, self.words, self.pairs = known, words, pairs  # sorted hashes, with classes or rows
+        self.after_event, self.rate, self.none = after_event, rate, none
+        self.plain = plain  # scripts in which a space between words alone may end a sentence
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct raw tokens with their counts, as the model knows them."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not token.isascii() and _WIDE.search(token):
-                for a, b in zip(token, token[1:]):
-                    if _WIDE.match(a):
-                        counts["t", a + b, ""] += n
-            else:
-                counts["t", _key(token), ""] += n
-        if counts:
-            yield _rows(counts)
-
-
-def feature(flags: int, after: str | None, second: bool = False) -> str | None:
-    """The row of the table that a place belongs to; None where the word before it names the row."""
-    kind = KINDS[flags & 7]
-    begins = bool(flags & (BEGINS2 if second else BEGINS))
-    match kind:
-        case "strong":
-            return "!9" if flags & TIGHT and not flags & WIDE and after is not None and after[0].isdigit() else "!"
-        case "quote":
-            return '":' if flags & COLON else '"o' if begins else '"m'
-        case "bracket":
-            return ")o" if begins else ")m"
-        case "thai":
-            return "_"
-        case "pause":
-            if begins:
-                return "…o"
-            return "…u" if after is not None and (after[0].isupper() or shape_class(after) == QUOTE) else None
-    return None
-
-
-def _feature_column():
-    """feature() as a column of flags and after, without the case of a marker before."""
-    kind, after = F.col("p_flags").bitwiseAND(7), F.col("p_after")
-    has = lambda bit: F.col("p_flags").bitwiseAND(bit) != 0
-    quote = F.lit("[" + regex.escape(_OPENING.replace("'", ""), special_only=False) + "]")
-    return (
-        F.when(kind == 1, F.when(has(TIGHT) & ~has(WIDE) & F.coalesce(after.rlike(r"^\p{N}"), F.lit(False)), "!9").otherwise("!"))
-        .when(kind == 3, F.when(has(COLON), '":').when(has(BEGINS), '"o').otherwise('"m')).when(kind == 4, F.when(has(BEGINS), ")o").otherwise(")m")).when(kind == 5, "_")
-        .when(kind == 2, F.when(has(BEGINS), "…o").when(F.coalesce(F.rlike(after, F.concat(F.lit(r"^(\p{Lu}|"), quote, F.lit(")"))), F.lit(False)), "…u"))
-    )
+    def classes(self, after: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        hit, at = _find(after, self.known[0])
+        return np.where(hit, self.known[1][at], flags >> CLASS_AT & 15)
+
+    def events(self, flags: np.ndarray, word: np.ndarray, pair: np.ndarray, after: np.ndarray, second: bool | None) -> np.ndarray:
+        """P(event) at each place: as if nothing began there (None), or as its flags say, for the first or the second case."""
+        c, script, kind = self.classes(after, flags), flags >> 3 & 3, flags & 7
+        begins = np.zeros(len(flags), dtype=bool) if second is None else flags & (BEGINS2 if second else BEGINS) != 0
+        has = lambda bit: flags & bit != 0
+        # rows: shapes, then features, then one for spaces of unpunctuated scripts, then words and pairs
+        row = script * SHAPES + (flags >> SHAPE_AT & 31)
+        by_shape = np.ones(len(flags), dtype=bool)
+        for table in (self.words, self.pairs):
+            hit, at = _find(word if table is self.words else pair, table[0])
+            row = np.where(hit, table[1][at], row)
+            by_shape &= ~hit
+        feature = np.full(len(flags), -1)
+        strong, quote, bracket, pause = (kind == KINDS.index(k) for k in ("strong", "quote", "bracket", "pause"))
+        number = has(TIGHT) & ~has(WIDE) & has(DIGIT_AFTER)
+        feature[strong] = np.where(number[strong], FEATURES.index("!9"), FEATURES.index("!"))
+        feature[quote] = np.where(has(COLON), FEATURES.index('":'), np.where(begins, FEATURES.index('"o'), FEATURES.index('"m')))[quote]
+        feature[bracket] = np.where(begins, FEATURES.index(")o"), FEATURES.index(")m"))[bracket]
+        feature[kind == KINDS.index("thai")] = FEATURES.index("_")
+        high = has(CAPITAL) | (flags >> CLASS_AT & 15 == QUOTE)
+        feature[pause] = np.where(begins, FEATURES.index("…o"), np.where(high, FEATURES.index("…u"), -1))[pause]
+        row = np.where(feature >= 0, _FEATURE_ROW + script * len(FEATURES) + feature, row)
+        spaces = kind == KINDS.index("plain")
+        row = np.where(spaces & by_shape, _SPACE_ROW + script, row)
+        rate = self.rate[row]
+        rare = by_shape & (feature < 0) & ~spaces & has(ORDINARY_WORD)  # a word too rare to be known
+        rate = np.where(rare, np.maximum(rate, ORDINARY), rate)
+        yes = rate * self.after_event[script, c]
+        out = yes / (yes + (1 - rate) * self.none[row, c])
+        out[(kind == 0) & has(LISTED) & begins] = 0.01
+        # a full stop without a space stands inside a token (number, name, address), unless an ordinary word ends and one that opens sentences begins
+        opens = (c == OPENS) | (c == QUOTE)
+        inner = np.where(has(LETTERED) & (c == QUOTE), 0.7, 0.01)
+        apart = np.where(has(WHOLE) & (has(CAPITAL) | opens), out * np.where(opens | (c == OFTEN), 0.9, 0.5), inner)
+        tight = np.where(has(WIDE), np.where(has(DIGIT_AFTER) & has(DIGIT_BEFORE), 0.05, 0.98), apart)
+        out = np.where((kind == 0) & has(TIGHT), tight, out)
+        return np.where(flags >> CLASS_AT & 15 == END, 1.0, out)
 
 
-class Model:
-    """The n-gram model: classes of known words, P(class | event), and per word before P(event) and P(class | none)."""
+_FEATURE_ROW = len(SCRIPTS) * SHAPES
+_SPACE_ROW = _FEATURE_ROW + len(SCRIPTS) * len(FEATURES)
+_FIRST_ROW = _SPACE_ROW + len(SCRIPTS)
+
+
+def _find(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in a sorted table, and where (0 where they aren't)."""
+    if not len(table):
+        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    hit = table[at] == values
+    return hit, np.where(hit, at, 0)
+
+
+def _sorted(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array(list(found), dtype=np.int64)
+    order = np.argsort(keys)
+    return (keys[order], np.array(list(found.values()), dtype=np.int64)[order]) if found else (keys, np.zeros(1, dtype=np.int64))
 
-    def __init__(self, known: dict[str, int], after_event: dict[str, np.ndarray], before: dict[str, tuple[float, np.ndarray]], plain: str = ""):
-        self.known, self.after_event, self.before = known, after_event, before
-        self.plain = plain  # scripts in which a space between words alone may end a sentence
-        self.memo: dict[tuple, float] = {}
-
-    def class_of(self, token: str | None) -> int:
-        if token is None:
-            return END
-        if token == ITEM:
-            return OPENS
-        c = shape_class(token)
-        if c == QUOTE or token[0] in ",;:，、،；；":
-            return c
-        return self.known.get(token, c)
-
-    def posterior(self, script: str, pair: str, word: str, token: str | None) -> float:
-        c = self.class_of(token)
-        word = script + word
-        if word[1:2] == "~":
-            got = self.before.get(word) or self.before[script + "~"]
-            yes = got[0] * self.after_event[script][c]
-            return yes / (yes + (1 - got[0]) * got[1][c])
-        got = pair and self.before.get(script + pair) or self.before.get(word)
-        if got is None:
-            got = self.before.get(shape(word)) or self.before[script + "<>"]
-            if ordinary(word):  # a word too rare to be known
-                got = max(got[0], ORDINARY), got[1]
-        yes = got[0] * self.after_event[script][c]
-        return yes / (yes + (1 - got[0]) * got[1][c])
 
+# ---------------------------------------------------------------- training
 
 def _fixed() -> np.ndarray:
     fixed = np.zeros(CLASSES)
@@ -608,7 +646,7 @@ def _normal(after: np.ndarray, script: str) -> np.ndarray:
     return after / after.sum()
 
 
-def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray, strength: float | np.ndarray, rounds: int = 60, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray, strength: float, rounds: int = 60, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM for rows of class counts: P(event) and P(class | no event) of each row, and P(class | event)."""
     fixed = _fixed()
     free = fixed == 0
@@ -631,9 +669,42 @@ def _mixture(table: np.ndarray, sure: np.ndarray, script: str, prior: np.ndarray
     return rate, none, after
 
 
+def _feature_rates(rows: np.ndarray, after: np.ndarray, inside: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """EM for P(event) of each row, where what follows an event and what stands inside sentences are known."""
+    total = rows.sum(1)
+    strength, rate = 4.0 + weight * total, prior
+    for _ in range(rounds):
+        yes = rate[:, None] * after
+        events = (rows * yes / (yes + (1 - rate[:, None]) * inside)).sum(1)
+        rate = (events + strength * prior) / (total + strength)
+    return rate
+
+
+def _settled(rate: np.ndarray) -> np.ndarray:
+    """Most words either end sentences wherever their mark stands or never do."""
+    return np.where(rate > 0.75, np.maximum(rate, 0.99), np.where(rate < 0.03, np.minimum(rate, 0.01), rate))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, info, n): distinct raw tokens with their counts, as the model knows them."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not token.isascii() and _WIDE.search(token):
+                for a, b in zip(token, token[1:]):
+                    if _WIDE.match(a):
+                        counts[_about(a + b)] += n
+            else:
+                counts[_about(_key(token) or token[0])] += n
+        if counts:
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["b", "info", "n"])
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """The model of a corpus; see trained()."""
-    return trained(docs, extracted(docs, text), text)
+    """The model of a corpus; see sentences()."""
+    model, _ = _learned(docs, text, None)
+    return model
 
 
 def extracted(docs: DataFrame, text: str, key: str | None = None, plain: str = "") -> DataFrame:
@@ -643,247 +714,213 @@ def extracted(docs: DataFrame, text: str, key: str | None = None, plain: str = "
     return docs.select(id_, F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(lambda b: _extracting(b, plain), f"id {kind}, {PLACES}")
 
 
+def _learned(docs: DataFrame, text: str, key: str | None) -> tuple[Model, DataFrame]:
+    """The model of a corpus, and its places as the model needs them."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.stage(extracted(docs, text, key))
+    model = trained(docs, found, text)
+    if model.plain:  # spaces between words are places too: they are counted, and decided, with them
+        found = scratch.stage(extracted(docs, text, key, model.plain))
+        model = trained(docs, found, text)
+    return model, found
+
+
 def trained(docs: DataFrame, found: DataFrame, text: str) -> Model:
-    """Counts over all texts (native aggregates over the extracted places), then EM over the bounded table of known words (driver)."""
+    """Counts over all texts by native aggregates over the extracted places, then EM over a bounded table (driver)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     tokens = docs.select(F.explode(F.split(F.col(text).cast("string"), r"(?U)\s+")).alias("a")).where("a <> ''").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    tokens = tokens.mapInArrow(_keyed, "kind string, a string, b string, n long")
-    heads = found.select(F.explode("b_head").alias("a")).where("a is not null").select(F.lit("i").alias("kind"), "a", F.lit("").alias("b"))
-    ends = found.select(F.explode("b_marked").alias("m")).select(F.lit("e").alias("kind"), F.substring(F.lit(SCRIPTS), F.shiftright("m", 1) + 1, F.lit(1)).alias("a"), (F.col("m") % 2).cast("string").alias("b"))
+    tokens = tokens.mapInArrow(_keyed, "b long, info int, n long")
+    # kind: t word, i word that opens a block or sentence for sure, s word after a mark, p after a word, q after a pair, f after a feature, e end of a block
+    zero = F.lit(0).cast("long")
+    cell = lambda k, a=zero, w=zero, b=zero, info=F.lit(0), about=F.lit(0): F.struct(F.lit(k).alias("kind"), a.cast("long").alias("a"), w.cast("long").alias("w"), b.cast("long").alias("b"), info.cast("int").alias("info"), about.cast("int").alias("about"))
+    head, info = F.col("b.b_head"), F.col("b.b_info").bitwiseAND(63)
+    ends = F.array(F.when(head != NO_WORD, cell("i", b=head, info=info)), cell("e", a=F.shiftright("b.b_info", 6)))
+    bounds = found.select(F.explode(F.arrays_zip("b_head", "b_info")).alias("b")).select(F.inline(F.array_compact(ends)))
     spots = found.select(F.explode(F.arrays_zip("p_flags", "p_word", "p_pair", "p_after")).alias("p")).select("p.*")
-    kind, script = F.col("p_flags").bitwiseAND(7), F.substring(F.lit(SCRIPTS), F.shiftright("p_flags", 3).bitwiseAND(3) + 1, F.lit(1))
-    after, row = F.coalesce("p_after", F.lit("")), _feature_column()
-    weak = kind.isin(0, 2, 6) & ((F.col("p_flags").bitwiseAND(TIGHT) == 0) | (script == "w"))
-    cell = lambda k, a, b: F.struct(F.lit(k).alias("kind"), a.alias("a"), b.alias("b"))
+    f = F.col("p_flags")
+    has = lambda bit: f.bitwiseAND(bit) != 0
+    kind, script = f.bitwiseAND(7), F.shiftright(f, 3).bitwiseAND(3)
+    info = F.shiftright(f, CLASS_AT).bitwiseAND(63)
+    high = has(CAPITAL) | (info.bitwiseAND(15) == QUOTE)
+    number = has(TIGHT) & ~has(WIDE) & has(DIGIT_AFTER)
+    of = lambda name: F.lit(FEATURES.index(name))
+    feature = (
+        F.when(kind == 1, F.when(number, of("!9")).otherwise(of("!"))).when(kind == 3, F.when(has(COLON), of('":')).when(has(BEGINS), of('"o')).otherwise(of('"m')))
+        .when(kind == 4, F.when(has(BEGINS), of(")o")).otherwise(of(")m"))).when(kind == 5, of("_")).when(kind == 2, F.when(has(BEGINS), of("…o")).when(high, of("…u")))
+    )
+    weak = kind.isin(0, 2, 6) & (~has(TIGHT) | (script == 2))
+    # of the word before: script, shape, whether ordinary, whether before a space alone
+    about = script + F.shiftleft(F.shiftright(f, SHAPE_AT).bitwiseAND(31), 2) + F.when(has(ORDINARY_WORD), 128).otherwise(0) + F.when(kind == 6, 256).otherwise(0)
+    b = F.col("p_after")
     cells = F.array(
-        F.when(kind == 1, cell("s", script, after)), F.when((kind == 1) & (after != ""), cell("i", after, F.lit(""))), F.when(weak, cell("p", F.concat(script, "p_word"), after)),
-        F.when(weak & F.col("p_pair").isNotNull(), cell("p", F.concat(script, "p_pair"), after)), F.when(row.isNotNull(), cell("f", F.concat(script, row), after)),
+        F.when(kind == 1, cell("s", script, b=b, info=info)), F.when((kind == 1) & (b != NO_WORD), cell("i", b=b, info=info)), F.when(weak, cell("p", F.col("p_word"), b=b, info=info, about=about)),
+        F.when(weak & (F.col("p_pair") != NO_WORD), cell("q", F.col("p_pair"), F.col("p_word"), b, info, about)), F.when(feature.isNotNull(), cell("f", script * len(FEATURES) + feature, b=b, info=info)),
     )
-    local = heads.unionByName(ends).unionByName(spots.select(F.inline(F.array_compact(cells)))).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    counts = scratch.stage(local.unionByName(tokens).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    words = counts.where("kind in ('t', 'i')").groupBy("a").agg(F.sum(F.expr("if(kind = 't', n, 0)")).alias("t"), F.sum(F.expr("if(kind = 'i', n, 0)")).alias("i"))
-    every = counts.groupBy("kind").agg(F.sum("n").alias("n"))
-    size = {r["kind"]: r["n"] for r in every.collect()}  # one row a kind
-    marked: Counter = Counter()
-    for r in counts.where("kind = 'e'").collect():  # two rows a script
-        marked[r["a"], r["b"]] += r["n"]
-    # Thai's spaces are places in any case
-    plain = "".join(x for x in SCRIPTS if x != "t" and marked[x, "0"] and marked[x, "0"] >= UNMARKED * (marked[x, "0"] + marked[x, "1"]))
-    least = max(LEAST, int(size.get("t", 0) * SHARE))
-    base = size.get("i", 0) / max(1, size.get("t", 1))
-    known: dict[str, int] = {}
-    for r in words.where(F.col("t") >= least).toLocalIterator():  # at most 1 / SHARE words
-        if r["t"] < FEW and r["i"] < 2 or r["a"].endswith(LONG_WORD):
-            continue  # too few to tell a word that never opens a sentence
-        share = (r["i"] + 0.5 * base) / (r["t"] + 0.5) / max(base, 1e-9)
-        c = OPENS if share > 3 else OFTEN if share > 1 else SELDOM if share > 0.2 else MID
-        known[r["a"]] = LOWER if c == MID and r["a"][:1].islower() else DIGIT if c == MID and r["a"][:1].isdigit() else c
-    frequent = spark.sparkContext.broadcast(known)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(frequent.value, {}, {})
-        for batch in batches:
-            out: Counter = Counter()
-            for kind, a, b, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if kind in "ti":  # words at large and at beginnings, by the script of their first letter
-                    m = _LETTER_AHEAD.search(a)
-                    a, b = script_of(m.group()) if m else "c", a
-                out[kind, a, str(model.class_of(b or None))] += n
-            if out:
-                yield _rows(out)
-
-    # only pairs whose first word is frequent keep it; the others are counted under its shape
-    pairs = scratch.stage(counts.where("kind <> 'e'").mapInArrow(classed, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    per_word = pairs.where("kind = 'p'").groupBy("a").agg(F.sum("n").alias("m"))
-    shaped = pairs.join(per_word.where(F.col("m") >= least).select("a", F.lit(True).alias("often")), "a", "left")
-    tables: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
-    shapes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
-    features: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
-    sure, inside, opening = ({x: np.full(CLASSES, 0.5) for x in SCRIPTS} for _ in range(3))
-    seldom = shaped.where("kind = 'p' and often is null and instr(a, ' ') = 0").select("a", "b", "n").mapInArrow(_to_shapes, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    for r in shaped.where("kind <> 'p' or often").select("kind", "a", "b", "n").toLocalIterator():  # bounded: classes, features, frequent words
-        {"s": sure, "f": features, "p": tables, "t": inside, "i": opening}[r["kind"]][r["a"]][int(r["b"])] += r["n"]
-    for r in seldom.toLocalIterator():
-        shapes[r["a"]][int(r["b"])] += r["n"]
-    for x in SCRIPTS:
-        inside[x] = np.maximum(inside[x] - opening[x], 0.5)
-        if x in plain or not sure[x].sum() > opening[x].sum() / 10:
-            sure[x] = opening[x]  # where few marks tell how sentences begin, the blocks do
-    return estimate(known, sure, inside, dict(tables), dict(shapes), dict(features), plain)
-
-
-def _to_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([shape(a) for a in batch.column(0).to_pylist()], pa.string()), batch.column(1), batch.column(2)], names=["a", "b", "n"])
-
-
-def _settled(rate: float) -> float:
-    """Most words either end sentences wherever their mark stands or never do."""
-    return float(max(rate, 0.99) if rate > 0.75 else min(rate, 0.01) if rate < 0.03 else rate)
-
-
-def _feature_rates(rows: np.ndarray, after: np.ndarray, inside: np.ndarray, prior: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """EM for P(event) of each row, where what follows an event and what stands inside sentences are known."""
-    total = rows.sum(1)
-    strength, rate = 4.0 + weight * total, prior
-    for _ in range(rounds):
-        yes = rate[:, None] * after
-        events = (rows * yes / (yes + (1 - rate[:, None]) * inside)).sum(1)
-        rate = (events + strength * prior) / (total + strength)
-    return rate
-
-
-def estimate(known: dict[str, int], sure: dict[str, np.ndarray], inside: dict[str, np.ndarray], tables: dict[str, np.ndarray], shapes: dict[str, np.ndarray], features: dict[str, np.ndarray], plain: str = "") -> Model:
+    keys = ["kind", "a", "w", "b", "info", "about"]
+    local = bounds.unionByName(spots.select(F.inline(F.array_compact(cells)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    words_at_large = tokens.select(F.lit("t").alias("kind"), zero.alias("a"), zero.alias("w"), "b", "info", F.lit(0).alias("about"), "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    counts = scratch.stage(local.unionByName(words_at_large))
+    total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
+    least, base = max(LEAST, int(total.get("t", 0) * SHARE)), total.get("i", 0) / max(1, total.get("t", 1))
+    t, i = F.sum(F.when(F.col("kind") == "t", F.col("n")).otherwise(0)), F.sum(F.when(F.col("kind") == "i", F.col("n")).otherwise(0))
+    often = counts.where(F.col("kind").isin("t", "i") & ~F.col("b").isin(NO_WORD, SHAPE_ONLY)).groupBy("b").agg(t.alias("t"), i.alias("i"), F.max(F.col("info").bitwiseAND(15)).alias("c"))
+    often = often.where((F.col("t") >= least) & ~((F.col("t") < FEW) & (F.col("i") < 2)))  # of too few none can tell a word that never opens a sentence
+    share = (F.col("i") + 0.5 * base) / (F.col("t") + 0.5) / max(base, 1e-9)
+    known_class = F.when(share > 3, OPENS).when(share > 1, OFTEN).when(share > 0.2, SELDOM).when(F.col("c").isin(LOWER, DIGIT), F.col("c")).otherwise(MID)
+    known = scratch.stage(often.select("b", known_class.cast("int").alias("known")))  # at most 1 / SHARE words
+    # every count by the class of the word after; words and pairs that are seldom give theirs to their shape
+    classed = counts.where("kind <> 'e'").join(F.broadcast(known), "b", "left").withColumn("c", F.coalesce("known", F.col("info").bitwiseAND(15)))
+    group = F.when(F.col("kind").isin("t", "i"), F.shiftright("info", 4)).otherwise(F.col("a")).alias("a")
+    classed = scratch.stage(classed.select("kind", group, "w", "about", "c", "n").groupBy("kind", "a", "w", "about", "c").agg(F.sum("n").alias("n")))
+    heavy = classed.where("kind in ('p', 'q')").groupBy("kind", "a").agg(F.sum("n").alias("m")).where(F.col("m") >= least)
+    rows = classed.join(heavy, ["kind", "a"], "left").where("kind <> 'q' or m is not null")
+    own = F.col("m").isNotNull() | ~F.col("kind").isin("p", "q")
+    # a shape's row is named by its script and shape; a row of spaces alone by its script
+    shaped = F.when(F.col("about") >= 256, _SPACE_ROW + F.col("about") % 4).otherwise(F.col("about") % 4 * SHAPES + F.shiftright("about", 2) % 32)
+    bounded = rows.select(F.when(own, F.col("kind")).otherwise("o").alias("kind"), F.when(own, F.col("a")).otherwise(shaped).alias("a"), F.when(own, F.col("w")).otherwise(0).alias("w"), F.when(own, F.col("about")).otherwise(0).alias("about"), "c", "n")
+    tables: dict[str, dict[int, np.ndarray]] = {k: defaultdict(lambda: np.zeros(CLASSES)) for k in "tispqfo"}
+    about_of, last_of = {}, {}
+    for r in bounded.groupBy("kind", "a", "w", "about", "c").agg(F.sum("n").alias("n")).toLocalIterator():  # bounded: scripts, shapes, features, words of a share
+        tables[r["kind"]][r["a"]][r["c"]] += r["n"]
+        about_of[r["a"]], last_of[r["a"]] = r["about"], r["w"]
+    marked = {r["a"]: r["n"] for r in counts.where("kind = 'e'").groupBy("a").agg(F.sum("n").alias("n")).collect()}  # two rows a script
+    classes = _sorted({r["b"]: r["known"] for r in known.toLocalIterator()})
+    return _estimated(classes, tables, about_of, last_of, marked)
+
+
+def _estimated(known: tuple[np.ndarray, np.ndarray], tables: dict[str, dict[int, np.ndarray]], about: dict[int, int], last: dict[int, int], marked: dict[int, int]) -> Model:
     """The model from class counts: after sure events by script, and after places by word, by shape and by feature."""
-    before: dict[str, tuple[float, np.ndarray]] = {}
-    after_event: dict[str, np.ndarray] = {}
-    for x in SCRIPTS:
-        spaced = lambda w: w[1:2] == "~"  # noqa: E731  (spaces between words alone)
-        for name in [x + "<>", *{shape(w) for w in tables if w[0] == x and " " not in w and not spaced(w)}]:
-            shapes.setdefault(name, np.zeros(CLASSES))
-        names = sorted(n for n in shapes if n[0] == x and not spaced(n))
-        every = sorted(w for w in tables if w[0] == x and not spaced(w))
-        words, pairs = [w for w in every if " " not in w], [w for w in every if " " in w]
-        rows = np.array([shapes[n] for n in names] + [tables[w] for w in words])
-        rate, none, after = _mixture(rows, sure[x], x, np.full(len(rows), 0.6), 4.0)
-        back = dict(zip(names, rate))
+    zero = np.zeros(CLASSES)
+    # Thai's spaces are places in any case
+    plain = "".join(x for k, x in enumerate(SCRIPTS) if x != "t" and marked.get(k, 0) and marked[k] >= UNMARKED * (marked[k] + marked.get(k | 4, 0)))
+    rates, nones = np.full(_FIRST_ROW, 0.6), np.tile(np.full(CLASSES, 1 / CLASSES), (_FIRST_ROW, 1))
+    after_event = np.zeros((len(SCRIPTS), CLASSES))
+    more_rates, more_nones, words, pairs = [], [], {}, {}
+
+    def keep(into: dict[int, int], names: list[int], rate: np.ndarray, none: np.ndarray) -> None:
+        for n, r, x in zip(names, rate, none):
+            into[n] = _FIRST_ROW + len(more_rates)
+            more_rates.append(r)
+            more_nones.append(x)
+
+    for k, x in enumerate(SCRIPTS):
+        here = lambda a: about[a] % 4 == k
+        opening = tables["i"].get(k, zero) + 0.5
+        sure = tables["s"].get(k, zero) + 0.5
+        if x in plain or sure.sum() <= opening.sum() / 10:
+            sure = opening  # where few marks tell how sentences begin, the blocks do
+        shapes = np.array([tables["o"].get(k * SHAPES + n, zero) for n in range(SHAPES)])
+        names = sorted(a for a in tables["p"] if here(a) and about[a] < 256)
+        rows = np.array([*shapes, *[tables["p"][a] for a in names]])
+        rate, none, _ = _mixture(rows, sure, x, np.full(len(rows), 0.6), 4.0)
         # most words of some length are ordinary ones; an abbreviation has to show it by what follows
-        usual = lambda w: max(back[shape(w)], ORDINARY) if ordinary(w) else back[shape(w)]
-        rate, none, after = _mixture(rows, sure[x], x, np.array([back[n] for n in names] + [usual(w) for w in words]), 4.0)
-        after_event[x] = after
-        alone = dict(zip(names + words, rate))
-        before |= {n: (_settled(rate[i]), none[i]) for i, n in enumerate(names + words)}
-        if pairs:  # a pair starts from what its second word says
-            last = [x + p.rsplit(" ", 1)[1] for p in pairs]
-            rate, none, _ = _mixture(np.array([tables[p] for p in pairs]), sure[x], x, np.array([alone.get(w, alone.get(shape(w), 0.6)) for w in last]), 4.0)
-            before |= {p: (_settled(rate[i]), none[i]) for i, p in enumerate(pairs)}
+        usual = [max(rate[about[a] >> 2 & 31], ORDINARY) if about[a] & 128 else rate[about[a] >> 2 & 31] for a in names]
+        rate, none, after = _mixture(rows, sure, x, np.array([*rate[:SHAPES], *usual]), 4.0)
+        after_event[k] = after
+        rates[k * SHAPES : (k + 1) * SHAPES], nones[k * SHAPES : (k + 1) * SHAPES] = _settled(rate[:SHAPES]), none[:SHAPES]
+        keep(words, names, _settled(rate[SHAPES:]), none[SHAPES:])
+        alone = dict(zip(names, rate[SHAPES:]))
+        twins = sorted(a for a in tables["q"] if here(a))
+        if twins:  # a pair starts from what its second word says
+            prior = np.array([alone.get(last[a], rate[about[a] >> 2 & 31]) for a in twins])
+            r, n, _ = _mixture(np.array([tables["q"][a] for a in twins]), sure, x, prior, 4.0)
+            keep(pairs, twins, _settled(r), n)
         # features: the counts move the prior; without an event a sentence goes on as sentences do inside
-        kinds = list(PRIORS)
-        rows = np.array([features.get(x + k, np.zeros(CLASSES)) for k in kinds])
-        goes_on = inside[x] / inside[x].sum()
-        goes_on = np.maximum(np.where(np.arange(CLASSES) == END, _RARE_INSIDE[END], goes_on), 1e-3)
-        goes_on /= goes_on.sum()
-        rate = _feature_rates(rows, after, goes_on, *np.array([PRIORS[k] for k in kinds]).T)
-        before |= {x + "<" + k: (float(rate[i]), goes_on) for i, k in enumerate(kinds)}
+        inside = np.maximum(tables["t"].get(k, zero) - opening, 0.5)
+        goes_on = np.maximum(np.where(np.arange(CLASSES) == END, _RARE_INSIDE[END], inside / inside.sum()), 1e-3)
+        at = slice(_FEATURE_ROW + k * len(FEATURES), _FEATURE_ROW + (k + 1) * len(FEATURES))
+        nones[at] = goes_on / goes_on.sum()
+        rates[at] = _feature_rates(np.array([tables["f"].get(k * len(FEATURES) + n, zero) for n in range(len(FEATURES))]), after, nones[at][0], *np.array([PRIORS[n] for n in FEATURES]).T)
         if x in plain:  # spaces between words: nothing is known but how sentences begin
-            gaps = sorted(w for w in [*tables, *shapes] if w[0] == x and spaced(w))
-            rows = np.array([tables.get(w, shapes.get(w)) for w in gaps] + [sum((tables.get(w, shapes.get(w)) for w in gaps), np.zeros(CLASSES))])
-            rate, none, _ = _mixture(rows, sure[x], x, np.full(len(rows), 0.1), 4.0, learn=False)
-            before |= {w: (float(rate[i]), none[i]) for i, w in enumerate([*gaps, x + "~"])}
-    return Model(known, after_event, before, plain)
+            gaps = sorted(a for a in tables["p"] if here(a) and about[a] >= 256)
+            rows = np.array([tables["o"].get(_SPACE_ROW + k, zero), *[tables["p"][a] for a in gaps]])
+            r, n, _ = _mixture(rows, sure, x, np.full(len(rows), 0.1), 4.0, learn=False)
+            rates[_SPACE_ROW + k], nones[_SPACE_ROW + k] = r[0], n[0]
+            keep(words, gaps, r[1:], n[1:])
+    return Model(known, after_event, np.array([*rates, *more_rates]), np.array([*nones, *more_nones]), _sorted(words), _sorted(pairs), plain)
 
 
 # ---------------------------------------------------------------- deciding
 
-def _event(flags: int, word: str, pair: str | None, after: str | None, model: Model, second: bool = False) -> float:
-    """P(event) at a place, if what its flags say of its beginning (of the second case, after a marker) holds."""
-    name = feature(flags, after, second)
-    script = SCRIPTS[flags >> 3 & 3]
-    if after is None:
-        return 1.0
-    if name is not None:
-        return model.posterior(script, "", "<" + name, after)
-    if flags & 7 == 0 and flags & TIGHT:
-        # a full stop without a space stands inside a token (number, name, address), unless an ordinary word ends and one that opens sentences begins
-        last, c = word.rsplit(".", 1)[-1], model.class_of(after)
-        if flags & WIDE:
-            return 0.05 if after[0].isdigit() and word[-2:-1].isdigit() else 0.98
-        if len(last) < 3 or not last[-1].isalpha() or not (after[0].isupper() or c in (OPENS, QUOTE)) or "@" in last or "/" in last:
-            return 0.01 if not (word and c == QUOTE and last[-1:].isalpha()) else 0.7
-        return model.posterior(script, pair or "", word, after) * (0.9 if c in (OPENS, OFTEN, QUOTE) else 0.5)
-    if flags & LISTED and flags & (BEGINS2 if second else BEGINS):
-        return 0.01
-    return model.posterior(script, pair or "", word, after)
-
-
-def _known_event(flags: int, word: str, pair: str | None, after: str | None, model: Model, second: bool = False) -> float:
-    key = flags, word, pair, after, second
-    got = model.memo.get(key)
-    if got is None:
-        if len(model.memo) >= FLUSH:
-            model.memo.clear()
-        got = model.memo[key] = _event(flags, word, pair, after, model, second)
-    return got
-
-
-_NOT_BEGUN = ~(BEGINS | BEGINS2)
-
-
-def ends(lists: tuple[list, ...], model: Model, least: float = 0.5) -> Iterator[tuple[int, int]]:
-    """(start, end) of each sentence of a text, from its PLACES."""
+def _decided(lists: list[np.ndarray], model: Model, least: float) -> tuple[list[int], list[int], list[int]]:
+    """(block, start, end) of each sentence of blocks with their places."""
     b_start, b_end, b_places, _, _, p_end, p_next, p_flags, p_word, p_pair, p_after = lists
+    no = model.events(p_flags, p_word, p_pair, p_after, None)
+    first, second = (np.where(p_flags & bit != 0, model.events(p_flags, p_word, p_pair, p_after, which), no) for bit, which in ((BEGINS, False), (BEGINS2, True)))
+    ended = p_flags >> CLASS_AT & 15 == END
+    no, first, second, ended, flags, end, following = (x.tolist() for x in (no, first, second, ended, p_flags, p_end, p_next))
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
     at = 0
-    for start, stop, count in zip(b_start, b_end, b_places):
+    for block, (start, stop, count) in enumerate(zip(b_start.tolist(), b_end.tolist(), b_places.tolist())):
         if count:
             # the marks of list items that open a block or follow an event belong to the sentence after
             kept: list[tuple[int, bool]] = []
             for k in range(at, at + count):
-                f = p_flags[k]
+                f = flags[k]
                 after_marker = k > at and (not kept or kept[-1][0] != k - 1)
-                if f & LISTED and f & (BEGINS2 if after_marker else BEGINS) and p_after[k] is not None:
-                    last = kept[-1][0] if kept else None
-                    if last is None or max(_known_event(g, p_word[last], p_pair[last], p_after[last], model, kept[-1][1]) for g in {p_flags[last], p_flags[last] & _NOT_BEGUN}) > 0.5:
+                if f & LISTED and f & (BEGINS2 if after_marker else BEGINS) and not ended[k]:
+                    if not kept:
+                        continue
+                    last, was_after = kept[-1]
+                    if max(no[last], (second if was_after else first)[last]) > 0.5:
                         continue
                 kept.append((k, after_marker))
-            for k, q in zip(kept, _posteriors(kept, lists, model)):
+            for (k, _), q in zip(kept, _posteriors(kept, flags, no, first, second)):
                 if q > least:
-                    end = p_end[k[0]]
-                    if end > start:
-                        yield start, end
-                    start = max(start, p_next[k[0]])
+                    if end[k] > start:
+                        for x, y in zip(out, (block, start, end[k])):
+                            x.append(y)
+                    start = max(start, following[k])
             at += count
         if stop > start:
-            yield start, stop
+            for x, y in zip(out, (block, start, stop)):
+                x.append(y)
+    return out
 
 
-def _posteriors(kept: list[tuple[int, bool]], lists: tuple[list, ...], model: Model) -> list[float]:
+def _posteriors(kept: list[tuple[int, bool]], flags: list[int], none: list[float], first: list[float], second: list[float]) -> list[float]:
     """P(boundary) at each place by forward-backward over (no event, event) at the place before; a block begins with a boundary."""
-    p_flags, p_word, p_pair, p_after = lists[7:11]
-    forward, steps = [(0.0, 1.0)], []
-    for n, (k, second) in enumerate(kept):
-        f = p_flags[k]
-        no = yes = _known_event(f & _NOT_BEGUN, p_word[k], p_pair[k], p_after[k], model)
-        if f & (BEGINS2 if second else BEGINS):
-            yes = _known_event(f, p_word[k], p_pair[k], p_after[k], model, second)
-        alone = 0.1 if f & (LONE2 if second else LONE) else 1.0
-        short = ONE_WORD if n and f & (SHORT2 if second else SHORT) else 1.0
-        steps.append((((1 - no) * alone, no * alone), (1 - yes, yes * short)))
-        a, b = forward[-1]
-        x, y = a * steps[-1][0][0] + b * steps[-1][1][0], a * steps[-1][0][1] + b * steps[-1][1][1]
-        forward.append((x / (x + y), y / (x + y)))
-    out, back = [0.0] * len(kept), (1.0, 1.0)
+    a, b = 0.0, 1.0
+    forward, steps = [], []
+    for n, (k, after_marker) in enumerate(kept):
+        f, no = flags[k], none[k]
+        yes = (second if after_marker else first)[k]
+        alone = 0.1 if f & (LONE2 if after_marker else LONE) else 1.0
+        short = ONE_WORD if n and f & (SHORT2 if after_marker else SHORT) else 1.0
+        stay, go, rest, cut = (1 - no) * alone, no * alone, 1 - yes, yes * short
+        steps.append((stay, go, rest, cut))
+        x, y = a * stay + b * rest, a * go + b * cut
+        a, b = x / (x + y), y / (x + y)
+        forward.append((a, b))
+    out, u, v = [0.0] * len(kept), 1.0, 1.0
     for i in range(len(kept) - 1, -1, -1):
-        x, y = forward[i + 1][0] * back[0], forward[i + 1][1] * back[1]
+        x, y = forward[i][0] * u, forward[i][1] * v
         out[i] = y / (x + y)
-        step = steps[i]
-        x, y = step[0][0] * back[0] + step[0][1] * back[1], step[1][0] * back[0] + step[1][1] * back[1]
-        back = (x / (x + y), y / (x + y))
+        stay, go, rest, cut = steps[i]
+        x, y = stay * u + go * v, rest * u + cut * v
+        u, v = x / (x + y), y / (x + y)
     return out
 
 
-def _strip_marker(lead: str) -> str:
-    """What stands before a quotation, without the number, letter or dash of a list item."""
-    return regex.sub(r"^\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p{L})[.)）]|[-–—•*])\s*", "", lead)
-
-
 def split(text: str | None, model: Model, least: float = 0.5) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without white space around it."""
-    lists = extract(text, model.plain)
-    return [] if lists is None else list(ends(lists, model, least))
+    if not text or text.isspace():
+        return []
+    sink = Sink()
+    sink.add(text, model.plain)
+    _, starts, stops = _decided([np.array(x, dtype=np.int64) for x in sink.lists], model, least)
+    return list(zip(starts, stops))
 
 
 def _deciding(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            rows, begins, stops = [], [], []
-            columns = [c.to_pylist() for c in part.columns[1:]]
-            for i, lists in enumerate(zip(*columns)):
-                for a, b in ends(lists, model):
-                    rows.append(i)
-                    begins.append(a)
-                    stops.append(b)
+        for start in range(0, batch.num_rows, 2000):
+            part = batch.slice(start, 2000)
+            lists = [c.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in part.columns[1:]]
+            row_of = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            block, begins, stops = _decided(lists, model, 0.5)
+            rows = row_of[np.array(block, dtype=np.int64)] if block else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "start_pos", "end_pos"])
 
 
@@ -894,15 +931,9 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: M
     any mark is one sentence per block, unless its script is unpunctuated. Repeated rows give their sentences again.
     The model is trained on all of `docs` unless one is given; its size is bounded by SHARE.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    found = extracted(docs, text, key, model.plain if model else "")
     if model is None:
-        scratch = Scratch(docs.sparkSession)
-        found = scratch.stage(found)
-        model = trained(docs, found, text)
-        if model.plain:  # spaces between words are places too: they are counted, and decided, with them
-            plain = model.plain
-            found = scratch.stage(extracted(docs, text, key, plain))
-            model = trained(docs, found, text)
+        model, found = _learned(docs, text, key)
+    else:
+        found = extracted(docs, text, key, model.plain)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return found.mapInArrow(lambda b: _deciding(b, shared.value), f"doc_id {kind}, start_pos long, end_pos long")
+    return found.mapInArrow(lambda b: _deciding(b, shared.value), f"doc_id {docs.schema[key].dataType.simpleString()}, start_pos long, end_pos long")
