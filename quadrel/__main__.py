@@ -28,7 +28,8 @@ from quadrel.sources.store import TermStore
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("quadrel", description="SPARQL over RDF files, stored quads or mapped tables on Spark.")
-    p.add_argument("-d", "--data", action="append", default=[], help="an RDF file; its graph is its address unless -g is given")
+    p.add_argument("-d", "--data", action="append", default=[], help="an RDF file or address; its graph is its address unless -g is given")
+    p.add_argument("--canonicalise", action="store_true", help="write numbers and booleans in the canonical way")
     p.add_argument("-g", "--graph", help="the graph of the data")
     p.add_argument("--store", help="a folder of stored quads; load and create write one")
     p.add_argument("--tables", help="a folder of tables to map")
@@ -61,7 +62,7 @@ def languages(text: str) -> dict[str, float]:
 
 
 def quads(spark: SparkSession, o: argparse.Namespace):
-    frames = [results.read_rdf(spark, path, o.graph or f"file://{path}") for path in o.data]
+    frames = [results.read_rdf(spark, path, o.graph or (path if "://" in path else f"file://{path}"), canonicalise=o.canonicalise) for path in o.data]
     if o.store:
         frames.append(layout.decoded(layout.open_store(spark, o.store)))
     if not frames:
@@ -142,18 +143,24 @@ def answer(o: argparse.Namespace, src, engine: Engine, text: str, out) -> None:
         from quadrel.plans.compiler import Compiler
 
         frame = Compiler(src).solutions(stack.parse(text)).terms()
-        result = results.of_frame(frame)
+        result = None
     else:
         q = parse(text)
         frame = engine.terms(text) if q.form == "select" else engine.query(text)
         if q.form == "ask":
             result = bool(frame.first()["result"])
         elif q.form == "select":
-            result = results.of_frame(frame)
+            result = None
         else:
             result = results.Triples(turtle.rows_of(frame))
-    form = results.negotiate(result, [o.format, "*/*"])
-    out.write(form.write(result))
+    if result is None and o.format == "text/tab-separated-values":
+        # any number of rows, a partition at a time
+        out.write("\t".join("?" + n for n in frame.columns) + "\n")
+        for row in results.frame_tsv(frame).toLocalIterator():
+            out.write(row["value"] + "\n")
+    else:
+        result = results.of_frame(frame) if result is None else result
+        out.write(results.negotiate(result, [o.format, "*/*"]).write(result))
     if o.verbose:
         sys.stderr.write("".join(f"{name}\t{metrics}\n" for name, metrics in operator_metrics(frame)) + f"{time.time() - began:.3f} s\n")
 

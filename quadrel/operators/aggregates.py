@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadrel.functions.lanes import RANKS, Val, as_term, lexical, number, of_rank, order_key
+from quadrel.operators.relation import fresh
 
 Over = Callable[[Column], Column]
 
@@ -16,6 +17,23 @@ def plain(c: Column) -> Column:
     return c
 
 
+def prepared(v: Val, what: str) -> dict[str, Column]:
+    """Columns that aggregates over mixed values need: `n` the number and its rank, `k` the place in the order of terms."""
+    if what == "n":
+        n, rank = number(v)
+        return {fresh("number"): n, fresh("rank"): rank}
+    return {fresh("order"): F.when(v.col.isNotNull(), F.struct(order_key(v).alias("k"), v.col.alias("t")))}
+
+
+class Prepared(Val):
+    """A mixed value whose columns are in place."""
+
+    def __init__(self, v: Val, what: str, names: list[str]):
+        super().__init__(v.kind, v.col)
+        object.__setattr__(self, "what", what)
+        object.__setattr__(self, "columns", [F.col(n) for n in names])
+
+
 def distinct_value(v: Val) -> Column:
     """What DISTINCT compares: terms, so 1 and 1.0 differ."""
     return as_term(v) if v.kind in ("lang", "term") else v.col
@@ -36,7 +54,7 @@ def aggregate(name: str, distinct: bool, separator: str, v: Val | None, row: lis
         f = F.min if name == "MIN" else F.max
         if v.kind in ("term", "lang"):
             t = Val("term", as_term(v))
-            both = F.when(t.col.isNotNull(), F.struct(order_key(t).alias("k"), t.col.alias("t")))
+            both = v.columns[0] if isinstance(v, Prepared) else F.when(t.col.isNotNull(), F.struct(order_key(t).alias("k"), t.col.alias("t")))
             return Val("term", over(f(both))["t"])
         return v.at(over(f(v.col)))
     if name == "SAMPLE":
@@ -72,7 +90,7 @@ def _numeric(name: str, distinct: bool, v: Val, over: Over) -> Val:
         if distinct:
             mean = F.try_divide(F.sum_distinct(v.col).cast("double"), F.count_distinct(v.col).cast("double"))
         return Val(kind, F.coalesce(mean.cast(cast), F.lit(0).cast(cast)))
-    got = number(v)
+    got = tuple(v.columns) if isinstance(v, Prepared) else number(v)
     if got is None:
         # no value is a number: unbound, unless there is none at all
         return Val("int", F.when(over(F.count(v.col)) == 0, F.lit(0).cast("long")))

@@ -10,6 +10,7 @@ from quadrel.functions.lanes import RANKS, Val, lexical, order_key
 from quadrel.operators.aggregates import aggregate, distinct_value
 from quadrel.operators.relation import Rel, fresh
 from quadrel.plans.algebra import Expr
+from quadrel.runtime import Scratch
 
 
 def sort_keys(keys: tuple[tuple[Expr, bool], ...], ev: Evaluator) -> list[Column]:
@@ -27,6 +28,8 @@ def window(rel: Rel, name: str, e: Expr, ev: Evaluator) -> Rel:
     w = Window.partitionBy(*[distinct_value(ev.value(p)) for p in partition])
     order = sort_keys(keys, ev)
     ordered = w.orderBy(*order) if order else w.orderBy(F.lit(0))
+    if function in ("RANK", "DENSE_RANK", "ROW_NUMBER") and not partition and order:
+        return _global_rank(rel, name, function, order)
     if function in ("RANK", "DENSE_RANK", "ROW_NUMBER"):
         f = {"RANK": F.rank, "DENSE_RANK": F.dense_rank, "ROW_NUMBER": F.row_number}[function]
         return rel.with_val(name, Val("int", f().over(ordered).cast("long")), True)
@@ -60,6 +63,29 @@ def _distinct(function: str, separator: str, v: Val, w) -> Val:
     return Val("int" if v.kind == "int" else "dbl", total.try_cast("long") if v.kind == "int" else total)
 
 
+def _global_rank(rel: Rel, name: str, function: str, order: list[Column]) -> Rel:
+    """A rank over all rows without a single task for them: ranges of the order are ranked apart and shifted by what lies
+    before them. The rows are written once, so that a range is the same in both uses; equal keys share a range."""
+    spot = fresh("range")
+    scratch = Scratch(rel.df.sparkSession)
+    df = rel.df.repartitionByRange(*order).withColumn(spot, F.spark_partition_id())
+    df = scratch.stage(df)
+    w = Window.partitionBy(spot).orderBy(*order)
+    f = {"RANK": F.rank, "DENSE_RANK": F.dense_rank, "ROW_NUMBER": F.row_number}[function]
+    inside = fresh("inside")
+    ranked = df.withColumn(inside, f().over(w).cast("long"))
+    # one row a range: how many ranks it takes
+    taken = F.max(inside) if function == "DENSE_RANK" else F.count(F.lit(1))
+    sizes = {r[spot]: r["n"] for r in ranked.groupBy(spot).agg(taken.alias("n")).collect()}
+    at, before = 0, []
+    for part in sorted(sizes):
+        before += [F.lit(part), F.lit(at).cast("long")]
+        at += sizes[part]
+    shift = F.element_at(F.create_map(*before), F.col(spot)) if before else F.lit(0)
+    out = Rel(ranked, rel.vals, rel.bound).with_val(name, Val("int", F.col(inside) + shift), True)
+    return Rel(out.df.drop(spot, inside), out.vals, out.bound)
+
+
 def _ntile(rel: Rel, name: str, n: int, w, ordered) -> Rel:
     """n tiles over the peer groups: the first (groups mod n) tiles hold one group more."""
     at, groups = fresh("peer"), fresh("peers")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quadrel.functions.expressions import SOLUTION, Custom, Evaluator, boolean
 from quadrel.functions.lanes import BNODE, Val, as_term, constant, lexical, make, native, unify
 from quadrel.operators import joins
-from quadrel.operators.aggregates import aggregate, distinct_value
+from quadrel.operators.aggregates import Prepared, aggregate, distinct_value, prepared
 from quadrel.operators.paths import closure
 from quadrel.operators.relation import Rel, fresh, put, union
 from quadrel.operators.windows import sort_keys, window
@@ -316,10 +316,19 @@ class Compiler:
             if e.op == "var" and e.args[0] in rel.bound:
                 bound.add(name)
         row = [distinct_value(v) if v.kind in ("lang", "term") else v.col for n, v in rel.vals.items() if not n.startswith(".")]
-        cols = []
+        cols, ready = [], {}
         for name, e in plan.aggregates:
             function, distinct, separator = e.extra
-            v = aggregate(function, distinct, separator, ev.value(e.args[0]) if e.args else None, row, place=None if place is None else F.col(place))
+            v = ev.value(e.args[0]) if e.args else None
+            if v is not None and v.kind == "term" and function in ("SUM", "AVG", "MIN", "MAX"):
+                # a mixed value's number and place in the order are columns of their own, computed once for all aggregates
+                what = "n" if function in ("SUM", "AVG") else "k"
+                if (e.args[0], what) not in ready:
+                    ready[e.args[0], what] = prepared(v, what)
+                    for c, column in ready[e.args[0], what].items():
+                        df = df.withColumn(c, column)
+                v = Prepared(v, what, list(ready[e.args[0], what]))
+            v = aggregate(function, distinct, separator, v, row, place=None if place is None else F.col(place))
             c = fresh(name.strip("."))
             cols.append(v.col.alias(c))
             vals[name] = Val(v.kind, F.col(c), prefix=v.prefix)

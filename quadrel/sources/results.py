@@ -180,13 +180,13 @@ def frame_xml(terms: DataFrame) -> DataFrame:
     """A result of any size as the result elements of results XML, one a row: one column `value`."""
     from pyspark.sql import functions as F
 
-    def safe(c):
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    def safe(c, attribute=True):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if attribute else [])):
             c = F.replace(c, F.lit(a), F.lit(b))
         return c
 
     def cell(c):
-        text = safe(c["lex"])
+        text = safe(c["lex"], False)
         tag = F.when(c["lang"].isNotNull(), F.concat(F.lit(' xml:lang="'), safe(c["lang"]))).otherwise(F.concat(F.lit(' datatype="'), safe(c["dt"])))
         written = F.concat(F.lit("<literal"), tag, F.lit('">'), text, F.lit("</literal>"))
         return F.when(c["k"] == 2, F.concat(F.lit("<uri>"), text, F.lit("</uri>"))).when(c["k"] == 1, F.concat(F.lit("<bnode>"), text, F.lit("</bnode>"))).otherwise(written)
@@ -231,8 +231,45 @@ def parser_for(content_type: str) -> Format | None:
     return next((f for f in FORMATS if f.parse and (media == f.media or media in f.aliases)), None)
 
 
-def read_rdf(spark: SparkSession, path: str, graph: str | None = None, media: str | None = None) -> DataFrame:
-    """Quads (s, p, o, g) of RDF files; the syntax follows the media type or the extension, Turtle by default."""
+def canonical(quads: DataFrame) -> DataFrame:
+    """Quads whose integers, decimals, doubles, floats and booleans are written in the one canonical way; ill-typed ones stay."""
+    from pyspark.sql import functions as F
+
+    from quadrel.functions.lanes import BOOLEAN, DECIMAL, DOUBLE, FLOAT, INTEGERS, TERM_TYPE, Val, lexical
+
+    o, lex, dt = F.col("o"), F.trim(F.col("o.lex")), F.col("o.dt")
+    whole = F.regexp_replace(F.regexp_replace(lex, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+    decimal = F.when(lex.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), lexical(Val("dec", lex.try_cast("decimal(38,18)"))))
+    real = F.when(lex.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), lexical(Val("dbl", lex.try_cast("double"))))
+    short = (
+        F.when(dt.isin(*INTEGERS) & lex.rlike(r"^[+-]?[0-9]+$"), F.when(whole == "-0", "0").otherwise(whole)).when(dt == DECIMAL, decimal).when(dt.isin(DOUBLE, FLOAT), real)
+        .when(dt == BOOLEAN, F.when(lex.isin("1", "true"), "true").when(lex.isin("0", "false"), "false"))
+    )
+    same = F.struct(o["k"].alias("k"), F.coalesce(short, o["lex"]).alias("lex"), dt.alias("dt"), o["lang"].alias("lang")).cast(TERM_TYPE)
+    return quads.withColumn("o", F.when(o.isNotNull(), same))
+
+
+def read_rdf(spark: SparkSession, path: str, graph: str | None = None, media: str | None = None, canonicalise: bool = False) -> DataFrame:
+    """Quads (s, p, o, g) of RDF files; the syntax follows the media type or the extension, Turtle by default.
+
+    An http or https address is fetched by the driver, its content type is the media type if none is given, and its
+    graph is the address if none is given. canonicalise: numbers and booleans are rewritten, see canonical().
+    """
+    if path.startswith(("http://", "https://")):
+        from quadrel.runtime import Scratch
+        from quadrel.sources.service import fetch
+
+        wanted = ", ".join(f.media for f in FORMATS if f.media != "application/sparql-results+json" and (f.takes == (Triples,) or not f.takes))
+        kind, text = fetch(path, wanted)
+        media, graph = media or kind.split(";")[0].strip().lower() or None, graph or path
+        at = f"{Scratch(spark).base}/{path.rstrip('/').rsplit('/', 1)[-1] or 'index'}"
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(at)
+        path = at
+    quads = _read_rdf(spark, path, graph, media)
+    return canonical(quads) if canonicalise else quads
+
+
+def _read_rdf(spark: SparkSession, path: str, graph: str | None, media: str | None) -> DataFrame:
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
     found = next((f for f in FORMATS if media and (media == f.media or media in f.aliases)), None) or next((f for f in FORMATS if not media and extension in f.extensions), None)
     name = found.media if found else "application/turtle"

@@ -7,6 +7,8 @@ import urllib.request
 
 from pyspark.sql import SparkSession
 
+from quadrel.functions.lanes import as_term
+from quadrel.operators.joins import inner
 from quadrel.operators.relation import Rel
 from quadrel.plans.algebra import Term, Var
 from quadrel.sources.base import Active, Source
@@ -16,6 +18,8 @@ from quadrel.sources.store import TermStore, term_frame
 from quadrel.sources.turtle import parse as parse_turtle
 
 TIMEOUT = 5.0
+#: Values of a variable that are put into a pattern one by one.
+BOUND = 50
 ACCEPT = "application/sparql-results+json, application/sparql-results+xml, text/tab-separated-values"
 
 
@@ -85,7 +89,41 @@ class FragmentStore(Source):
         """template: an address with {subject}, {predicate} and {object}."""
         self.spark, self.template, self.get = spark, template, get
 
+    def bgp(self, triples: tuple, active: Active) -> Rel:
+        """Bind join: the values that earlier patterns gave a variable, if they are at most BOUND, are put into the next
+        pattern, one fragment for each; else its whole fragment is fetched. Fragments have no named graphs."""
+        if active.graph is not None:
+            return TermStore(term_frame(self.spark, [])).bgp(triples, active)
+        left = sorted(triples, key=lambda t: sum(isinstance(x, Var) for x in t))
+        rel, seen = None, set()
+        while left:
+            t = left.pop(next((i for i, t in enumerate(left) if seen & {x.name for x in t if isinstance(x, Var)}), 0))
+            shared = [x for x in t if isinstance(x, Var) and x.name in seen]
+            values = self._values(rel, shared[0].name) if shared else None
+            if values is None:
+                part = self.scan(*t, active)
+            else:
+                filled = [tuple(v if x == shared[0] else x for x in t) for v in values]
+                part = self._triples([triple for f in filled for triple in self._fetch(*f)]).scan(*t, Active())
+            rel = part if rel is None else inner(rel, part)
+            seen |= {x.name for x in t if isinstance(x, Var)}
+        return rel
+
+    def _values(self, rel: Rel, name: str) -> list[Term] | None:
+        v = rel.vals[name]
+        rows = rel.df.select(as_term(v).alias("t")).where("t is not null").distinct().limit(BOUND + 1).collect()
+        kinds = {1: "bnode", 2: "iri", 3: "literal"}
+        found = [Term(kinds[r["t"]["k"]], r["t"]["lex"], r["t"]["dt"], r["t"]["lang"]) for r in rows]
+        return None if len(found) > BOUND or any(t.kind == "bnode" for t in found) else found
+
+    def _triples(self, data: list) -> TermStore:
+        return TermStore(term_frame(self.spark, [(*t, None) for t in data]))
+
     def scan(self, s, p, o, active: Active) -> Rel:
+        return self._triples([] if active.graph is not None else self._fetch(s, p, o)).scan(s, p, o, Active())
+
+    def _fetch(self, s, p, o) -> list[tuple[Term, Term, Term]]:
+        """The triples of a pattern's fragment, page by page."""
         def part(x):
             return urllib.parse.quote(x.value if x.kind == "iri" else format_term(x), safe="") if isinstance(x, Term) else ""
 
@@ -97,9 +135,9 @@ class FragmentStore(Source):
             page = parse_turtle(body, url)
             following = [t[2].value for t in page if t[1].value.rsplit("#", 1)[-1] in ("next", "nextPage")]
             controls = ("http://www.w3.org/ns/hydra/", "http://rdfs.org/ns/void#")
-            data += [(*t, None) for t in page if not t[1].value.startswith(controls)]
+            data += [t for t in page if not t[1].value.startswith(controls)]
             url = following[0] if following else None
-        return TermStore(term_frame(self.spark, data)).scan(s, p, o, Active())
+        return data
 
     def graphs(self):
         return self.spark.createDataFrame([], "g string")

@@ -68,13 +68,28 @@ def test_dictionary_store_is_safe(spark):
     assert empty.query("SELECT * { ?s <p>+ ?o }").count() == 0
 
 
+def test_dictionary_constants_are_exact(spark):
+    terms = [(1, 2, "http://p", None, None), (2, 22, "abc", None, None), (3, 16, "abc", 9, "EN_gb "), (4, 17, "abc", 8, None), (5, 17, "abc", 10, None), (8, 2, "<XSD:String>", None, None), (9, 2, "rdf:langString", None, None), (10, 2, "ex:dt", None, None), (11, 22, "abc", None, None), (20, 2, "http://s", None, None), (21, 2, "http://s", None, None)]
+    quads = [(20, 1, 2, None), (20, 1, 3, None), (20, 1, 4, None), (20, 1, 5, None), (21, 1, 11, None), (21, 1, 2, None)]
+    store = DictionaryStore(spark.createDataFrame(quads, "subject long, predicate long, object long, graph long"), spark.createDataFrame(terms, "id long, type int, value string, datatype long, language string"))
+    count = lambda st, q: Engine(st).query(q).count()
+    assert count(store, "SELECT * { ?s <http://p> 'abc' . }") == 2 and count(store, "SELECT * { ?s <http://p> 'abc'@en-gb }") == 1 and count(store, "SELECT * { ?s <http://p> 'abc'^^<ex:dt> }") == 1
+    assert count(store, "SELECT * { ?s <http://p> 'abc'@fr }") == 0 and sorted(store.ids(literal("abc"))) == [2, 4, 11]
+    one = store.merged()
+    assert one.ids(iri("http://s")) == [20] and one.ids(literal("abc")) == [2]
+    assert count(one, "SELECT * { ?s <http://p> ?o }") == 3 and count(one, "SELECT DISTINCT ?o { ?s <http://p> ?o . ?s <http://p> 'abc' }") == 3
+
+
 class _Endpoint(BaseHTTPRequestHandler):
     def do_GET(self):
         parts = urlsplit(self.path)
         if parts.path == "/tpf":
             page = parse_qs(parts.query).get("page", ["1"])[0]
             more = f'<> <http://www.w3.org/ns/hydra/core#next> <http://{self.headers["Host"]}/tpf?page=2> .' if page == "1" else ""
+            self.server.seen.append(self.path)
             body, kind = f'<http://a> <http://p> "{page}" . {more}', "text/turtle"
+        elif parts.path == "/data":
+            body, kind = '<http://a> <http://p> "+007"^^<http://www.w3.org/2001/XMLSchema#integer> .\n<http://a> <http://q> "1.50"^^<http://www.w3.org/2001/XMLSchema#decimal> .', "application/n-triples; charset=utf-8"
         elif parts.path == "/sparql":
             self.server.seen.append(parse_qs(parts.query)["query"][0])
             body, kind = results.to_json(results.Bindings(["x", "v0", "v1"], [{"x": literal("1", XSD + "integer"), "v0": iri("http://a"), "v1": literal("one")}])), "application/sparql-results+json"
@@ -116,6 +131,18 @@ def test_services(spark, endpoint):
     assert sorted(r[0] for r in pages.query("SELECT ?o { <http://a> <http://p> ?o }").collect()) == ["1", "2"]
 
 
+def test_loading_from_an_address(spark, endpoint):
+    address, server = endpoint
+    got = results.read_rdf(spark, f"{address}/data")
+    assert {(r["o"]["lex"], r["g"]["lex"]) for r in got.collect()} == {("+007", f"{address}/data"), ("1.50", f"{address}/data")}
+    assert {r["o"]["lex"] for r in results.read_rdf(spark, f"{address}/data", canonicalise=True).collect()} == {"7", "1.5"}
+    pages = Engine(FragmentStore(spark, f"{address}/tpf?s={{subject}}&p={{predicate}}&o={{object}}"))
+    server.seen.clear()
+    assert pages.query("SELECT ?o ?x { <http://a> <http://p> ?o . ?s <http://p> ?x . ?s <http://r> ?o }").count() == 0
+    assert any("o=%22" in x for x in server.seen)  # values that are known go into the next pattern
+    assert pages.query("SELECT * { GRAPH ?g { ?s <http://p> ?x } }").count() == 0
+
+
 def test_cli(spark, tmp_path, capsys, monkeypatch):
     ttl = tmp_path / "d.ttl"
     ttl.write_text("<http://a> <http://p> 1, 2 .")

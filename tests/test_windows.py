@@ -5,6 +5,7 @@ import pytest
 from quadrel.plans.compiler import Engine
 from quadrel.sources.store import TermStore, term_frame
 
+# The series and the averages of its frames, which any implementation has to give.
 SERIES = "VALUES (?date ?value) { (1 1.0) (2 2.0) (3 3.0) (4 -2.0) (5 8.0) (6 2.7) (7 -1.7) }"
 FRAMES = {
     "2 PRECEDING AND CURRENT ROW": [1.0, 1.5, 2.0, 1.0, 3.0, 2.9, 3.0],
@@ -41,6 +42,7 @@ def column(engine, function, pairs, over="PARTITION BY ?p ORDER BY ?v"):
     return [r["x"] for r in engine.query(f"SELECT ?row ({function} OVER ({over}) AS ?x) {{ {values(pairs)} }} ORDER BY ?row").collect()]
 
 
+# Ranks and tiles of tied rows.
 def test_ranks(engine):
     pairs = [(1, 1), (1, 2), (1, 2), (1, 3), (2, 5), (2, 5), (2, 6)]
     assert column(engine, "RANK()", pairs) == [1, 2, 2, 4, 1, 1, 3]
@@ -49,6 +51,16 @@ def test_ranks(engine):
     assert column(engine, "RANK()", [(1, 3), (1, 1)], "PARTITION BY ?p") == [1, 1]
 
 
+def test_ranks_over_all_rows(engine):
+    pairs = [(0, v) for v in (5, 3, 5, 1, 9, 3, 3, 8, 1, 2)]
+    values_ = [v for _, v in pairs]
+    down = "ORDER BY DESC(?v)"
+    assert column(engine, "RANK()", pairs, "ORDER BY ?v") == [1 + sum(x < v for x in values_) for v in values_]
+    assert column(engine, "DENSE_RANK()", pairs, down) == [1 + len({x for x in values_ if x > v}) for v in values_]
+    assert column(engine, "ROW_NUMBER()", pairs, "ORDER BY ?v ?row") == [1 + sum((x, j) < (v, i) for j, x in enumerate(values_)) for i, v in enumerate(values_)]
+    assert engine.query("SELECT ?x (RANK() OVER (ORDER BY ?x) AS ?r) { VALUES ?x { 1 } FILTER(?x > 1) }").count() == 0
+
+
 def test_ntile_deals_out_peer_groups(engine):
     assert column(engine, "NTILE(2)", [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5)]) == [1, 1, 1, 2, 2]
     assert column(engine, "NTILE(3)", [(1, v) for v in (1, 1, 2, 3, 3)]) == [1, 1, 2, 3, 3]
