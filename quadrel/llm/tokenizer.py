@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens of the vocabulary (fixed value).
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Pre-tokens a worker remembers before it starts afresh; a matter of speed only.
+#: Pre-tokens, and pairs of tokens, that a worker remembers before it starts afresh; a matter of speed only.
 REMEMBERED = 300_000
 
 
@@ -83,6 +83,8 @@ class BytePairEncoder:
         pair = left, right
         known = self.compatible.get(pair)
         if known is None:
+            if len(self.compatible) >= REMEMBERED:
+                self.compatible.clear()
             known = self.compatible[pair] = self._cut_survives(left, right)
         return known
 
