@@ -4,7 +4,8 @@ sides that are written once (several maybe-unbound variables; EXISTS inside OPTI
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, fields, is_dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -540,6 +541,51 @@ def _ordered(plan: Plan) -> bool:
     return isinstance(plan, Order)
 
 
+def mentions(q: Query) -> tuple[Counter, set[str], list[Term]]:
+    """How often a query mentions each variable (as a subject once for each basic graph pattern), the variables that are
+    subjects, and the constants of its patterns."""
+    uses: Counter = Counter(q.names)
+    subjects: set[str] = set()
+    constants: dict[Term, None] = {}
+
+    def node(x, n: int = 1) -> None:
+        if isinstance(x, Var):
+            uses[x.name] += n
+        elif isinstance(x, Term):
+            constants[x] = None
+
+    def walk(x) -> None:
+        match x:
+            case BGP():
+                here = {t[0] for t in x.triples}
+                for s in here:
+                    node(s)
+                    subjects.update([s.name] if isinstance(s, Var) else [])
+                for _, p, o in x.triples:
+                    node(p)
+                    node(o)
+            case Var() | Term():
+                node(x)
+            case Expr():
+                if x.op == "var":
+                    uses[x.args[0]] += 1
+                if x.op == "aggregate" and not x.args and x.extra[1]:
+                    uses["*"] += 1  # COUNT(DISTINCT *) looks at every variable
+                for a in (*x.args, x.extra):
+                    walk(a)
+            case tuple() | list():
+                for a in x:
+                    walk(a)
+            case str():
+                uses[x] += 1  # a name that a projection, VALUES or BIND gives
+            case _ if is_dataclass(x):
+                for f in fields(x):
+                    walk(getattr(x, f.name))
+
+    walk([q.plan, q.template, q.describe])
+    return uses, set() if uses["*"] else subjects, list(constants)
+
+
 def _labels(e) -> bool:
     """Whether an expression makes blank nodes from labels."""
     return isinstance(e, Expr) and (e.op == "BNODE" and bool(e.args) or any(_labels(a) for a in e.args))
@@ -582,6 +628,9 @@ class Engine:
         source = self.source
         if (q.default_graphs or q.named_graphs) and hasattr(source, "dataset"):
             source = source.dataset(q.default_graphs, q.named_graphs)
+        uses, subjects, constants = mentions(q)
+        source.unused = frozenset(v for v in subjects if uses[v] == 1)
+        source.prefetch(constants)
         return Compiler(source, self.custom, self.service, q.base), q
 
     def query(self, text: str) -> DataFrame:

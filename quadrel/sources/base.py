@@ -24,12 +24,21 @@ def scanned_bytes(rel: Rel) -> float:
     return float(str(rel.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: What a part's order begins with if no constant narrows it.
+OPEN = 2
+
+
 def names_of(triple: tuple) -> set[str]:
     return {x.name for x in triple if isinstance(x, Var)}
 
 
 class Source:
     spark: SparkSession
+    #: Variables of the query at hand that nothing but one subject position mentions: a scan need not make them.
+    unused: frozenset[str] = frozenset()
+
+    def prefetch(self, constants: list[Term]) -> None:
+        """Looks up the constants of a query at once, in stores that have to look them up."""
 
     def scan(self, s, p, o, active: Active) -> Rel:
         raise NotImplementedError
@@ -47,15 +56,18 @@ class Source:
         for t in triples:
             counted = self.matches(t)
             open_ends = len([x for x in t if isinstance(x, Var)])
-            out.append((names_of(t), (open_ends,) if counted is None else (0, counted), self.scan(*t, active)))
+            out.append((names_of(t), (0, open_ends) if counted is None else (1, counted), self.scan(*t, active)))
         return out
 
     def bgp(self, triples: tuple, active: Active) -> Rel:
-        """Joins the parts, the smallest first, then the smallest that shares a variable with what is joined."""
+        """Joins the parts in their order, each after one that it shares a variable with."""
         left = self.pieces(triples, active)
         if len(left) > 1:
             left = sorted(left, key=lambda x: x[1])
-        names, _, rel = left.pop(0)
+        first = 0
+        if all(x[1] and x[1][0] is OPEN for x in left):
+            first = len(left) - 1  # nothing is selective: the largest part streams through joins with the others
+        names, _, rel = left.pop(first)
         seen = set(names) | set(rel.vals)
         while left:
             k = next((i for i, x in enumerate(left) if seen & x[0]), 0)

@@ -18,7 +18,7 @@ from quadrel.functions.expressions import compare
 from quadrel.operators.relation import Rel, fresh, union
 from quadrel.plans.algebra import RDF, Term, Var
 from quadrel.runtime import table
-from quadrel.sources.base import Active, Source, names_of, scanned_bytes
+from quadrel.sources.base import OPEN, Active, Source, names_of, scanned_bytes
 
 NAMESPACE = "http://tables.example/"
 TYPE = RDF + "type"
@@ -112,7 +112,8 @@ class MappedStore(Source):
             rel = self._star(group, active) if group[0][0] in stars and group is stars[group[0][0]] else self.scan(*group[0], active)
             fixed = sum(isinstance(o, Term) for _, p, o in group if not (isinstance(p, Term) and p.value == TYPE))
             size = scanned_bytes(rel) if len(out) > 1 else 0.0
-            pieces.append((set().union(*map(names_of, group)), (not isinstance(group[0][0], Term), -min(fixed, 1), size), rel))
+            chosen = 0 if isinstance(group[0][0], Term) else 1 if fixed else OPEN
+            pieces.append((set().union(*map(names_of, group)), (chosen, size), rel))
         return pieces
 
     def _star(self, group: list[tuple], active: Active) -> Rel:
@@ -151,7 +152,8 @@ class MappedStore(Source):
             else:
                 vals[x.name] = v
 
-        bind(group[0][0], self._subject(t))
+        if t.key is not None or isinstance(group[0][0], Term) or group[0][0].name not in self.unused:
+            bind(group[0][0], self._subject(t))
         for _, p, o in group:
             if p.value == TYPE:
                 if isinstance(o, Var):

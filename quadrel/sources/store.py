@@ -167,10 +167,11 @@ class DictionaryStore(Source):
         return DictionaryStore(quads, terms, self._default)
 
     def _rows_of(self, t: Term) -> DataFrame:
-        """The dictionary's rows that hold a constant: (id, t)."""
-        rows = self.term_table(self.terms.where(F.col("value") == t.value))
+        """The dictionary's rows that hold a constant, with their id."""
+        rows = self.terms.where(F.col("value") == t.value)
         if t.kind != "literal":
-            return rows.where(F.col("t.k") == (IRI if t.kind == "iri" else BNODE))
+            return rows.where(F.col("type") == (2 if t.kind == "iri" else 1)).select("id")
+        rows = self.term_table(rows)
         same = (F.col("t.k") == LITERAL) & (F.col("t.dt") == t.datatype)
         return rows.where(same & (F.col("t.lang") == t.language.lower() if t.language else F.col("t.lang").isNull()))
 
@@ -181,6 +182,15 @@ class DictionaryStore(Source):
             self._ids[t] = inlined + [r["id"] for r in self._rows_of(t).select("id").toLocalIterator()]
         return self._ids[t]
 
+    def prefetch(self, constants: list[Term]) -> None:
+        """The ids of all IRIs of a query in one job."""
+        wanted = {t.value: t for t in constants if t.kind == "iri" and t not in self._ids}
+        if len(wanted) > 1:
+            found: dict[Term, list[int]] = {t: [] for t in wanted.values()}
+            for r in self.terms.where((F.col("type") == 2) & F.col("value").isin(*wanted)).select("value", "id").toLocalIterator():
+                found[wanted[r["value"]]].append(r["id"])
+            self._ids.update(found)
+
     @cached_property
     def _ids(self) -> dict[Term, list[int]]:
         return {}
