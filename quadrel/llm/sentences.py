@@ -74,6 +74,7 @@ _SPACE = regex.compile(r"\s*")
 #: Closing marks (fixed values): of sentences for sure, and those that also stand in abbreviations, numbers and pauses.
 STRONG = "!?！？؟。｡।॥۔‽⁇⁈⁉።፧፨។៕။"
 WEAK = ".…．‥"
+_MARKS, _STRONG = frozenset(STRONG + WEAK), frozenset(STRONG)
 _PLACE = regex.compile(rf"[{STRONG}{WEAK}]+|[\"“”„«»‹›「」『』（）()\[\]【】〈〉《》]|(?<=[\p{{Thai}}”\"»’)\]!?]) (?=[\p{{Thai}}“\"«‘(\[])|[‘’]")
 _OPEN = {"‘": "’", "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "〈": "〉", "《": "》"}
 _BRACKETS = "()（）[]【】〈〉《》"
@@ -116,6 +117,9 @@ def _key(token: str) -> str:
 def _word_before(block: str, at: int) -> tuple[str, int]:
     """The token that ends at a mark, and where it begins; empty in scripts without spaces."""
     low = max(0, at - LONG - 1)
+    space = block.rfind(" ", low, at)
+    if space >= 0 and (word := block[space + 1 : at]).isalpha() and word.isascii():
+        return word, space + 1
     cut = _BREAKS.search(block, low, at)
     start = cut.end() if cut else low
     word = block[start:at]
@@ -290,10 +294,12 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
     k, inside = 0, []
     seen, script, size = 0, "c", len(block)
     for m in _PLACE.finditer(block):
-        c, at, end = m.group(), m.start(), m.end()
-        thai = c == " "
-        if not thai and c[0] not in STRONG and c[0] not in WEAK:
+        at, end = m.span()
+        lead = block[at]
+        thai = lead == " "
+        if not thai and lead not in _MARKS:
             continue
+        c = lead if end - at == 1 else block[at:end]
         around = []
         if pairs:
             while k < len(pairs) and pairs[k][0] < at:
@@ -320,13 +326,13 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
                 end += gap + 1
             elif end < len(block) and block[end] in "”’»›」』)）]】\"'" and not (block[end] in "\"'»" and end + 1 < len(block) and block[end + 1].isalnum()) and not any(p[0] == end for p in pairs):
                 end += 1
-            elif end < len(block) and block[end] in STRONG + WEAK and opened is not None:
+            elif end < len(block) and opened is not None and block[end] in _MARKS:
                 end += 1
             else:
                 break
         if around:
             continue
-        strong = c != "." and any(x in STRONG for x in c)
+        strong = c != "." and not _STRONG.isdisjoint(c)
         pause = not strong and (len(c) > 1 or c in "…‥")
         tight = end < len(block) and not block[end].isspace()
         before = block[at - 1] if at else " "
@@ -334,7 +340,7 @@ def places(block: str, first: bool = True, final: bool = True, plain: str = "")
         seen = at
         word, begin = ("<...>", at) if pause else _word_before(block, at)
         place = Place(end, word, *_word_after(block, end), "strong" if strong else "pause" if pause else "dot")
-        if not pause and 0 < len(word) <= 3 and word[-1].isalpha():
+        if 0 < len(word) <= 3 and not pause and word[-1].isalpha():
             place.pair = _pair(block, at - len(word), word)
         place.tight, place.script, place.wide = tight, script, c[0] in "。｡！？．।॥"
         if opened is not None:
@@ -392,6 +398,7 @@ LISTED, TIGHT, COLON, BEGINS, BEGINS2, SHORT, SHORT2, LONE, LONE2, WIDE = (1 <<
 WHOLE, LETTERED, DIGIT_BEFORE, CAPITAL, DIGIT_AFTER, ORDINARY_WORD = (1 << k for k in range(15, 21))
 # then 4 bits for the class that the word after has by its shape, 2 for its script and 5 for the shape of the word before
 CLASS_AT, AFTER_AT, SHAPE_AT = 21, 25, 27
+_KIND, _SCRIPT = {k: i for i, k in enumerate(KINDS)}, {x: i for i, x in enumerate(SCRIPTS)}
 #: Hashes of no word and of one that is known by its shape only.
 NO_WORD, SHAPE_ONLY = 0, 1
 #: One row for each text with anything but white space.
@@ -466,7 +473,7 @@ _MARKER = regex.compile(r"^\s*(?:[\(（]?(?:\p{N}{1,3}(?:\.\p{N}{1,3})*|\p{L})[.
 
 def _flags(block: str, found: list[Place], i: int) -> int:
     p = found[i]
-    f = KINDS.index(p.kind) | SCRIPTS.index(p.script) << 3
+    f = _KIND[p.kind] | _SCRIPT[p.script] << 3
     if p.tight:
         f |= TIGHT
     if p.wide:
