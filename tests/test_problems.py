@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrel.operators.hierarchy import FINISH, descendants, hierarchy, links_of
 from quadrel.operators.key_totals import distinct_profile, heavy_values
-from quadrel.operators.orphans import INLINE_BASE, orphan_references, orphan_report
+from quadrel.operators.orphans import INLINE_BASE, doubtful_share, orphan_references, orphan_report
 from quadrel.operators.wide import Registers, cell_faults, read_value, wide_table
 
 QUAD = "id long, subject long, predicate long, object long, graph long, loaded_at timestamp_ntz"
@@ -147,6 +147,8 @@ def test_orphans_against_brute_force(spark):
     report = orphan_report(got, "quads").collect()
     assert sum(r["orphans"] for r in report) == len(want) and {r["table_name"] for r in report} == {"quads"}
     assert orphan_references(qs.limit(0), ps).count() == 0
+    share = doubtful_share(qs, ps).first()
+    assert 0 < share["doubtful"] <= share["suspects"] <= share["keys"] <= 2 * len(quads)
     every = sum(1 for q in quads for k in (q[1], q[3]) if k is not None and k < INLINE_BASE)
     assert orphan_references(qs, ps.limit(0)).count() == every
 
