@@ -111,7 +111,7 @@ class MappedStore(Source):
         for group in out:
             rel = self._star(group, active) if group[0][0] in stars and group is stars[group[0][0]] else self.scan(*group[0], active)
             fixed = sum(isinstance(o, Term) for _, p, o in group if not (isinstance(p, Term) and p.value == TYPE))
-            size = scanned_bytes(rel) if len(out) > 1 else 0.0
+            size = scanned_bytes(rel) if len(out) > 2 else 0.0  # of two parts Spark itself picks the side to build
             chosen = 0 if isinstance(group[0][0], Term) else 1 if fixed else OPEN
             pieces.append((set().union(*map(names_of, group)), (chosen, size), rel))
         return pieces
